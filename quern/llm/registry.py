@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import quality_rules
+from quern.llm import quality_rules, sentencepiece_codec, token_store
 
 QUERIES = {
+    "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_token_store": token_store.op9_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
