@@ -126,6 +126,7 @@ def _inverted(sums: DataFrame, factor: float) -> DataFrame:
 def fit(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 200) -> tuple[DataFrame, DataFrame]:
     """Returns stats with the column grp and z0..z3, and the estimate of each grp: mu, prec."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    stats = saved(stats, "base-stats")
     z = stats.withColumn("_lang", part("lang")).withColumn("_fine", F.concat_ws("\x1f", part("lang"), part("source")))
     z = z.withColumns({f"z{i}": c for i, c in enumerate(_transformed())})
     ok = z.where(~F.col("base_failed"))
