@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quern.llm import quality_rules, sentencepiece_codec, token_store
+from quern.llm import quality_rules, sentencepiece_codec, token_store, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_store": token_store.op9_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_warc": warc.SQL,
+}
