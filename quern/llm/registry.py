@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import decontamination, html_extraction, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, token_store, warc
+from quern.llm import decontamination, html_extraction, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, token_store, warc
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_store": token_store.op9_token_store,
