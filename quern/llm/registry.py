@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quern.llm import decontamination, html_extraction, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, token_store, warc
+from quern.llm import decontamination, html_extraction, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, substring_dedup, token_store, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_warc": warc.op3_warc,
     "op4_html_extraction": html_extraction.op4_html_extraction,
