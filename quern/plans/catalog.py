@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quern.plans import retrieval
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _m in (retrieval,):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
