@@ -26,12 +26,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -59,7 +59,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # large star: every neighbour above u is linked to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every neighbour below u, and u, are linked to the least neighbour
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
@@ -73,3 +73,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     nodes = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = nodes.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     return saved(nodes.union(roots), "components")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links (a, b): stars of the components so far and the links. Without a link they stay."""
+    links = saved(links.select("a", "b"), "links")
+    if links.isEmpty():
+        return comp
+    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))

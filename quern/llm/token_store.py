@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import fresh_path, saved
 
 #: Texts of these characters only are cut by the pattern below exactly as the library cuts them.
-_plain = re.compile("[\t\n\r\x20-\x7e¡-¬®-ſ]*")
+_plain = re.compile("[\t\n\r\x20-\x7e¡-©«¬®-±´-¸»¿-ſ]*")
 #: The byte-level tokenizer's published split pattern, for the characters above.
-_unit = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_odd = re.compile("[²³¹¼-¾ªº]")
-CACHE_CHARS = 4_000_000
+_unit = re.compile(r" ?[A-Za-zµÀ-ÖØ-öø-ſ]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[^\sA-Za-zµÀ-ÖØ-öø-ſ0-9]+|\s+(?!\S)|\s+")
+CACHE_CHARS = 10_000_000
 WINDOW = 8
 MEAN_CHUNK = 512
 
@@ -51,33 +50,53 @@ class Encoder:
         pre = str(self.tk.pre_tokenizer)
         self.by_unit = self.tk.normalizer is None and pre == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.specials = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[str, bytes] = {}
         self.room = CACHE_CHARS
+        line = self.tk.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def _units(self, t: str | None) -> list[str] | None:
-        if not t or not self.by_unit or not _plain.fullmatch(t) or _odd.search(t) or any(s in t for s in self.specials):
+        if not t or not self.by_unit or not _plain.fullmatch(t) or any(s in t for s in self.specials):
             return None
         return _unit.findall(t)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new_units(self, new: list[str], kind: str) -> dict[str, bytes]:
+        """Ids of units. Those without white space but a first space are encoded as lines of one text, since a line feed
+        is a token of its own before and after them."""
+        joined = [u for u in new if self.line is not None and not u[1:].isspace() and u.strip() and "\n" not in u and "\r" not in u and "\t" not in u]
+        out = {}
+        if joined:
+            ids = np.array(self._batch(["\n".join(joined)])[0], kind)
+            at = 0
+            for u, end in zip(joined, [*np.flatnonzero(ids == self.line).tolist(), len(ids)], strict=True):
+                out[u] = ids[at:end].tobytes()
+                at = end + 1
+        rest = [u for u in new if u not in out]
+        return out | {u: np.array(ids, kind).tobytes() for u, ids in zip(rest, self._batch(rest))}
+
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id last, as uint32."""
+        kind = "<u2" if self.width == 2 else "<u4"
         units = [self._units(t) for t in texts]
-        table = self.table
-        if new := list({u for x in units if x for u in x if u not in table}):
-            fresh = dict(zip(new, self._batch(new)))
-            if self.room > 0:
-                table.update(fresh)
-                self.room -= sum(map(len, new))
-            else:
-                table = {u: table[u] for x in units if x for u in x if u in table} | fresh
+        found = [x and list(map(self.table.get, x)) for x in units]
+        new = list({u for x, got in zip(units, found) if got and None in got for u, v in zip(x, got) if v is None})
+        fresh = self._new_units(new, kind) if new else {}
+        if self.room > 0:
+            self.table.update(fresh)
+            self.room -= sum(map(len, new))
+        end = np.array([self.end], kind).tobytes()
         out = []
-        for t, x in zip(texts, units):
-            ids = list(chain.from_iterable(map(table.__getitem__, x))) if x is not None else self._batch([t])[0] if t else []
-            ids.append(self.end)
-            out.append(np.array(ids, np.uint32))
+        for t, x, got in zip(texts, units, found):
+            if got:
+                if None in got:
+                    got = [v if v is not None else fresh[u] for u, v in zip(x, got)]
+                data = b"".join(got) + end
+            else:
+                data = np.array([*(self._batch([t])[0] if t else []), self.end], kind).tobytes()
+            out.append(np.frombuffer(data, kind).astype(np.uint32))
         return out
 
 
@@ -100,14 +119,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_mixes: np.ndarray | None = None
+
+
 def chunk_ends(ids: np.ndarray, mean: int = MEAN_CHUNK) -> list[int]:
     """Ends of the chunks of one id stream: after each id where the hash of the last WINDOW ids is 0 modulo mean."""
-    g = _mixed(ids)
+    global _mixes
+    if _mixes is None:
+        _mixes = _mixed(np.arange(65536, dtype=np.uint32))
+    g = _mixes[ids] if not len(ids) or ids.max() < 65536 else _mixed(ids)
     h = g.copy()
     for j in range(1, WINDOW):
         h[j:] += g[:-j] << np.uint64(j * 5)
     h ^= h >> np.uint64(32)
-    cut = np.flatnonzero(h % np.uint64(mean) == 0) + 1
+    cut = np.flatnonzero((h & np.uint64(mean - 1) if mean & (mean - 1) == 0 else h % np.uint64(mean)) == 0) + 1
     ends = cut.tolist()
     if not ends or ends[-1] != len(ids):
         ends.append(len(ids))
@@ -152,7 +177,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, mean: int) -> DataFra
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mean: int = MEAN_CHUNK) -> None:
     """Writes the store of docs (doc_id, text) into the empty folder path."""
     spark = docs.sparkSession
-    enc = saved(_encoded(docs, tokenizer, end_id, mean), "encoded")
+    enc = saved(_encoded(docs, tokenizer, end_id, mean), "encoded", "zstd")
     pieces = enc.select(F.explode("chunks").alias("c")).select("c.*")
     pieces.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
@@ -172,8 +197,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mea
     ordered = saved(made, "ordered")
     # one row a partition: their number is the session's shuffle partitions, whatever the input
     totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    recipes = ordered.join(totals.select("part", "base"), "part").select((F.col("part").cast("long") * F.lit(1 << 40) + F.col("k")).alias("seq"), "doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "chunks", "root", "part", "k")
-    recipes.sortWithinPartitions("part", "k").drop("part", "k").write.parquet(f"{path}/recipes")
+    recipes = ordered.join(totals.select("part", "base"), "part").select((F.col("part").cast("long") * F.lit(1 << 40) + F.col("k")).alias("seq"), "doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "chunks", "root")
+    recipes.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(f"{path}/recipes")
     wrote = spark.read.parquet(f"{path}/recipes")
     wrote.agg(F.lit(encoder(tokenizer, end_id).width).alias("width"), F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids"), _over(F.col("seq"), F.col("root"))).coalesce(1).write.parquet(f"{path}/manifest")
 
