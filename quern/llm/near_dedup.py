@@ -8,8 +8,8 @@ ones, so depth adapts to the region. Candidates whose sketches agree are verifie
 alike first, and linked. Later rounds only take candidates whose documents are in different components.
 
 A region that still holds several components is then searched whole: its members outside the largest component against
-all its members, in blocks of bounded size. So every pair that shares a region of any tree is linked, verified or already in
-one component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
+all its members, in blocks of bounded size. So every pair that shares a region of any tree is linked, verified, ruled out by
+its 144 min-hashes or already in one component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
 
 Null, empty and wordless texts have the empty set and link with nothing. A text with fewer words than a shingle is one
 shingle. Rows of equal doc_id are one node; a null doc_id links with nothing and is kept. Other columns are passed over.
@@ -22,15 +22,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, components, salted_join, saved
+from quern.llm.common import WORD, components, joined, salted_join, saved
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 5
 SKETCH = 64
-#: Sketches of four-bit hashes and whole signatures may disagree this far below the threshold by chance (five deviations).
-SKETCH_SLACK, SIGNATURE_SLACK = 0.25, 0.17
+#: Sketches of four-bit hashes may be this far below the threshold by chance (five deviations), and whole signatures, which are
+#: only asked in the last search, this far (three deviations).
+SKETCH_SLACK, SIGNATURE_SLACK = 0.25, 0.10
 BLOCK = 256
 
 _word = re.compile(WORD)
@@ -102,7 +103,7 @@ def forest(sigs: DataFrame) -> DataFrame:
 
 
 def neighbours(ordered: DataFrame, least: float, reach: int = 2) -> DataFrame:
-    """region, a, b, alike for rows at most `reach` apart in one region, and for each row and its region's first.
+    """region, tree, a, b, alike for rows at most `reach` apart in one region, and for each row and its region's first.
 
     alike is the sketches' estimate, or 0 below `least`. Where a region runs over two partitions, each part has a first row.
     """
@@ -139,11 +140,11 @@ def neighbours(ordered: DataFrame, least: float, reach: int = 2) -> DataFrame:
                 alike = np.where((same - 1 / 16) / (1 - 1 / 16) >= least, same, 0.0)
                 region = (key[a, :MIN_DEPTH].astype(np.uint64) * _mult[:MIN_DEPTH]).sum(1, dtype=np.uint64) ^ (tree[a].astype(np.uint64) * _mult[MIN_DEPTH])
                 lo, hi = np.minimum(ids[a], ids[z]), np.maximum(ids[a], ids[z])
-                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(lo), pa.array(hi), pa.array(alike)], names=["region", "a", "b", "alike"])
+                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(tree[a]), pa.array(lo), pa.array(hi), pa.array(alike)], names=["region", "tree", "a", "b", "alike"])
             keep = np.unique(np.concatenate(([first[-1]], np.arange(max(first[-1], n - reach), n))))
             tail = tree[keep], key[keep], ids[keep], sk[keep]
 
-    return ordered.mapInArrow(run, "region long, a long, b long, alike double")
+    return ordered.mapInArrow(run, "region long, tree int, a long, b long, alike double")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -186,20 +187,22 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components in regions that hold several, whose signatures agree to at least `least`."""
-    member = near.select("region", F.explode(F.array("a", "b")).alias("node")).distinct()
+    """Pairs (out, a, b, alike) of different components in regions that hold several, whose signatures agree to at least
+    `least`: members outside a region's largest component, out, against all its members. A pair is given by the first
+    tree in which it shares a region."""
+    member = near.select("region", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
     member = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = member.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
     mixed = mixed.select("region", F.col("m.component").alias("main"), F.greatest(F.ceil(F.col("all") / BLOCK), F.lit(1)).cast("int").alias("cuts"), F.greatest(F.ceil((F.col("all") - F.col("m.n")) / BLOCK), F.lit(1)).cast("int").alias("rcuts"))
     rows = salted_join(member, mixed, ["region"], "inner", F.col("node")).join(sigs.select(F.col("doc_id").alias("node"), "sig"), "node")
     pack = F.collect_list(F.struct("node", "component", "sig"))
-    blocks = rows.groupBy("region", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i")).agg(pack.alias("left"))
+    blocks = rows.groupBy("region", "tree", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i")).agg(pack.alias("left"))
     rest = rows.where("component <> main").groupBy("region", F.pmod(F.xxhash64("node"), F.col("rcuts")).alias("_j")).agg(pack.alias("right"))
 
     def run(batches):
         for b in batches:
-            for xs, ys in zip(b.column("left"), b.column("right")):
+            for t, xs, ys in zip(b.column("tree").to_pylist(), b.column("left"), b.column("right")):
                 xs, ys = xs.values, ys.values
                 x, y = (_matrix(v.field("sig"), "<u4", TREES * DEPTH) for v in (xs, ys))
                 xi, yi = (v.field("node").to_numpy() for v in (xs, ys))
@@ -208,10 +211,14 @@ def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: flo
                 for k in range(TREES * DEPTH):
                     same += x[:, k, None] == y[None, :, k]
                 i, j = np.nonzero((same >= least * TREES * DEPTH) & (xc[:, None] != yc[None, :]))
+                alike = same[i, j] / (TREES * DEPTH)
+                head = lambda m: m.reshape(len(m), TREES, DEPTH)[:, : t + 1, :MIN_DEPTH]
+                first = (head(x)[i] == head(y)[j]).all(2).argmax(1) == t
+                i, j, alike = i[first], j[first], alike[first]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j]))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(yi[j]), pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j])), pa.array(alike)], names=["out", "a", "b", "alike"])
 
-    return blocks.join(rest, "region").select("left", "right").mapInArrow(run, "a long, b long").distinct()
+    return blocks.join(rest, "region").select("tree", "left", "right").mapInArrow(run, "out long, a long, b long, alike double")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
@@ -228,12 +235,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
 
     # first each document's most alike candidate, then what still links different components
     top = pairs.groupBy("a").agg(F.max_by("b", "alike").alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", "alike").alias("a")).select("a", "b"))
-    links = saved(verified(top, sets, threshold), "links")
-    comp = components(links)
-    links = saved(links.union(verified(_apart(pairs.select("a", "b"), comp), sets, threshold)), "links")
-    comp = components(links)
-    more = verified(_whole_regions(near, comp, reps, share - SIGNATURE_SLACK), sets, threshold)
-    comp = components(links.union(more))
+    comp = components(verified(top, sets, threshold))
+    comp = joined(comp, verified(_apart(pairs.select("a", "b"), comp), sets, threshold))
+    # what regions with several components still hide: each outsider's most alike first, then all that are still apart
+    wide = saved(_whole_regions(near, comp, reps, share - SIGNATURE_SLACK), "region-pairs")
+    place = F.row_number().over(Window.partitionBy("out").orderBy(F.desc("alike"), "a", "b"))
+    comp = joined(comp, verified(wide.withColumn("place", place).where("place <= 4"), sets, threshold))
+    comp = joined(comp, verified(_apart(wide.select("a", "b").distinct(), comp), sets, threshold))
 
     of_class = classes.join(comp, classes["rep"] == comp["node"], "left").where("n > 1 or component <> rep").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = salted_join(sigs.select("doc_id", "n_shingles", "set_id"), of_class, ["set_id"], "left", F.coalesce("doc_id", F.lit(0)))
