@@ -1,11 +1,13 @@
-"""2. Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""2. Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Each benchmark item's word n-grams are counted over all documents (a combined count of benchmark n-grams only), and its
-`seeds` rarest ones become its seeds; an item with fewer n-grams uses all of them. Every place of a document where a seed
-occurs is aligned: the item's words against the window of the document that could hold a copy, by Smith-Waterman over words
-(match +2, mismatch -1, gap -1). A document is linked to an item when the best local score is at least `min_score` of the
-score of a whole copy, and the aligned part has at least min(8, item) words; so edited and paraphrased copies are found as
-long as one seed survives.
+Every word n-gram of a benchmark item is a seed, however common it is; an item of fewer words than n is one seed of its own
+length. Every place of a document where a seed occurs is aligned: the item's words against the window of the document that
+could hold a copy, by Smith-Waterman over words (match +2, mismatch -1, gap -1). A document is linked to an item when the
+best local score is at least `min_score` of the score of a whole copy, and the aligned part has at least min(8, item) words; so
+edited, partial and paraphrased copies are found as long as one n-gram survives.
+
+What keeps common seeds cheap is a bound, not a choice of seeds: a window in which too few of the item's words occur at all
+cannot reach the score, and is not aligned. So no link depends on how often an n-gram occurs in the corpus, and it is not counted.
 
 Words are lower-cased runs between ASCII white space, trimmed of signs at both ends. Items are taken in blocks of bounded
 size, so what a task holds does not grow with the benchmark: each block is one more pass over the corpus. Null and empty
@@ -19,13 +21,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import saved
 
 NGRAM = 3
-SEEDS = 24
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text that one pass holds in memory.
@@ -79,44 +80,30 @@ def _sized(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")), n
 
 
-def _corpus_counts(docs: DataFrame, wanted: set[str], n: int) -> DataFrame:
-    """Occurrences of the wanted n-grams over all whole texts."""
-    firsts = {g.split(" ", 1)[0] for g in wanted}
-
-    def run(batches):
-        count: dict[str, int] = {}
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                for i, w in enumerate(ws):
-                    if w in firsts and (g := " ".join(ws[i : i + n])) in wanted:
-                        count[g] = count.get(g, 0) + 1
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
-
-    return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list[tuple[int, int]]], n: int, min_score: float) -> DataFrame:
-    firsts = {g.split(" ", 1)[0] for g in seeds}
+def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list[tuple[int, int]]], min_score: float) -> DataFrame:
+    sizes: dict[str, set[int]] = {}  # how many words the seeds have that begin with a word
+    for g in seeds:
+        sizes.setdefault(g.split(" ", 1)[0], set()).add(g.count(" ") + 1)
     number: dict[str, int] = {}
     for ws in items.values():
         for w in ws:
             number.setdefault(w, len(number))
     coded = {i: np.array([number[w] for w in ws], np.int64) for i, ws in items.items()}
 
-    def links(text: str | None):
+    def links(text: str | None, present: np.ndarray):
         ws = words(text)
         hits: dict[int, list[int]] = {}
         for i, w in enumerate(ws):
-            if w in firsts:
-                for item, at in seeds.get(" ".join(ws[i : i + n]), ()):
+            for size in sizes.get(w, ()):
+                for item, at in seeds.get(" ".join(ws[i : i + size]), ()) if i + size <= len(ws) else ():
                     hits.setdefault(item, []).append(i - at)
         if not hits:
             return
         line = np.array([number.get(w, -1) for w in ws], np.int64)
         for item, starts in hits.items():
             code = coded[item]
-            slack = max(4, len(code) // 2)
+            need = min_score * MATCH * len(code)
+            slack = max(4, math.ceil(MATCH * len(code) - need))  # more gaps than this cost more than the score may lack
             best, done = (0, 0, 0), -1
             starts.sort()
             k = 0
@@ -127,15 +114,22 @@ def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list
                     k += 1
                     hi = starts[k] + len(code) + slack
                 k += 1
-                s, a, z = align(code, line[lo : max(hi, 0)])
+                window = line[lo : max(hi, 0)]
+                present[window] = True
+                most = MATCH * int(present[code].sum())  # no more of the item's words can match than occur in the window
+                present[window] = False
+                if most < need or most <= best[0]:
+                    continue
+                s, a, z = align(code, window)
                 if s > best[0]:
                     best = s, lo + a, lo + z
-            if best[0] >= min_score * MATCH * len(code) and best[2] - best[1] >= min(8, len(code)):
+            if best[0] >= need and best[2] - best[1] >= min(8, len(code)):
                 yield item, best[0], best[0] / (MATCH * len(code)), best[1], best[2]
 
     def run(batches):
+        present = np.zeros(len(number) + 1, bool)  # the last for words of no item
         for b in batches:
-            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in links(t)]
+            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in links(t, present)]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, t) for c, t in zip(cols[3:], (pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "share", "begin_word", "end_word"])
@@ -144,7 +138,7 @@ def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score long, share double, begin_word long, end_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, seeds: int = SEEDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links of documents to benchmark items: doc_id, item_id, score, share of a whole copy's score, begin_word, end_word."""
     items, blocks = _sized(benchmark, block_bytes)
     out = None
@@ -155,15 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, seeds: i
         for i, ws in texts.items():
             for at, g in enumerate(grams(ws, n)):
                 places.setdefault(g, []).append((i, at))
-        spark = docs.sparkSession
-        owned = spark.createDataFrame([(g, i, at) for g, xs in places.items() for i, at in xs] or [], "gram string, item_id long, at int")
-        counts = _corpus_counts(docs, set(places), n)
-        order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "gram", "at")
-        rare = owned.join(counts, "gram", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= seeds)
-        chosen: dict[str, list[tuple[int, int]]] = {}
-        for r in rare.select("gram", "item_id", "at").toLocalIterator():
-            chosen.setdefault(r["gram"], []).append((r["item_id"], r["at"]))
-        part = _aligned(docs, texts, chosen, n, min_score)
+        part = _aligned(docs, texts, places, min_score)
         out = part if out is None else out.union(part)
     return out
 

@@ -48,6 +48,23 @@ def test_contaminated(spark):
     assert D.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_contaminated_by_any_surviving_ngram(spark):
+    rng = random.Random(8)
+    sent = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = [(0, sent(50)), (1, sent(50)), (2, "tiny item"), (3, sent(40)), (4, sent(50))]
+    edit = items[0][1].split(" ")
+    edit[5::6] = ["changed"] * len(edit[5::6])
+    half = " ".join(items[1][1].split(" ")[:25])
+    apart = items[3][1].split(" ")
+    docs = [(1, f"{sent(30)} {' '.join(edit)} {sent(30)}"), (2, items[1][1]), (3, f"{sent(30)} {half} {sent(30)}"), (4, f"{sent(9)} Tiny item, {sent(9)}"), (5, f"{sent(9)} tiny")]
+    docs += [(6, " ".join([*apart[:20], sent(30), *apart[20:]]))]  # a whole copy with a long insertion
+    three = " ".join(items[4][1].split(" ")[20:23])
+    docs += [(100 + i, f"{sent(20)} {three} {sent(20)}") for i in range(50)] + [(7, " ".join([sent(20), *items[4][1].split(" ")[8:36], sent(20)]))]  # a common n-gram
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 0): 76, (2, 1): 100, (3, 1): 50, (4, 2): 4, (6, 3): 50, (7, 4): 56}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Head &lt;1&gt;</h1></header><p>One <b>two
  three<p>four&nbsp;five<!-- x --><div class=share><a>Tweet</a></div><ul><li>i<li>j</ul><script>var a="</p>";</script>
