@@ -4,7 +4,9 @@ Lines are lower-cased with white space collapsed; lines of fewer than `min_chars
 one class. Each class's set of five-character shingles has a MinHash signature cut into BANDS keys of ROWS hashes (a pair
 at Jaccard 0.8 shares a key with probability 1 - (1 - 0.8**6)**16 = 0.992, at 0.85 with 0.9995). Keys are sorted over the
 whole corpus by a range exchange, which deals a hot key over several tasks; neighbours of one key, and each line and the
-key's first, are candidates. They are verified on exact Jaccard similarity, those that share the most keys first, and
+key's first, are candidates. They are verified on exact Jaccard similarity, those that share the most keys first. A key
+that still holds several components is then searched whole: its lines outside the largest component against all its lines,
+in blocks of bounded size, on exact intersections. So every pair that shares a key is verified or already in one component;
 a distributed union-find joins them. One line of each component stays: the first by doc_id, text and place.
 
 Null and empty texts have no lines. Rows of equal doc_id and text are one document: the same lines go from each. A null
@@ -22,6 +24,10 @@ from quern.llm.common import components, joined, salted_join, saved
 
 SHINGLE, BANDS, ROWS = 5, 16, 6
 MIN_CHARS = 20
+#: Lines of a block in the search of whole keys; a line longer than LONG counts as several.
+BLOCK, LONG = 256, 256
+#: All pairs of a key with at most this many lines are candidates by place already.
+PAIRED = 4
 
 _rng = np.random.default_rng(6061)
 _mult = (_rng.integers(1, 2**31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -100,7 +106,8 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def candidates(lines: DataFrame, reach: int = 2) -> DataFrame:
-    """Pairs (a, b) of line classes that are neighbours under a key, and how often."""
+    """Pairs (a, b) of line classes that are neighbours under a key, with key null; and the lines a of each key of more
+    than PAIRED lines, or that may run over two partitions, with b null (repeats are possible)."""
 
     def exploded(batches):
         for b in batches:
@@ -110,35 +117,59 @@ def candidates(lines: DataFrame, reach: int = 2) -> DataFrame:
     rows = lines.where("keys is not null").select("keys", "h").mapInArrow(exploded, "key long, h long")
     ordered = rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
 
+    def packed(a, b, key):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if key is None else pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()) if key is None else pa.array(key)], names=["a", "b", "key"])
+
     def run(batches):
-        tail = None
+        tail = None  # of the open key: the first PAIRED lines and the last ones, with their places
+        edge = []  # the first lines of the partition's first key
         for b in batches:
-            if not b.num_rows:
-                continue
             key, h = b.column("key").to_numpy(), b.column("h").to_numpy()
+            fresh = np.ones(len(key), bool)  # a line comes once for each task that saw it
+            fresh[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+            if tail is not None and len(key):
+                fresh[0] = key[0] != tail[0][-1] or h[0] != tail[1][-1]
+            key, h = key[fresh], h[fresh]
+            if not len(key):
+                continue
+            old = 0 if tail is None else len(tail[0])
             if tail is not None:
                 key, h = np.concatenate((tail[0], key)), np.concatenate((tail[1], h))
-            old = 0 if tail is None else len(tail[0])
             n = len(key)
             new = np.ones(n, bool)
             new[1:] = key[1:] != key[:-1]
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            place = np.arange(n) - first
+            if old:
+                place[:old] = tail[2]
+                more = np.arange(old, n)[first[old:] == 0]
+                place[more] = tail[2][-1] + 1 + more - old
             here = np.arange(old, n)
             a, z = [], []
             for d in range(1, reach + 1):
-                x = here[here - d >= first[here]]
+                x = here[place[here] >= d]
                 a.append(x - d)
                 z.append(x)
-            x = here[here - first[here] > reach]
+            x = here[place[here] > reach]
             a, z = np.concatenate([*a, first[x]]), np.concatenate([*z, x])
-            lo, hi = np.minimum(h[a], h[z]), np.maximum(h[a], h[z])
-            keep = lo != hi
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep])], names=["a", "b"])
-            last = np.unique(np.concatenate(([first[-1]], np.arange(max(first[-1], n - reach), n))))
-            tail = key[last], h[last]
-
-    return ordered.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
+            if len(a):
+                yield packed(np.minimum(h[a], h[z]), np.maximum(h[a], h[z]), None)
+            x = here[place[here] >= PAIRED]
+            y = here[place[here] == PAIRED]
+            m = np.concatenate([x, *(first[y] + k for k in range(PAIRED))])
+            if len(m):
+                yield packed(h[m], None, key[m])
+            if tail is None or edge[0][0][0] == key[old]:
+                x = here[(key[here] == (key[0] if tail is None else edge[0][0][0])) & (place[here] < PAIRED)]
+                edge.append((key[x], h[x]))
+            last = np.unique(np.concatenate((np.arange(first[-1], min(first[-1] + PAIRED, n)), np.arange(max(first[-1], n - reach), n))))
+            tail = key[last], h[last], place[last]
+        if tail is not None:
+            for k, x in [*edge, tail[:2]]:
+                yield packed(x, None, k)
+
+    return ordered.mapInArrow(run, "a long, b long, key long")
 
 
 def shingles(line: str) -> set[str]:
@@ -164,17 +195,67 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _whole_keys(members: DataFrame, comp: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between the components of each key that holds several, verified: lines outside the key's largest
+    component against all its lines. members: key, node. Of the links of two blocks, those that join components."""
+    info = texts.select(F.col("h").alias("node"), F.ceil(F.length("line") / LONG).alias("w")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = saved(members.distinct().join(info, "node"), "key-lines", "zstd")
+    counts = rows.groupBy("key", "component").agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("w", "component")).alias("m"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.count("*").alias("k")).where("k > 1")
+    # keys of the same lines are one
+    mixed = mixed.groupBy("n", "x").agg(F.min(F.struct("key", "m", "w")).alias("s")).select("s.key", F.col("s.m.component").alias("main"), F.ceil(F.col("s.w") / BLOCK).cast("int").alias("cuts"), F.ceil((F.col("s.w") - F.col("s.m.w")) / BLOCK).cast("int").alias("rcuts"))
+    full = salted_join(rows, mixed, ["key"], "inner", F.col("node")).join(texts.select(F.col("h").alias("node"), "line"), "node")
+    pack = F.collect_list(F.struct("node", "component", "line"))
+    blocks = full.groupBy("key", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i"), "rcuts").agg(pack.alias("left"))
+    blocks = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("rcuts") - 1)))
+    rest = full.where("component <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.col("rcuts")).cast("int").alias("_j")).agg(pack.alias("right"))
+
+    def run(batches):
+        for b in batches:
+            a, z = [], []
+            for xs, ys in zip(b.column("left"), b.column("right")):
+                xs, ys = xs.values, ys.values
+                p, q = ([shingles(t) for t in v.field("line").to_pylist()] for v in (xs, ys))
+                number = {g: k for k, g in enumerate(set().union(*p) & set().union(*q))}
+                x, y = (np.zeros((len(v), len(number)), np.float32) for v in (p, q))
+                for m, v in ((x, p), (y, q)):
+                    for i, t in enumerate(v):
+                        m[i, [number[g] for g in t if g in number]] = 1
+                both = (x @ y.T).astype(np.int64)
+                union = np.array([len(t) for t in p])[:, None] + np.array([len(t) for t in q]) - both
+                xi, yi, xc, yc = (v.field(c).to_numpy() for c in ("node", "component") for v in (xs, ys))
+                root: dict[int, int] = {}
+
+                def find(c):
+                    while (d := root.get(c, c)) != c:
+                        c = d
+                    return c
+
+                for i, j in zip(*np.nonzero((100 * both >= threshold * union) & (xc[:, None] != yc[None, :]))):
+                    c, d = find(int(xc[i])), find(int(yc[j]))
+                    if c != d:
+                        root[max(c, d)] = min(c, d)
+                        a.append(int(xi[i]))
+                        z.append(int(yi[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+    return blocks.join(rest, ["key", "_j"]).select("left", "right").mapInArrow(run, "a long, b long")
+
+
 def removed_lines(docs: DataFrame, threshold: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, mark and the line numbers (from 0) to remove, for each document that loses lines."""
     lines = saved(lines_of(docs, min_chars), "lines", "zstd")
-    pairs = saved(candidates(lines), "line-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    found = saved(candidates(lines), "line-pairs", "zstd")
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    members = found.where("b is null").select("key", F.col("a").alias("node"))
+    nodes = found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct()
     texts = saved(lines.where("line is not null").select("h", "line").join(nodes, "h", "left_semi").dropDuplicates(["h"]), "line-texts", "zstd")
     top = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
     comp = components(verified(top, texts, threshold))
     ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("_ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
     rest = pairs.select("a", "b").join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-    comp = joined(comp, verified(rest, texts, threshold))
+    comp = joined(comp, verified(rest, texts, threshold).union(_whole_keys(members, comp, texts, threshold)))
 
     occ = F.struct("doc_id", "mark", "pos")
     classes = lines.groupBy("h").agg(F.min(occ).alias("first"), F.count("*").alias("n"))

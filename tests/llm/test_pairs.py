@@ -110,6 +110,30 @@ def test_lines(spark):
     assert line_dedup.removed_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_a_templated_cloud(spark):
+    """Thousands of lines below the threshold share keys; every near pair that shares a key is found all the same."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fixed = letters(100)
+    lines = [fixed + letters(14) for _ in range(1500)]
+    lines += [x[:-k] + letters(k) for x in lines[:150] for k in (rng.choice((6, 7, 8)),)]
+    rng.shuffle(lines)
+    grams = sorted({x[k : k + 5] for x in lines for k in range(len(x) - 4)})
+    number = {g: i for i, g in enumerate(grams)}
+    m = np.zeros((len(lines), len(grams)), np.float32)
+    for i, x in enumerate(lines):
+        m[i, [number[x[k : k + 5]] for k in range(len(x) - 4)]] = 1
+    both, size = m @ m.T, m.sum(1)
+    keys = line_dedup.band_keys(lines)
+    a, z = np.nonzero(np.triu(100 * both >= 80 * (size[:, None] + size - both), 1))
+    near = [(i, j) for i, j in zip(a.tolist(), z.tolist()) if (keys[i] == keys[j]).any()]
+    assert len(near) > 100 and max(np.unique(keys[:, k], return_counts=True)[1].max() for k in range(line_dedup.BANDS)) > 300
+    comp = least(range(len(lines)), near)
+    df = spark.createDataFrame([(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(len(lines) // 10)], "doc_id long, text string").repartition(4)
+    gone = {r.doc_id * 10 + p for r in line_dedup.removed_lines(df).collect() for p in r.removed}
+    assert gone == {i for i in comp if comp[i] != i}
+
+
 def test_cartesian_tree_windows():
     rng = np.random.default_rng(2)
     for n in (0, 5, 40):
