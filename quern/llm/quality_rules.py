@@ -7,8 +7,9 @@ the half set settles or `steps` are done. Every step is two aggregations that co
 holds a third of the rows costs no task more than another does. A row whose distance is beyond the chi-square
 quantile `tail` is rejected.
 
-Groups of fewer than `min_group` base-passing rows are estimated together with their language, and languages below it with
-all rows. A null language or source is a value of its own. Null and empty texts have no words, so they fail the base rule.
+A group of fewer than `min_group` base-passing rows takes the estimate of its language, and where that has fewer, too, the
+estimate of the whole table. These are fitted on all base-passing rows of the language or table, those of large groups
+among them; estimates that no group takes are not made. A null language or source is a value of its own. Null and empty texts have no words, so they fail the base rule.
 Rows of equal content get equal verdicts; an empty table gives an empty table; other columns are passed over.
 """
 
@@ -124,7 +125,9 @@ def _inverted(sums: DataFrame, factor: float) -> DataFrame:
 
 
 def fit(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Returns stats with the column grp and z0..z3, and the estimate of each grp: mu, prec."""
+    """Returns stats with the column grp and z0..z3, and the estimate of each grp: mu, prec.
+
+    grp is the estimate that a row is judged by; the column fits has all estimates that it enters."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     stats = saved(stats, "base-stats")
     z = stats.withColumn("_lang", part("lang")).withColumn("_fine", F.concat_ws("\x1f", part("lang"), part("source")))
@@ -132,10 +135,15 @@ def fit(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 200)
     ok = z.where(~F.col("base_failed"))
     fine = ok.groupBy("_fine", "_lang").agg(F.count("*").alias("n"))
     langs = fine.groupBy("_lang").agg(F.sum("n").alias("nl"))
-    names = saved(fine.join(langs, "_lang").select("_fine", F.when(F.col("n") >= min_group, F.col("_fine")).when(F.col("nl") >= min_group, F.col("_lang")).otherwise(F.lit("all")).alias("grp")), "groups")
+    names = fine.join(langs, "_lang").select("_fine", "_lang", F.when(F.col("n") >= min_group, F.col("_fine")).when(F.col("nl") >= min_group, F.col("_lang")).otherwise(F.lit("all")).alias("grp"))
+    taken = names.groupBy("_lang").agg(F.max(F.col("grp") == F.col("_lang")).alias("_by_lang"))
+    every = names.agg(F.max(F.col("grp") == "all").alias("_by_all"))
+    fits = F.array_compact(F.array(F.when(F.col("grp") == F.col("_fine"), F.col("_fine")), F.when(F.col("_by_lang"), F.col("_lang")), F.when(F.col("_by_all"), F.lit("all"))))
+    names = saved(names.join(taken, "_lang").crossJoin(every).select("_fine", "grp", fits.alias("fits")), "groups")
     z = salted_join(z, names, ["_fine"], "left", F.xxhash64(*STATS)).withColumn("grp", F.coalesce("grp", F.lit("all"))).drop("_lang", "_fine")
     z = saved(z, "stats")
-    ok = z.where(~F.col("base_failed"))
+    zs = [f"z{i}" for i in range(DIMS)]
+    ok = z.where(~F.col("base_failed")).select(F.explode("fits").alias("grp"), *STATS, *zs)
     salt = F.xxhash64(*STATS)
 
     long = ok.select("grp", F.posexplode(F.array(*[f"z{i}" for i in range(DIMS)])).alias("dim", "z"))

@@ -44,3 +44,16 @@ def test_verdicts(spark):
     out = Q.stage(spark, df, "")
     assert out.columns == df.columns and out.count() == 401
     assert Q.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_small_groups_take_the_estimate_of_all_rows(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(rng.randint(40, 120)))
+    junk = lambda: " ".join(word() + "###" for _ in range(60))
+    rows = [(i, good(), "en", "large") for i in range(400)]
+    rows += [(1000 + i, junk(), "en", "junk") for i in range(3)] + [(1010, junk(), "en", "one")] + [(1020 + i, junk(), "xx", "alone") for i in range(3)] + [(1030, junk(), None, None)]
+    rows += [(500 + i, good(), "en", "small") for i in range(3)] + [(510, good(), "yy", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Q.verdicts(df, ["doc_id", "lang", "source"])
+    assert {r.doc_id: r.kept for r in got.collect()} == {i: i < 1000 for i, *_ in rows}
