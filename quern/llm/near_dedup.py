@@ -9,7 +9,7 @@ alike first, and linked. Later rounds only take candidates whose documents are i
 
 A region that still holds several components is then searched whole: its members outside the largest component against
 all its members, in blocks of bounded size. So every pair that shares a region of any tree is linked, verified, ruled out by
-its 144 min-hashes or already in one component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
+its sizes or its 144 min-hashes (five deviations) or already in one component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
 
 Null, empty and wordless texts have the empty set and link with nothing. A text with fewer words than a shingle is one
 shingle. Rows of equal doc_id are one node; a null doc_id links with nothing and is kept. Other columns are passed over.
@@ -29,9 +29,9 @@ from quern.llm.common import WORD, components, joined, salted_join, saved
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 5
 SKETCH = 64
-#: Sketches of four-bit hashes may be this far below the threshold by chance (five deviations), and whole signatures, which are
-#: only asked in the last search, this far (three deviations).
-SKETCH_SLACK, SIGNATURE_SLACK = 0.25, 0.10
+#: Sketches of four-bit hashes may be this far below the threshold by chance, and whole signatures, which are only asked in the
+#: last search, this far (five deviations each).
+SKETCH_SLACK, SIGNATURE_SLACK = 0.25, 0.17
 BLOCK = 256
 
 _word = re.compile(WORD)
@@ -186,17 +186,17 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
 
 
-def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: float, threshold: int) -> DataFrame:
     """Pairs (out, a, b, alike) of different components in regions that hold several, whose signatures agree to at least
     `least`: members outside a region's largest component, out, against all its members. A pair is given by the first
-    tree in which it shares a region."""
+    tree in which it shares a region, unless its sizes alone rule out the threshold."""
     member = near.select("region", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
     member = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = member.groupBy("region", "component").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
     mixed = mixed.select("region", F.col("m.component").alias("main"), F.greatest(F.ceil(F.col("all") / BLOCK), F.lit(1)).cast("int").alias("cuts"), F.greatest(F.ceil((F.col("all") - F.col("m.n")) / BLOCK), F.lit(1)).cast("int").alias("rcuts"))
-    rows = salted_join(member, mixed, ["region"], "inner", F.col("node")).join(sigs.select(F.col("doc_id").alias("node"), "sig"), "node")
-    pack = F.collect_list(F.struct("node", "component", "sig"))
+    rows = salted_join(member, mixed, ["region"], "inner", F.col("node")).join(sigs.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "node")
+    pack = F.collect_list(F.struct("node", "component", "n_shingles", "sig"))
     blocks = rows.groupBy("region", "tree", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i")).agg(pack.alias("left"))
     rest = rows.where("component <> main").groupBy("region", F.pmod(F.xxhash64("node"), F.col("rcuts")).alias("_j")).agg(pack.alias("right"))
 
@@ -207,10 +207,12 @@ def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: flo
                 x, y = (_matrix(v.field("sig"), "<u4", TREES * DEPTH) for v in (xs, ys))
                 xi, yi = (v.field("node").to_numpy() for v in (xs, ys))
                 xc, yc = (v.field("component").to_numpy() for v in (xs, ys))
+                xn, yn = (v.field("n_shingles").to_numpy() for v in (xs, ys))
+                fit = 100 * np.minimum(xn[:, None], yn[None, :]) >= threshold * np.maximum(xn[:, None], yn[None, :])
                 same = np.zeros((len(xi), len(yi)), np.int32)
                 for k in range(TREES * DEPTH):
                     same += x[:, k, None] == y[None, :, k]
-                i, j = np.nonzero((same >= least * TREES * DEPTH) & (xc[:, None] != yc[None, :]))
+                i, j = np.nonzero((same >= least * TREES * DEPTH) & fit & (xc[:, None] != yc[None, :]))
                 alike = same[i, j] / (TREES * DEPTH)
                 head = lambda m: m.reshape(len(m), TREES, DEPTH)[:, : t + 1, :MIN_DEPTH]
                 first = (head(x)[i] == head(y)[j]).all(2).argmax(1) == t
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     share = threshold / 100
     sigs = saved(signatures(docs, size), "signatures")
     classes = saved(sigs.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = sigs.where("sig is not null").join(classes.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig")
+    reps = sigs.where("sig is not null").join(classes.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig")
     reps = saved(reps, "representatives")
     near = saved(neighbours(forest(reps), share - SKETCH_SLACK), "neighbours")
     pairs = saved(near.where("alike > 0").groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
@@ -238,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     comp = components(verified(top, sets, threshold))
     comp = joined(comp, verified(_apart(pairs.select("a", "b"), comp), sets, threshold))
     # what regions with several components still hide: each outsider's most alike first, then all that are still apart
-    wide = saved(_whole_regions(near, comp, reps, share - SIGNATURE_SLACK), "region-pairs")
+    wide = saved(_whole_regions(near, comp, reps, share - SIGNATURE_SLACK, threshold), "region-pairs")
     place = F.row_number().over(Window.partitionBy("out").orderBy(F.desc("alike"), "a", "b"))
     comp = joined(comp, verified(wide.withColumn("place", place).where("place <= 4"), sets, threshold))
     comp = joined(comp, verified(_apart(wide.select("a", "b").distinct(), comp), sets, threshold))

@@ -74,6 +74,24 @@ def test_near_duplicates(spark):
     assert near_dedup.stage(spark, df.select("doc_id", "text"), "").count() < len(rows)
 
 
+def test_whole_regions_keep_pairs_of_unlucky_signatures(spark):
+    """A pair at 0.8 whose min-hashes agree in over three deviations fewer places than expected is still given for verification."""
+    rng = np.random.default_rng(3)
+    share = lambda x, y: near_dedup.signature(x) == near_dedup.signature(y)
+    while True:
+        h = rng.integers(1, 2**63, 90, np.uint64)
+        x, y = h[:81], np.concatenate((h[:72], h[81:]))  # 72 of 90
+        same = share(x, y)
+        heads = same.reshape(near_dedup.TREES, near_dedup.DEPTH)[:, : near_dedup.MIN_DEPTH].all(1)
+        if same.mean() < 0.70 and heads.any():
+            break
+    sigs = spark.createDataFrame([(i, 81, bytearray(near_dedup.signature(v).tobytes())) for i, v in ((1, x), (2, y))] + [(3, 40, bytearray(near_dedup.signature(x).tobytes()))], "doc_id long, n_shingles long, sig binary")
+    near = spark.createDataFrame([(7, int(heads.argmax()), 1, 2), (7, int(heads.argmax()), 1, 3)], "region long, tree int, a long, b long")
+    least_share = 0.8 - near_dedup.SIGNATURE_SLACK
+    comp = spark.createDataFrame([], "node long, component long")
+    assert {(r.a, r.b) for r in near_dedup._whole_regions(near, comp, sigs, least_share, 80).collect()} == {(1, 2)}
+
+
 def test_lines(spark):
     rng = random.Random(9)
     lines = [sentence(rng, 12) for _ in range(20)]
