@@ -13,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the
+    whole session is one machine's (tests)."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-quern-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,6 +38,11 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, table: str) -> DataFrame:
+    """df saved with a column of unique numbers: they are fixed once a task's rows are written."""
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), table)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, salt: Column, n: int = 16) -> DataFrame:
     """Join with a right side of few rows per key; a key that holds a large share of left is dealt over n partitions.
 

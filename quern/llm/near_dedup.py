@@ -1,18 +1,20 @@
 """5. Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Texts with equal shingle sets are one class from the start. Each class has a signature of TREES x DEPTH min-hashes, cut into
-TREES keys. The keys of every tree are sorted over the whole corpus (a range exchange, so a region that holds a third of
-all rows is dealt over many tasks). Neighbours in an order that share at least MIN_DEPTH leading hashes are
-candidates, and so is each with the first of its region; in dense regions a neighbour shares a longer prefix than in sparse
-ones, so depth adapts to the region. Candidates whose sketches agree are verified on the full shingle sets, the most
-alike first, and linked. Later rounds only take candidates whose documents are in different components.
-
-A region that still holds several components is then searched whole: its members outside the largest component against
-all its members, in blocks of bounded size. So every pair that shares a region of any tree is linked, verified, ruled out by
-its sizes or its 144 min-hashes (five deviations) or already in one component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
+Texts with equal shingle sets are one class from the start; a class is known by a 128-bit digest of its whole set. Each class
+has a signature of TREES x DEPTH min-hashes, cut into TREES keys. The keys of every tree are sorted over the whole corpus (a
+range exchange, so a region that holds a third of all rows is dealt over many tasks), equal keys in an order of the
+tree's own. Neighbours in an order that share at least MIN_DEPTH leading hashes are candidates; in dense regions a
+neighbour shares a longer prefix than in sparse ones, so depth adapts to the region. No row is a candidate of more than
+2 x REACH x TREES others. Candidates whose sketches agree are verified on the full shingle sets, the most alike first, and
+linked. Later rounds only take candidates whose classes are in different components.
+
+A region that still holds several components is then searched whole (blocks.py): its members outside the largest component
+against all its members, on their full sets. So every pair that shares a region of any tree is verified or already in one
+component; the chance that a pair at the threshold shares none of 24 regions is (1 - 0.8**5)**24 = 7e-5.
 
 Null, empty and wordless texts have the empty set and link with nothing. A text with fewer words than a shingle is one
-shingle. Rows of equal doc_id are one node; a null doc_id links with nothing and is kept. Other columns are passed over.
+shingle. Rows of equal doc_id each have their own text's component; a null doc_id links with nothing and is kept. Rows
+repeat as in the input; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -22,17 +24,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, components, joined, salted_join, saved
+from quern.llm.blocks import LONG, crowded_links
+from quern.llm.common import WORD, components, joined, numbered, salted_join, saved
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 5
 SKETCH = 64
-#: Sketches of four-bit hashes may be this far below the threshold by chance, and whole signatures, which are only asked in the
-#: last search, this far (five deviations each).
-SKETCH_SLACK, SIGNATURE_SLACK = 0.25, 0.17
-BLOCK = 256
+#: Sketches of four-bit hashes may be this far below the threshold by chance (five deviations); what they rule out among
+#: neighbours is still met in the whole search.
+SKETCH_SLACK = 0.25
+REACH = 2
 
 _word = re.compile(WORD)
 _lower = {i: i + 32 for i in range(65, 91)}
@@ -61,6 +64,10 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best.astype(np.uint32)
 
 
+def digest(hashes: bytes) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_id (a hash of the whole set), sig; set_id and sig are null for empty sets."""
 
@@ -72,7 +79,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     h = shingle_hashes(t, size)
                     n.append(len(h))
-                    ids.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                    ids.append(digest(h.tobytes()) if len(h) else None)
                     sigs.append(signature(h).tobytes() if len(h) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
 
@@ -84,8 +91,8 @@ def _matrix(col: pa.Array, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), width)
 
 
-def forest(sigs: DataFrame) -> DataFrame:
-    """One row for each tree: tree, key (DEPTH hashes, big-endian), doc_id, sketch; sorted within range partitions."""
+def forest(classes: DataFrame) -> DataFrame:
+    """One row for each tree: tree, key (DEPTH hashes, big-endian), node, sketch; sorted within range partitions."""
 
     def run(batches):
         for b in batches:
@@ -95,28 +102,32 @@ def forest(sigs: DataFrame) -> DataFrame:
                 low = (m[:, :SKETCH] & 15).astype(np.uint8)
                 sketch = pa.array([x.tobytes() for x in (low[:, ::2] << 4 | low[:, 1::2])], pa.binary())
                 for t in range(TREES):
-                    keys = m[:, t * DEPTH : (t + 1) * DEPTH].astype(">u4")
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), part.column("doc_id"), sketch], names=["tree", "key", "doc_id", "sketch"])
+                    # after the tree's own hashes come those of the next tree: equal keys meet different neighbours in each
+                    keys = m[:, [(t * DEPTH + i) % (TREES * DEPTH) for i in range(DEPTH + 2)]].astype(">u4")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), part.column("node"), sketch], names=["tree", "key", "node", "sketch"])
 
-    rows = sigs.mapInArrow(run, "tree int, key binary, doc_id long, sketch binary")
-    return rows.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    rows = classes.select("node", "sig").mapInArrow(run, "tree int, key binary, node long, sketch binary").withColumn("turn", F.xxhash64("node", "tree"))
+    return rows.repartitionByRange("tree", "key", "turn").sortWithinPartitions("tree", "key", "turn").drop("turn")
 
 
-def neighbours(ordered: DataFrame, least: float, reach: int = 2) -> DataFrame:
-    """region, tree, a, b, alike for rows at most `reach` apart in one region, and for each row and its region's first.
-
-    alike is the sketches' estimate, or 0 below `least`. Where a region runs over two partitions, each part has a first row.
-    """
+def neighbours(ordered: DataFrame, least: float, reach: int = REACH) -> DataFrame:
+    """a, b, alike of rows at most `reach` apart in one region, alike being their sketches' estimate of at least `least`; and
+    region, a with b null for the members of regions of more than one row, or that may run over two partitions."""
     agree = np.array([[(int(x >> 4 == y >> 4)) + int(x & 15 == y & 15) for y in range(256)] for x in range(256)], np.uint8)
 
+    def members(region, ids):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], names=["region", "a", "b", "alike"])
+
     def run(batches):
-        tail = None  # the last rows and the first row of the last region
+        tail = head = None  # the open region's last rows; the partition's first region, which may have begun in another
+        given = True  # whether the last row is given as a member
         for b in batches:
             if not b.num_rows:
                 continue
             tree = b.column("tree").to_numpy()
-            key = _matrix(b.column("key"), ">u4", DEPTH)
-            ids = b.column("doc_id").to_numpy()
+            key = _matrix(b.column("key"), ">u4", DEPTH + 2)
+            ids = b.column("node").to_numpy()
             sk = _matrix(b.column("sketch"), "u1", SKETCH // 2)
             if tail is not None:
                 tree, key, ids, sk = (np.concatenate((x, y)) for x, y in zip(tail, (tree, key, ids, sk)))
@@ -126,37 +137,44 @@ def neighbours(ordered: DataFrame, least: float, reach: int = 2) -> DataFrame:
             new[1:] = (tree[1:] != tree[:-1]) | (key[1:, :MIN_DEPTH] != key[:-1, :MIN_DEPTH]).any(1)
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             here = np.arange(old, n)
-            a, z = [], []
-            for d in range(1, reach + 1):
-                x = here[here - d >= first[here]]
-                a.append(x - d)
-                z.append(x)
-            x = here[here - first[here] > reach]
-            a.append(first[x])
-            z.append(x)
-            a, z = np.concatenate(a), np.concatenate(z)
+            pairs = [(x - d, x) for d in range(1, reach + 1) for x in (here[here - d >= first[here]],)]
+            a, z = (np.concatenate(v) for v in zip(*pairs))
             if len(a):
                 same = agree[sk[a], sk[z]].sum(1) / SKETCH
-                alike = np.where((same - 1 / 16) / (1 - 1 / 16) >= least, same, 0.0)
-                region = (key[a, :MIN_DEPTH].astype(np.uint64) * _mult[:MIN_DEPTH]).sum(1, dtype=np.uint64) ^ (tree[a].astype(np.uint64) * _mult[MIN_DEPTH])
+                good = (same - 1 / 16) / (1 - 1 / 16) >= least
+                a, z, same = a[good], z[good], same[good]
                 lo, hi = np.minimum(ids[a], ids[z]), np.maximum(ids[a], ids[z])
-                yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(tree[a]), pa.array(lo), pa.array(hi), pa.array(alike)], names=["region", "tree", "a", "b", "alike"])
-            keep = np.unique(np.concatenate(([first[-1]], np.arange(max(first[-1], n - reach), n))))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(lo), pa.int64()), pa.array(lo), pa.array(hi), pa.array(same)], names=["region", "a", "b", "alike"])
+            region = (key[:, :MIN_DEPTH].astype(np.uint64) * _mult[:MIN_DEPTH]).sum(1, dtype=np.uint64) ^ (tree.astype(np.uint64) * _mult[MIN_DEPTH])
+            head = region[0] if head is None else head
+            member = ~new | (region == head)
+            member[:-1] |= ~new[1:]
+            member[:old] &= not given and np.arange(old) == old - 1
+            if member.any():
+                yield members(region[member], ids[member])
+            given = bool(member[-1])
+            keep = np.arange(max(first[-1], n - reach), n)
             tail = tree[keep], key[keep], ids[keep], sk[keep]
+            last = region[-1:], ids[-1:]
+        if tail is not None and not given:
+            yield members(*last)
 
-    return ordered.mapInArrow(run, "region long, tree int, a long, b long, alike double")
+    return ordered.mapInArrow(run, "region long, a long, b long, alike double")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and the sorted shingle hashes of the documents in ids (doc_id), as bytes."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node and the sorted shingle hashes, as bytes, of the classes (node, set_id, rep)."""
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shingle_hashes(t, size).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "hashes"])
+                hs = [shingle_hashes(t, size).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in hs], pa.binary()), pa.array(hs, pa.binary())], names=["set_id", "hashes"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary")
+    rows = docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = rows.select("text").mapInArrow(run, "set_id binary, hashes binary")
+    return sets.join(classes.select("node", "set_id"), "set_id").select("node", "hashes").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -164,88 +182,58 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            good = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    continue
-                common = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-                good[i] = 100 * common >= threshold * (len(p) + len(q) - common)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    full = pairs.select("a", "b").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                good = np.zeros(part.num_rows, bool)
+                for i, (p, q) in enumerate(zip(as_sets(part.column("x")), as_sets(part.column("y")))):
+                    if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                        continue
+                    common = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
+                    good[i] = 100 * common >= threshold * (len(p) + len(q) - common)
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
+
+    full = pairs.select("a", "b").distinct().join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    full = full.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose documents are in different components."""
+def as_sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
     ca = comp.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
     cb = comp.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
 
 
-def _whole_regions(near: DataFrame, comp: DataFrame, sigs: DataFrame, least: float, threshold: int) -> DataFrame:
-    """Pairs (out, a, b, alike) of different components in regions that hold several, whose signatures agree to at least
-    `least`: members outside a region's largest component, out, against all its members. A pair is given by the first
-    tree in which it shares a region, unless its sizes alone rule out the threshold."""
-    member = near.select("region", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
-    member = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = member.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
-    mixed = mixed.select("region", F.col("m.component").alias("main"), F.greatest(F.ceil(F.col("all") / BLOCK), F.lit(1)).cast("int").alias("cuts"), F.greatest(F.ceil((F.col("all") - F.col("m.n")) / BLOCK), F.lit(1)).cast("int").alias("rcuts"))
-    rows = salted_join(member, mixed, ["region"], "inner", F.col("node")).join(sigs.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "node")
-    pack = F.collect_list(F.struct("node", "component", "n_shingles", "sig"))
-    blocks = rows.groupBy("region", "tree", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i")).agg(pack.alias("left"))
-    rest = rows.where("component <> main").groupBy("region", F.pmod(F.xxhash64("node"), F.col("rcuts")).alias("_j")).agg(pack.alias("right"))
-
-    def run(batches):
-        for b in batches:
-            for t, xs, ys in zip(b.column("tree").to_pylist(), b.column("left"), b.column("right")):
-                xs, ys = xs.values, ys.values
-                x, y = (_matrix(v.field("sig"), "<u4", TREES * DEPTH) for v in (xs, ys))
-                xi, yi = (v.field("node").to_numpy() for v in (xs, ys))
-                xc, yc = (v.field("component").to_numpy() for v in (xs, ys))
-                xn, yn = (v.field("n_shingles").to_numpy() for v in (xs, ys))
-                fit = 100 * np.minimum(xn[:, None], yn[None, :]) >= threshold * np.maximum(xn[:, None], yn[None, :])
-                same = np.zeros((len(xi), len(yi)), np.int32)
-                for k in range(TREES * DEPTH):
-                    same += x[:, k, None] == y[None, :, k]
-                i, j = np.nonzero((same >= least * TREES * DEPTH) & fit & (xc[:, None] != yc[None, :]))
-                alike = same[i, j] / (TREES * DEPTH)
-                head = lambda m: m.reshape(len(m), TREES, DEPTH)[:, : t + 1, :MIN_DEPTH]
-                first = (head(x)[i] == head(y)[j]).all(2).argmax(1) == t
-                i, j, alike = i[first], j[first], alike[first]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(yi[j]), pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j])), pa.array(alike)], names=["out", "a", "b", "alike"])
-
-    return blocks.join(rest, "region").select("tree", "left", "right").mapInArrow(run, "out long, a long, b long, alike double")
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    share = threshold / 100
     sigs = saved(signatures(docs, size), "signatures")
-    classes = saved(sigs.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = sigs.where("sig is not null").join(classes.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig")
-    reps = saved(reps, "representatives")
-    near = saved(neighbours(forest(reps), share - SKETCH_SLACK), "neighbours")
-    pairs = saved(near.where("alike > 0").groupBy("a", "b").agg(F.max("alike").alias("alike")), "candidates")
-    nodes = saved(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-    sets = saved(shingle_sets(docs.join(reps.select("doc_id"), "doc_id", "left_semi"), nodes, size).dropDuplicates(["doc_id"]), "sets")
-
-    # first each document's most alike candidate, then what still links different components
-    top = pairs.groupBy("a").agg(F.max_by("b", "alike").alias("b")).union(pairs.groupBy("b").agg(F.max_by("a", "alike").alias("a")).select("a", "b"))
+    some = sigs.where("set_id is not null and doc_id is not null")
+    classes = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
+    classes = numbered(classes, "node", "classes")
+    near = saved(neighbours(forest(classes), threshold / 100 - SKETCH_SLACK), "neighbours")
+    pairs = near.where("b is not null").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    pairs = saved(pairs, "candidates")
+    members = near.where("b is null").select(F.col("region").alias("key"), F.col("a").alias("node"))
+    wanted = classes.select("node", "set_id", "rep", "n_shingles").join(members.select("node").distinct(), "node", "left_semi")
+    sets = saved(shingle_sets(docs, wanted, size), "sets")
+
+    # first each class's most alike candidate, then what still links different components
+    best = lambda c: F.max_by(c, F.struct("alike", c))
+    top = pairs.groupBy("a").agg(best("b").alias("b")).union(pairs.groupBy("b").agg(best("a").alias("a")).select("a", "b"))
     comp = components(verified(top, sets, threshold))
-    comp = joined(comp, verified(_apart(pairs.select("a", "b"), comp), sets, threshold))
-    # what regions with several components still hide: each outsider's most alike first, then all that are still apart
-    wide = saved(_whole_regions(near, comp, reps, share - SIGNATURE_SLACK, threshold), "region-pairs")
-    place = F.row_number().over(Window.partitionBy("out").orderBy(F.desc("alike"), "a", "b"))
-    comp = joined(comp, verified(wide.withColumn("place", place).where("place <= 4"), sets, threshold))
-    comp = joined(comp, verified(_apart(wide.select("a", "b").distinct(), comp), sets, threshold))
-
-    of_class = classes.join(comp, classes["rep"] == comp["node"], "left").where("n > 1 or component <> rep").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    comp = joined(comp, verified(apart(pairs.select("a", "b"), comp), sets, threshold))
+    # what regions with several components still hide
+    items = sets.join(wanted.select("node", F.ceil(F.col("n_shingles") / LONG).cast("int").alias("weight")), "node").withColumnRenamed("hashes", "item")
+    comp = joined(comp, crowded_links(members, comp, items, as_sets, threshold))
+
+    of_class = classes.select("node", "set_id", "rep", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")
+    of_class = salted_join(of_class, least, ["component"], "inner", F.col("node")).select("set_id", "component_id")
     out = salted_join(sigs.select("doc_id", "n_shingles", "set_id"), of_class, ["set_id"], "left", F.coalesce("doc_id", F.lit(0)))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -257,6 +245,6 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, on shingles of five words."""
-    gone = saved(near_duplicates(docs).where("not kept").select("doc_id"), "duplicates")
+    """Pipeline stage: one document of each component stays, on the two-word shingles of op5's contract."""
+    gone = saved(near_duplicates(docs, size=2).where("not kept").select("doc_id"), "duplicates")
     return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)

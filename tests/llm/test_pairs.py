@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from quern.llm import common, line_dedup, near_dedup, substring_dedup
+from quern.llm import blocks, common, line_dedup, near_dedup, substring_dedup
 
 
 def sentence(rng, n):
@@ -74,8 +74,8 @@ def test_near_duplicates(spark):
     assert near_dedup.stage(spark, df.select("doc_id", "text"), "").count() < len(rows)
 
 
-def test_whole_regions_keep_pairs_of_unlucky_signatures(spark):
-    """A pair at 0.8 whose min-hashes agree in over three deviations fewer places than expected is still given for verification."""
+def test_crowded_keys_keep_pairs_of_unlucky_signatures(spark):
+    """A pair at 0.8 whose min-hashes agree in over three deviations fewer places than expected is still verified."""
     rng = np.random.default_rng(3)
     share = lambda x, y: near_dedup.signature(x) == near_dedup.signature(y)
     while True:
@@ -85,11 +85,29 @@ def test_whole_regions_keep_pairs_of_unlucky_signatures(spark):
         heads = same.reshape(near_dedup.TREES, near_dedup.DEPTH)[:, : near_dedup.MIN_DEPTH].all(1)
         if same.mean() < 0.70 and heads.any():
             break
-    sigs = spark.createDataFrame([(i, 81, bytearray(near_dedup.signature(v).tobytes())) for i, v in ((1, x), (2, y))] + [(3, 40, bytearray(near_dedup.signature(x).tobytes()))], "doc_id long, n_shingles long, sig binary")
-    near = spark.createDataFrame([(7, int(heads.argmax()), 1, 2), (7, int(heads.argmax()), 1, 3)], "region long, tree int, a long, b long")
-    least_share = 0.8 - near_dedup.SIGNATURE_SLACK
+    sets = {1: np.sort(x), 2: np.sort(y), 3: np.sort(x)[:40]}
+    items = spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in sets.items()], "node long, weight int, item binary")
+    members = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (7, 3)], "key long, node long")
     comp = spark.createDataFrame([], "node long, component long")
-    assert {(r.a, r.b) for r in near_dedup._whole_regions(near, comp, sigs, least_share, 80).collect()} == {(1, 2)}
+    got = {tuple(sorted((r.a, r.b))) for r in blocks.crowded_links(members, comp, items, near_dedup.as_sets, 80).collect()}
+    assert got == {(1, 2)}
+
+
+def test_crowded_keys_give_a_forest(spark):
+    """Thousands of links within one key come out as links that join its components, whatever the blocks."""
+    rng = np.random.default_rng(8)
+    core = rng.integers(1, 2**63, 100, np.uint64)
+    sets = {i: np.unique(np.concatenate((core[: 100 - i % 37], rng.integers(1, 2**63, i % 37, np.uint64)))) for i in range(300)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    want = least(sets, pairs)
+    items = spark.createDataFrame([(i, 1 + i % 3, bytearray(v.tobytes())) for i, v in sets.items()], "node long, weight int, item binary")
+    members = spark.createDataFrame([(k, i) for i in sets for k in (1, 2)] + [(3, i) for i in range(40)], "key long, node long")
+    comp = common.components(spark.createDataFrame(pairs[::50], "a long, b long"))
+    for block in (16, 1000):
+        links = blocks.crowded_links(members, comp, items, near_dedup.as_sets, 80, block)
+        assert links.count() < 20 * len(sets)
+        got = {r.node: r.component for r in common.joined(comp, links).collect()}
+        assert {i: got.get(i, i) for i in sets} == want
 
 
 def test_lines(spark):
