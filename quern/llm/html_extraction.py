@@ -1,16 +1,22 @@
 """4. Main text of web pages, with site templates removed.
 
-A page is parsed into a tree of elements. The hash of every element's subtree (tags, classes and text) outside running text is
-counted per host over distinct pages; a subtree found on at least `min_pages` pages of its host and on `min_share` of them
-is template and is deleted. What a page's article says is not template however often it is repeated, so inside an
-article only elements other than text blocks (lists of links, boxes, sections of their own) can be deleted so.
-Besides, elements that declare what they are (nav, footer, aside, form, script, an advert's class, ...) are deleted.
+A page is parsed into a tree of elements. The hash of every element's subtree (tags, classes and text) that can be template is
+counted per host. Outside an article that is every block, counted over distinct pages. What an article says is not
+template however often it is copied, so inside one it is only a box (a list, a division, a table, a section) that holds less
+than half of the article's text, counted over distinct articles: a box in many different articles is the site's. A
+subtree with a count of at least `min_pages` and of log2 of the host's pages is template and is deleted; the bar grows so
+slowly that a section's menu is found on a host of millions of pages as on a small one.
+Besides, elements that declare what they are (nav, footer, aside, form, script, an advert's class, ...) are deleted; that
+covers pages of hosts too small to count. A subtree is known by 64 bits: a wrong deletion takes a hash equal to one of the
+few templates of its own host.
 
 The text is that of the article element, or main, or else the body: blocks in page order, white space within a block as one
-space, blocks joined by one newline. Character references are decoded once, as HTML does.
+space, blocks joined by one newline. br is white space within its block, as it is no block in HTML. Character references are
+decoded once, as HTML does.
 
 Null or empty html gives an empty text; a null url or one without a host is a host of its own; rows repeat as they do in the
-input; other columns are passed over.
+input, rows of equal html are one page of a host; other columns are passed over. Long pages and stray tags take time in
+proportion to their length.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +33,17 @@ from pyspark.sql import functions as F
 from quern.llm.common import salted_join, saved
 
 MIN_PAGES = 5
-MIN_SHARE = 0.2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 #: Elements that are never main text.
 DROPPED = frozenset("script style noscript template iframe noembed noframes xmp object embed applet svg math canvas audio video map head title nav footer aside form button select option datalist input textarea label fieldset dialog menu".split())
 #: Elements that begin and end a block.
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that can be a box of the site's within an article.
+BOXES = frozenset("ul ol div section table dl details figure".split())
 #: A start tag of these ends an open p.
-ENDS_P = BLOCKS - {"br", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "html", "body", "option", "optgroup", "legend"}
+ENDS_P = BLOCKS - {"td", "th", "tr", "caption", "tbody", "thead", "tfoot", "html", "body", "option", "optgroup", "legend"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 #: Text-level elements, closed when the block around them ends.
@@ -69,6 +77,16 @@ def parse(source: str) -> Node:
     """The page's tree: kids are nodes and strings. Tags that a page leaves open end where HTML ends them."""
     root = Node("#root")
     at, here = 0, root
+    open_: Counter[str] = Counter()  # elements that are open, by tag: a stray end tag ends nothing
+
+    def close(x: Node) -> Node:
+        """x and all that is open in it end; where the page goes on."""
+        y = here
+        while y is not x.parent:
+            open_[y.tag] -= 1
+            y = y.parent
+        return y
+
     n = len(source)
     while at < n:
         m = _tag.search(source, at)
@@ -83,29 +101,30 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            x = here
+            x = here if open_[tag] else root
             while x is not root and x.tag != tag:
                 if tag in INLINE and x.tag in BLOCKS and x.tag != "p":
                     x = root  # a stray end tag of running text does not end a block
                     break
                 x = x.parent
             if x is not root:
-                here = x.parent
+                here = close(x)
             elif tag == "p":
                 here.kids.append(Node("p", "", here))
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"]:
             x = here
             while x is not root and (x.tag in INLINE):
                 x = x.parent
             if x.tag == "p":
-                here = x.parent
-        if tag in CLOSES:
-            x, stop = here, SCOPE.get(tag, ())
+                here = close(x)
+        if tag in CLOSES and any(open_[k] for k in CLOSES[tag]):
+            x, stop, last = here, SCOPE.get(tag, ()), None
             while x is not root and x.tag not in stop:
                 if x.tag in CLOSES[tag]:
-                    here = x.parent
+                    last = x
                 x = x.parent
+            here = close(last) if last else here
         node = Node(tag, m[3], here)
         here.kids.append(node)
         if tag in RAW:
@@ -113,12 +132,9 @@ def parse(source: str) -> Node:
             if end.start() > at:
                 node.kids.append(source[at : end.start()])
             at = max(end.end(), at)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")):  # the slash of others means nothing
             here = node
-        elif tag not in VOID and tag in ("svg", "math"):
-            pass
-        elif tag not in VOID:
-            here = node  # HTML ignores the slash of other elements
+            open_[tag] += 1
     return root
 
 
@@ -157,44 +173,44 @@ def unwanted(x: Node, inside: bool) -> bool:
 def digests(root: Node) -> None:
     """Sets the hash of each node's subtree, children before parents."""
     for x in reversed(list(_nodes(root))):
-        h = hashlib.blake2b(f"{x.tag}\x1f{x.name}\x1f{x.role}".encode("utf-8", "replace"), digest_size=8)
+        h = hashlib.blake2b(f"{x.tag}\x1f{x.name}\x1f{x.role}".encode("utf-8", "replace"), digest_size=16)
         for k in x.kids:
             h.update(b"\x1e" + (k.digest if type(k) is Node else _space.sub(" ", k).strip().encode("utf-8", "replace")))
         x.digest = h.digest()
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that can be template: block elements outside the article, and what is no text block in it."""
-    inner = {id(x) for x in container(root)} if any(x.tag in ("article", "main") or x.role == "main" for x in _nodes(root)) else set()
-    out: set[int] = set()
-    todo = [(root, False)]
+def _sizes(root: Node) -> dict[int, int]:
+    """Characters of text in each node's subtree, by the node's identity."""
+    out: dict[int, int] = {}
+    for x in reversed(list(_nodes(root))):
+        out[id(x)] = sum(out[id(k)] if type(k) is Node else len(k.strip()) for k in x.kids)
+    return out
+
+
+def candidates(root: Node) -> set[tuple[int, int]]:
+    """Hashes of the subtrees that can be template, each with 0, or the hash of the article that it stands in."""
+    named = any(x.tag in ("article", "main") or x.role == "main" for x in _nodes(root))
+    inner = {id(x) for x in container(root)} if named else set()
+    size = _sizes(root)
+    out: set[tuple[int, int]] = set()
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
-        x, inside = todo.pop()
-        inside = inside or id(x) in inner
+        x, article = todo.pop()
+        article = x if id(x) in inner else article
         for k in x.kids:
             if type(k) is Node:
-                todo.append((k, inside))
+                todo.append((k, article))
         if x is root or x.tag in ("html", "body", "head", "article", "main") or x.tag not in BLOCKS or id(x) in inner:
             continue
-        if not inside or (x.tag in ("ul", "ol", "div", "section", "aside", "table", "dl") and _links(x)):
-            out.add(int.from_bytes(x.digest, "big", signed=True))
+        if article is None:
+            out.add((_number(x), 0))
+        elif x.tag in BOXES and 2 * size[id(x)] < size[id(article)]:
+            out.add((_number(x), _number(article)))
     return out
 
 
-def _links(x: Node) -> bool:
-    """Whether most of an element's text is in links."""
-    linked = total = 0
-    todo = [(x, False)]
-    while todo:
-        y, in_link = todo.pop()
-        in_link = in_link or y.tag == "a"
-        for k in y.kids:
-            if type(k) is Node:
-                todo.append((k, in_link))
-            else:
-                total += len(k.strip())
-                linked += len(k.strip()) if in_link else 0
-    return total > 0 and linked * 2 > total
+def _number(x: Node) -> int:
+    return int.from_bytes(x.digest[:8], "big", signed=True)
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -217,8 +233,10 @@ def main_text(root: Node, template: set[int]) -> str:
                 end()
             elif type(x) is str:
                 line.append(x)
+            elif x.tag == "br":
+                line.append("\n")
             else:
-                if x is not top and (unwanted(x, inside) or int.from_bytes(x.digest, "big", signed=True) in template or (x.tag == "article" and inside and x.name and NAMED.search(x.name))):
+                if x is not top and (unwanted(x, inside) or (template and x.digest and _number(x) in template) or (x.tag == "article" and inside and x.name and NAMED.search(x.name))):
                     end() if x.tag in BLOCKS else None
                     continue
                 if x.tag in BLOCKS:
@@ -229,29 +247,32 @@ def main_text(root: Node, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("mark"))
+    kind = pa.list_(pa.struct([("sub", pa.int64()), ("of", pa.int64())]))
 
     def hashed(batches):
         for b in batches:
-            out = []
-            for t in b.column("html").to_pylist():
-                root = parse(t or "")
-                digests(root)
-                out.append(sorted(candidates(root)))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("mark"), pa.array(out, pa.list_(pa.int64()))], names=["host", "mark", "subs"])
-
-    mark = F.xxhash64("page_id", "url", "html")
-    subs = saved(rows.select("host", "html", mark.alias("mark")).mapInArrow(hashed, "host string, mark long, subs array<long>"), "subtrees")
-    # a row is one page; rows of equal content are one page of the host
-    pages_of = subs.groupBy("host").agg(F.count("*").alias("pages"))
-    often = subs.select("host", F.explode("subs").alias("sub")).groupBy("host", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = often.join(pages_of, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "sub")
-    per_page = salted_join(subs.select("host", "mark", F.explode("subs").alias("sub")).distinct(), template, ["host", "sub"], "inner", F.col("mark"))
-    per_page = per_page.groupBy("mark").agg(F.collect_set("sub").alias("template"))
-    joined = rows.withColumn("mark", mark).join(per_page, "mark", "left").select("page_id", "url", "html", "template")
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                out = []
+                for t in part.column("html").to_pylist():
+                    root = parse(t or "")
+                    digests(root)
+                    out.append([{"sub": x, "of": y} for x, y in sorted(candidates(root))])
+                yield pa.RecordBatch.from_arrays([part.column("host"), part.column("mark"), pa.array(out, kind)], names=["host", "mark", "subs"])
+
+    subs = saved(rows.select("host", "html", "mark").mapInArrow(hashed, "host string, mark string, subs array<struct<sub: long, of: long>>"), "subtrees")
+    distinct = subs.dropDuplicates(["host", "mark"])
+    bar = distinct.groupBy("host").agg(F.greatest(F.ceil(F.log2(F.count("*"))), F.lit(min_pages)).alias("bar"))
+    found = distinct.select("host", "mark", F.explode("subs").alias("x")).select("host", "x.sub", F.when(F.col("x.of") == 0, F.xxhash64("mark")).otherwise(F.col("x.of")).alias("of")).distinct()
+    often = found.groupBy("host", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = often.join(bar, "host").where("n >= bar").select("host", "sub")
+    per_page = salted_join(distinct.select("host", "mark", F.explode("subs.sub").alias("sub")).distinct(), template, ["host", "sub"], "inner", F.xxhash64("mark"))
+    per_page = per_page.groupBy("host", "mark").agg(F.collect_set("sub").alias("template"))
+    joined = salted_join(rows, per_page, ["host", "mark"], "left", F.xxhash64("page_id"), 4).select("page_id", "url", "html", "template")
 
     def texts(batches):
         for b in batches:
