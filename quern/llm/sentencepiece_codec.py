@@ -5,9 +5,12 @@ of the model's compiled character map that is a prefix of the rest is replaced (
 no key fits), and the alignment of every normalised byte to the original is recorded. Walking the pieces over the normalised
 bytes gives each piece's span of original UTF-8 bytes.
 
+Every row's spans come from that alignment, also where the map is empty; an empty map takes each character as it is, so its
+alignment is made for a whole text at once.
+
 Where the model's map is empty and its vocabulary has no piece with a space mark after another character, no merge crosses
 the start of a run of spaces; such texts are encoded by those units, and a bounded table keeps the units seen first.
-Otherwise the library encodes whole texts. Null and empty texts give only the end id; every other column passes unchanged.
+Otherwise the library encodes whole texts. Null and empty texts give only the end id. Other columns pass unchanged, but one named as a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -93,8 +96,12 @@ class CharacterMap:
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the original byte offset."""
-        data = text.encode()
         space = MARK.encode() if self.escape else b" "
+        if not (self.units or self.symbols or self.squeeze):
+            return self.as_it_is(text.encode(), space)
+        return self.by_prefix(text.encode(), space)
+
+    def by_prefix(self, data: bytes, space: bytes) -> tuple[bytes, np.ndarray]:
         parts: list[tuple[int, int, bytes]] = []
         i = 0
         while i < len(data):
@@ -135,6 +142,20 @@ class CharacterMap:
         return bytes(out), np.asarray([*where, end], np.int64)
 
 
+    def as_it_is(self, data: bytes, space: bytes) -> tuple[bytes, np.ndarray]:
+        """What by_prefix gives with an empty map that keeps all spaces."""
+        if not data:
+            return b"", np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        begin = (raw & 0xC0) != 0x80  # the first byte of a character
+        at = np.maximum.accumulate(np.where(begin, np.arange(len(raw)), 0))
+        where = np.repeat(at, np.where(raw == 32, len(space), 1))
+        out = data.replace(b" ", space)
+        if self.dummy_prefix:
+            out, where = space + out, np.concatenate((np.zeros(len(space), np.int64), where))
+        return out, np.concatenate((where, [len(raw)]))
+
+
 class Codec:
     """Encodes with ids, original byte spans and the ids' decimal text; decodes with the library."""
 
@@ -161,8 +182,6 @@ class Codec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         m = self.map
         self.by_unit = not (m.units or m.squeeze or m.symbols or suffix) and m.dummy_prefix and m.escape and MARK in names and not any(k == 1 and inner.search(n) for n, k in zip(names, kinds)) and 6 in kinds
-        #: bytes of each piece in the original text where every space mark stands for one space
-        self.plain = np.array([s - 2 * n.count(MARK) if k == 1 else s for s, n, k in zip(self.size.tolist(), names, kinds)], np.int64)
         self.cache: dict[str, tuple[int, ...]] = {" ": (self.sp.piece_to_id(MARK),)}
         self.room = CACHE_CHARS
         self.said = [str(i) for i in range(self.sp.get_piece_size())].__getitem__
@@ -187,15 +206,10 @@ class Codec:
     def _one(self, text: str | None, units: list[str] | None, table) -> tuple[list[int], str, np.ndarray]:
         if not text:
             return [self.eos], str(self.eos), np.zeros(2, np.int64)
-        if units:
-            ids = list(chain.from_iterable(map(table.__getitem__, units)))
-            ends = np.cumsum(self.plain[ids]) - 1
-            spans = np.concatenate(([0], ends, ends[-1:]))
-        else:
-            ids = self.sp.encode(text)
-            _, where = self.map.normalize(text)
-            spans = where[np.minimum(np.concatenate(([0], self._ends(text, ids))), len(where) - 1)]
-            spans = np.concatenate((spans, spans[-1:]))
+        ids = list(chain.from_iterable(map(table.__getitem__, units))) if units else self.sp.encode(text)
+        _, where = self.map.normalize(text)
+        spans = where[np.minimum(np.concatenate(([0], self._ends(text, ids))), len(where) - 1)]
+        spans = np.concatenate((spans, spans[-1:]))
         ids.append(self.eos)
         return ids, " ".join(map(self.said, ids)), spans
 
@@ -221,9 +235,11 @@ def codec(path: str) -> Codec:
 
 
 def _mapped(df: DataFrame, model: str, keep: list[str], made: str, row) -> DataFrame:
-    """keep columns of df, then the columns that row(codec, text) gives, with the schema `made`."""
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    """keep columns of df, but those named as one that is made, then the columns that row(codec, text) gives, with the
+    schema `made`."""
     kinds = StructType.fromDDL(made)
+    keep = [c for c in keep if c.lower() not in kinds.names]
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_".join(["text", *keep])))  # a name that none has
     out = StructType([*src.schema[: len(keep)], *kinds])
 
     def run(batches):
