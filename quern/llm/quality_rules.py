@@ -1,16 +1,19 @@
 """8. Quality rules: robust multivariate outliers by minimum covariance determinant.
 
-Base statistics of every whole text are counted in Arrow batches. Each (language, source) then gets a
-minimum-covariance-determinant estimate of location and scatter of four transformed statistics, from all of its rows:
-starting from medians, concentration steps keep the h = 0.75 n rows of smallest Mahalanobis distance and re-estimate, until
-the half set settles or `steps` are done. Every step is two aggregations that combine before the shuffle, so a group that
-holds a third of the rows costs no task more than another does. A row whose distance is beyond the chi-square
-quantile `tail` is rejected.
-
-A group of fewer than `min_group` base-passing rows takes the estimate of its language, and where that has fewer, too, the
-estimate of the whole table. These are fitted on all base-passing rows of the language or table, those of large groups
-among them; estimates that no group takes are not made. A null language or source is a value of its own. Null and empty texts have no words, so they fail the base rule.
-Rows of equal content get equal verdicts; an empty table gives an empty table; other columns are passed over.
+Base statistics of every whole text are counted in Arrow batches. Each (language, source), each language and the whole table then
+get a minimum-covariance-determinant estimate of location and scatter of four transformed statistics, from all of their
+base-passing rows: starting from medians, concentration steps keep the h = 0.75 n rows of smallest Mahalanobis distance and
+re-estimate, until no location moves or `steps` are done. Quantiles are read from histograms of bins of 0.02 (of the
+logarithm of distances), so the half set holds h and up to one bin more. Every step is two aggregations that combine before
+the shuffle, so a group that holds a third of the rows costs no task more than another does.
+
+An estimate is drawn towards that of its language, and a language's towards the table's, by the weight n / (n + prior), n being
+its rows: a source of few rows is judged nearly as its language is, one of many by itself, and there is no size at which
+the rule changes. A row whose distance is beyond the chi-square quantile `tail` is rejected.
+
+A null language or source is a value of its own. Null and empty texts have no words, so they fail the base rule. Rows of equal
+content get equal verdicts; an empty table gives an empty table; other columns are passed over, or kept by the pipeline
+stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,46 +110,58 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col("prec")[i * DIMS + j] for i in range(DIMS) for j in range(DIMS)), F.lit(0.0))
 
 
-def _inverted(sums: DataFrame, factor: float) -> DataFrame:
-    """Location and precision of each group from its sums; scatter is scaled by factor and floored by FLOOR_SD."""
+def _estimated(sums: DataFrame, factor: float) -> DataFrame:
+    """Location, scatter and precision of each group from its half set's sums; scatter is scaled by factor and floored by
+    FLOOR_SD."""
     floor = np.diag(np.square(FLOOR_SD))
 
     def run(frames):
         for x in frames:
-            mus, precs = [], []
+            mus, covs, precs = [], [], []
             for n, s, ss in zip(x["n"], x["s"], x["ss"]):
                 mu = np.asarray(s) / n
                 cov = np.asarray(ss).reshape(DIMS, DIMS) / n - np.outer(mu, mu)
+                cov = factor * (cov + cov.T) / 2 + floor
                 mus.append(mu.tolist())
-                precs.append(np.linalg.inv(factor * (cov + cov.T) / 2 + floor).ravel().tolist())
-            yield x[["grp"]].assign(mu=mus, prec=precs)
+                covs.append(cov.ravel().tolist())
+                precs.append(np.linalg.inv(cov).ravel().tolist())
+            yield x[["grp"]].assign(mu=mus, cov=covs, prec=precs)
+
+    return sums.mapInPandas(run, "grp string, mu array<double>, cov array<double>, prec array<double>")
 
-    return sums.mapInPandas(run, "grp string, mu array<double>, prec array<double>")
 
+def _drawn(names: DataFrame, est: DataFrame, prior: float) -> DataFrame:
+    """grp, mu, prec of each (language, source) after it is drawn towards its language and that towards the whole table."""
+
+    def run(frames):
+        for x in frames:
+            mus, precs = [], []
+            for n, nl, *parts in zip(*(x[c] for c in ("n", "n_lang", "mu", "mu_lang", "mu_all", "cov", "cov_lang", "cov_all"))):
+                w, wl = n / (n + prior), nl / (nl + prior)
+                mu, cov = (w * np.asarray(own) + (1 - w) * (wl * np.asarray(lang) + (1 - wl) * np.asarray(every)) for own, lang, every in (parts[:3], parts[3:]))
+                mus.append(mu.tolist())
+                precs.append(np.linalg.inv(cov.reshape(DIMS, DIMS)).ravel().tolist())
+            yield x[["grp"]].assign(mu=mus, prec=precs)
+
+    part = lambda suffix: est.select(F.col("grp").alias(f"grp{suffix}"), F.col("mu").alias(f"mu{suffix}"), F.col("cov").alias(f"cov{suffix}"))
+    full = names.join(part(""), "grp").join(part("_lang"), "grp_lang").join(part("_all"), "grp_all")
+    return full.mapInPandas(run, "grp string, mu array<double>, prec array<double>")
 
-def fit(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Returns stats with the column grp and z0..z3, and the estimate of each grp: mu, prec.
 
-    grp is the estimate that a row is judged by; the column fits has all estimates that it enters."""
+def fit(stats: DataFrame, h: float = 0.75, steps: int = 20, prior: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns stats with the columns grp and z0..z3; the estimate (mu, prec) that rows of each grp are judged by; and the
+    estimates of all groups, languages and the table as fitted (grp, mu, cov, prec)."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    stats = saved(stats, "base-stats")
-    z = stats.withColumn("_lang", part("lang")).withColumn("_fine", F.concat_ws("\x1f", part("lang"), part("source")))
-    z = z.withColumns({f"z{i}": c for i, c in enumerate(_transformed())})
-    ok = z.where(~F.col("base_failed"))
-    fine = ok.groupBy("_fine", "_lang").agg(F.count("*").alias("n"))
-    langs = fine.groupBy("_lang").agg(F.sum("n").alias("nl"))
-    names = fine.join(langs, "_lang").select("_fine", "_lang", F.when(F.col("n") >= min_group, F.col("_fine")).when(F.col("nl") >= min_group, F.col("_lang")).otherwise(F.lit("all")).alias("grp"))
-    taken = names.groupBy("_lang").agg(F.max(F.col("grp") == F.col("_lang")).alias("_by_lang"))
-    every = names.agg(F.max(F.col("grp") == "all").alias("_by_all"))
-    fits = F.array_compact(F.array(F.when(F.col("grp") == F.col("_fine"), F.col("_fine")), F.when(F.col("_by_lang"), F.col("_lang")), F.when(F.col("_by_all"), F.lit("all"))))
-    names = saved(names.join(taken, "_lang").crossJoin(every).select("_fine", "grp", fits.alias("fits")), "groups")
-    z = salted_join(z, names, ["_fine"], "left", F.xxhash64(*STATS)).withColumn("grp", F.coalesce("grp", F.lit("all"))).drop("_lang", "_fine")
-    z = saved(z, "stats")
+    z = stats.withColumn("grp_lang", F.concat(F.lit("lang "), part("lang"))).withColumn("grp", F.concat(F.lit("source "), part("lang"), F.lit("\x1f"), part("source")))
     zs = [f"z{i}" for i in range(DIMS)]
-    ok = z.where(~F.col("base_failed")).select(F.explode("fits").alias("grp"), *STATS, *zs)
-    salt = F.xxhash64(*STATS)
+    z = saved(z.withColumns({f"z{i}": c for i, c in enumerate(_transformed())}).withColumn("grp_all", F.lit("all")), "stats")
+    ok = z.where(~F.col("base_failed"))
+    names = ok.groupBy("grp", "grp_lang", "grp_all").agg(F.count("*").alias("n"))
+    names = saved(names.join(names.groupBy("grp_lang").agg(F.sum("n").alias("n_lang")), "grp_lang"), "groups")
+    salt = F.xxhash64(*zs)
+    ok = ok.select(F.explode(F.array("grp", "grp_lang", "grp_all")).alias("grp"), *zs)
 
-    long = ok.select("grp", F.posexplode(F.array(*[f"z{i}" for i in range(DIMS)])).alias("dim", "z"))
+    long = ok.select("grp", F.posexplode(F.array(*zs)).alias("dim", "z"))
     mid = _quantile(long, ["grp", "dim"], "z", 0.5).groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("mu"))
     start = [0.0] * (DIMS * DIMS)
     for i, sd in enumerate(FLOOR_SD):
@@ -156,21 +171,25 @@ def fit(stats: DataFrame, h: float = 0.75, steps: int = 5, min_group: int = 200)
     cut = _chi2_quantile(h, DIMS)
     factor = h / _chi2_cdf(cut, DIMS + 2)
     for _ in range(steps):
-        d = salted_join(ok, est, ["grp"], "inner", salt).withColumn("d", F.log1p(_distance()))
+        d = salted_join(ok, est.select("grp", "mu", "prec"), ["grp"], "inner", salt).withColumn("d", F.log1p(_distance()))
         limit = _quantile(d, ["grp"], "d", h).withColumnRenamed("d", "limit")
-        half = salted_join(d.select("grp", "d", *STATS, *[f"z{i}" for i in range(DIMS)]), limit, ["grp"], "inner", salt).where("d <= limit")
+        half = salted_join(d.select("grp", "d", *zs), limit, ["grp"], "inner", salt).where("d <= limit")
         sums = half.groupBy("grp").agg(
             F.count("*").alias("n"),
-            F.array(*[F.sum(f"z{i}") for i in range(DIMS)]).alias("s"),
-            F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(DIMS) for j in range(DIMS)]).alias("ss"),
+            F.array(*[F.sum(x) for x in zs]).alias("s"),
+            F.array(*[F.sum(F.col(x) * F.col(y)) for x in zs for y in zs]).alias("ss"),
         )
-        est = saved(_inverted(sums, factor), "estimates")
-    return z, est
+        now = saved(_estimated(sums, factor), "estimates")
+        moved = now.join(est.select("grp", F.col("mu").alias("was")), "grp").agg(F.max(F.array_max(F.zip_with("mu", "was", lambda x, y: F.abs(x - y))))).first()[0]
+        est = now
+        if moved is None or moved < 1e-9:
+            break
+    return z, saved(_drawn(names, est, prior), "drawn"), est
 
 
 def verdicts(df: DataFrame, keep: list[str], tail: float = 0.9999999, **fitting) -> DataFrame:
     """keep columns of df (lang and source among them), the statistics, base_failed, distance and kept."""
-    z, est = fit(with_stats(df, keep), **fitting)
+    z, est, _ = fit(with_stats(df, keep), **fitting)
     out = salted_join(z, est, ["grp"], "left", F.xxhash64(*STATS)).withColumn("distance", _distance())
     ok = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2_quantile(tail, DIMS))
     return out.withColumn("kept", ok).select(*keep, *STATS, "base_failed", "distance", "kept")
@@ -183,8 +202,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go. Rows are matched by id and content, so repeated ids are safe."""
-    mark = F.xxhash64("doc_id", "lang", "source", "text")
-    gone = verdicts(docs.withColumn("_mark", mark), ["doc_id", "lang", "source", "_mark"]).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_mark").distinct()
-    left = docs.withColumn("_mark", mark)
-    return left.join(gone, (left["_mark"] == gone["_mark"]) & left["doc_id"].eqNullSafe(gone["_id"]), "left_anti").drop("_mark")
+    """Pipeline stage: documents that the rules reject go. Rows are matched by id, language, source and a 128-bit digest of
+    their text, so repeated ids are safe."""
+    names = ["doc_id", "lang", "source"]
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    gone = verdicts(docs.select(*names, "text", mark.alias("mark")), [*names, "mark"]).where(~F.col("kept")).select(F.struct(*names).alias("_id"), F.col("mark").alias("_m")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), mark.alias("_mark"))
+    left = rows.join(gone, (F.col("_mark") == F.col("_m")) & F.struct(*[f"_row.{c}" for c in names]).eqNullSafe(F.col("_id")), "left_anti")
+    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
