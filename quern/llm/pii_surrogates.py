@@ -1,17 +1,21 @@
 """10. Personal data: keyed surrogates of the same type and format. DataFrame functions only.
 
 Detected: e-mail addresses, IPv4 addresses, payment cards, IBANs, US social security numbers, phone numbers, secrets after
-a key word (password=, token:), and names after a title. Each mention has a canonical form (lower case, digits only, a name
-by its words), and each canonical form one surrogate, so mentions of one thing stay mentions of one thing in all documents.
+a key word (password=, token:), and names after a title. Each mention has a canonical form (lower case, digits only, a number of
+ten digits without a code as one of +1, a name by its words), and each canonical form one surrogate, so mentions of one
+thing stay mentions of one thing in all documents. A person's gender is that of all titles given to the name anywhere; a title
+without gender, or titles of both, leave it open. Where a name was found in a text, its words are replaced in the whole text,
+with a title or without, wherever they are written with a capital.
 
 A surrogate comes from SHA-256 over the key, the type, the canonical form and an attempt number. It keeps length, separators,
 letter case and character class; cards keep their first digit and a valid check digit, IBANs their country and valid check
-digits, phones their country code, e-mails get a reserved domain, and names keep their script and the gender of the title.
+digits, phones their country code, e-mails get a reserved domain, and names keep their script and the gender of the person.
 Surrogates that collide with each other or with any original of their type are drawn again, all but the one of
-the least original, until none is left: distinct originals have distinct surrogates.
+the least original, until none is left: distinct originals have distinct surrogates. The key is a secret of the user's: without
+it nothing is replaced, as anyone could compute the surrogates of a known key.
 
-Only documents with a mention are shuffled. Null and empty texts stay as they are; rows repeat as in the input;
-other columns pass unchanged.
+Texts are matched against the patterns once; only those with a mention are shuffled. Null and empty texts stay as they are;
+rows repeat as in the input; other columns pass unchanged, whatever their names, but an input column n_entities gives way.
 """
 
 from __future__ import annotations
@@ -44,11 +48,8 @@ OPEN, ESCAPE = "\uE000", "\uE001"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every text with a mention has; quicker to look for than the patterns.
 GATE = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]|(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Mme|Madame|Monsieur|Sr|Sra|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}"
-DEFAULT_KEY = "set a secret key in production"
-
-
-def _has(text: Column) -> Column:
-    return text.rlike(GATE) & text.rlike(ANY)
+#: Words and what is between them.
+WORDS = r"\p{L}[\p{L}'-]*|[^\p{L}]+"
 
 
 def _segments(text: Column) -> Column:
@@ -79,21 +80,31 @@ def _kind(mention: Column) -> Column:
     return out.when(mention.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card").when(mention.rlike(r"^[\d+().\s-]+$"), "phone")
 
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """Distinct texts' mentions by parts: mark (of the text), seg, part, kind, canon, form (as written)."""
-    texts = docs.select("text").where(_has(F.col("text"))).select(F.md5("text").alias("mark"), _segments(F.col("text")).alias("s"))
-    rows = texts.select("mark", F.explode(F.filter(F.transform("s", lambda x, i: F.struct(i.alias("seg"), x.alias("form"), F.when(i > 0, F.element_at("s", F.greatest(i, F.lit(1)))).alias("before"))), lambda y: y["seg"] % 2 == 1)).alias("y")).select("mark", "y.*").distinct()
+def segmented(docs: DataFrame) -> DataFrame:
+    """_row: a row of docs as a struct; s: its text's segments and mark: the text's digest, both null without a mention."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.when(F.col("text").rlike(GATE), _segments(F.col("text"))).alias("s"))
+    return rows.select("_row", F.when(F.size("s") > 1, F.col("s")).alias("s"), F.when(F.size("s") > 1, F.md5("_row.text")).alias("mark"))
+
+
+def mentions(hits: DataFrame) -> DataFrame:
+    """Mentions of the distinct texts of hits (mark, s) by parts: mark, seg, part, kind, canon, form (as written)."""
+    rows = hits.select("mark", F.explode(F.filter(F.transform("s", lambda x, i: F.struct(i.alias("seg"), x.alias("form"), F.when(i > 0, F.element_at("s", F.greatest(i, F.lit(1)))).alias("before"))), lambda y: y["seg"] % 2 == 1)).alias("y")).select("mark", "y.seg", "y.form", F.substring("y.before", -40, 40).alias("before")).distinct()
     after_key = F.col("before").rlike(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?$")
     title = F.col("before").rlike(r"\p{L}\.? $") & F.col("form").rlike(r"^\p{Lu}\p{L}")
     kind = F.when(after_key, "secret").when(title & ~F.col("form").rlike(r"[\d@]"), "name").otherwise(F.coalesce(_kind(F.col("form")), F.lit("secret")))
     rows = rows.withColumn("kind", kind)
-    gender = F.when(F.col("before").rlike(FEMALE), "f").when(F.col("before").rlike(MALE), "m").otherwise("n")
+    # the gender of each name, of all its titles
+    gender = F.when(F.col("before").rlike(FEMALE), 1).when(F.col("before").rlike(MALE), 2).otherwise(0)
+    rows = rows.select("mark", "seg", "kind", "form", F.when(F.col("kind") == "name", F.lower("form")).alias("person"), gender.alias("gender"))
+    people = rows.where("person is not null").groupBy("person").agg(F.bit_or("gender").alias("g"))
+    rows = rows.where("person is null").select(*rows.columns, F.lit(0).alias("g")).union(salted_join(rows.where("person is not null"), people, ["person"], "inner", F.xxhash64("mark")).select(*rows.columns, "g"))
+    letter = F.when(F.col("g") == 1, "f").when(F.col("g") == 2, "m").otherwise("n")
     words = F.split("form", " ")
-    parts = F.when(F.col("kind") == "name", F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), w.alias("form"))))
+    parts = F.when(F.col("kind") == "name", F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), letter)).alias("kind"), w.alias("form"))))
     parts = parts.otherwise(F.array(F.struct(F.col("kind").alias("kind"), F.col("form").alias("form"))))
     rows = rows.select("mark", "seg", F.posexplode(parts).alias("part", "p")).select("mark", "seg", "part", "p.*")
     digits = F.regexp_replace("form", r"\D", "")
-    national = F.when(F.col("form").startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    national = F.when(F.col("form").startswith("+"), F.concat(F.lit("+"), digits)).when(F.length(digits) == 10, F.concat(F.lit("+1"), digits)).otherwise(digits)
     canon = F.when(F.col("kind").isin("card", "ssn"), digits).when(F.col("kind") == "phone", national).when(F.col("kind") == "iban", F.replace("form", F.lit(" "), F.lit(""))).when(F.col("kind").isin("secret", "ipv4"), F.col("form")).otherwise(F.lower("form"))
     return rows.withColumn("canon", canon)
 
@@ -174,32 +185,58 @@ def surrogates(found: DataFrame, key: str, max_attempts: int = 20) -> DataFrame:
 def _rendered(form: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the format of one mention."""
     chars = F.split(form, "")
+    # of a phone number written without its country code the last digits only
     plain = F.replace(surrogate, F.lit("+"), F.lit(""))
+    plain = F.when((kind == "phone") & ~form.startswith("+"), F.right(plain, F.length(F.regexp_replace(form, r"\D", "")))).otherwise(plain)
     seat = lambda keep: F.aggregate(chars, F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), lambda a, c: F.struct(F.concat(a["s"], F.when(c.rlike(keep), plain.substr(a["n"] + 1, F.lit(1))).otherwise(c)).alias("s"), (a["n"] + c.rlike(keep).cast("int")).alias("n")))["s"]
-    capital = F.when(form == F.upper(form), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     cased = F.when((form == F.upper(form)) & (form != F.lower(form)), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("card", "ssn", "phone"), seat("[0-9]")).when(kind == "iban", seat("[A-Z0-9]")).when(kind == "email", cased).when(kind.isin("secret", "ipv4"), surrogate).otherwise(capital)
+    return F.when(kind.isin("card", "ssn", "phone"), seat("[0-9]")).when(kind == "iban", seat("[A-Z0-9]")).when(kind == "email", cased).when(kind.isin("secret", "ipv4"), surrogate).otherwise(_cased(form, surrogate))
+
+
+def _cased(form: Column, surrogate: Column) -> Column:
+    return F.when((form == F.upper(form)) & (F.length(form) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
 
 
-def replaced(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text, and n_entities, the mentions replaced."""
-    found = saved(mentions(docs), "mentions")
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    rows = saved(segmented(docs), "segments", "zstd")
+    hits = rows.where("mark is not null")
+    found = saved(mentions(hits.select("mark", "s")), "mentions")
     names = surrogates(found, key)
     new = salted_join(found, names, ["kind", "canon"], "inner", F.xxhash64("mark"))
-    new = new.withColumn("new", _rendered(F.col("form"), F.col("kind"), F.col("surrogate")))
+    new = saved(new.withColumn("new", _rendered(F.col("form"), F.col("kind"), F.col("surrogate"))), "rendered")
     whole = new.groupBy("mark", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ").alias("new"))
     of_text = whole.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("seg", "new"))).alias("_new"))
-    hit = _has(F.col("text"))
-    clean = docs.where(~hit | F.col("text").isNull()).withColumn("n_entities", F.lit(0))
-    dirty = docs.where(hit).withColumn("mark", F.md5("text")).withColumn("_row", F.monotonically_increasing_id())
-    dirty = salted_join(dirty, of_text, ["mark"], "inner", F.col("_row"))
-    text = _plain(F.array_join(F.transform(_segments(F.col("text")), lambda s, i: F.when(i % 2 == 1, F.element_at("_new", i)).otherwise(s)), ""))
-    dirty = dirty.withColumn("_text", text).withColumn("n_entities", F.size("_new"))
-    cols = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return clean.union(dirty.select(*cols, "n_entities"))
+    # of names their words, for mentions without a title; of a word that is a given name and a surname the given name
+    words = new.where("kind = 'surname' or kind like 'given%'").groupBy("mark", "canon").agg(F.min(F.struct("kind", "surrogate")).alias("x"))
+    words = words.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("canon", "x.surrogate"))).alias("_words"))
+    of_text = of_text.join(words, "mark", "left")
+
+    out = lambda text, n: [*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "n_entities"), n.cast("int").alias("n_entities")]
+    clean = rows.where("mark is null").select(*out(F.col("_row.text"), F.lit(0)))
+    dirty = salted_join(hits.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())), of_text, ["mark"], "inner", F.col("_at"))
+
+    def known(seg: Column) -> Column:
+        """The parts of a plain segment as written and, where a part is a known name with a capital, its surrogate."""
+        parts = F.regexp_extract_all(seg, F.lit(f"({WORDS})"))
+        hit = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.element_at("_words", F.lower(w)))
+        return F.transform(parts, lambda w: F.struct(w.alias("w"), _cased(w, hit(w)).alias("new")))
+
+    pieces = F.transform("s", lambda s, i: F.struct(
+        F.when(i % 2 == 1, F.element_at("_new", i)).alias("new"),
+        F.when((i % 2 == 0) & F.col("_words").isNotNull(), known(s)).alias("parts"),
+        F.when(i % 2 == 0, s).alias("plain"),
+    ))
+    dirty = dirty.select("_row", "_new", pieces.alias("_p"))
+    joined = F.transform("_p", lambda p: F.coalesce(p["new"], F.array_join(F.transform(p["parts"], lambda x: F.coalesce(x["new"], x["w"])), ""), p["plain"]))
+    more = F.aggregate("_p", F.lit(0), lambda n, p: n + F.coalesce(F.size(F.filter(p["parts"], lambda x: x["new"].isNotNull())), F.lit(0)))
+    more = F.greatest(more, F.lit(0))
+    return clean.union(dirty.select(*out(_plain(F.array_join(joined, "")), F.size("_new") + more)))
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
+    """Every document with its personal data replaced, under the key in spark.quern.pii.key, or this query's test key."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replaced(docs, spark.conf.get("spark.quern.pii.key", DEFAULT_KEY))
+    return replaced(docs, spark.conf.get("spark.quern.pii.key", "key of the test query"))
