@@ -9,15 +9,20 @@ edited, partial and paraphrased copies are found as long as one n-gram survives.
 What keeps common seeds cheap is a bound, not a choice of seeds: a window in which too few of the item's words occur at all
 cannot reach the score, and is not aligned. So no link depends on how often an n-gram occurs in the corpus, and it is not counted.
 
-Words are lower-cased runs between ASCII white space, trimmed of signs at both ends. Items are taken in blocks of bounded
-size, so what a task holds does not grow with the benchmark: each block is one more pass over the corpus. Null and empty
-texts and items link with nothing; rows repeat as they do in the input; other columns are passed over.
+Words are lower-cased runs between ASCII white space, trimmed of signs at both ends, and compared by 64-bit hashes. Items are
+taken in blocks of bounded size, which a broadcast carries; so what a task holds does not grow with the benchmark: each
+block is one more pass over the corpus. A block's seeds are one sorted array of hashes.
+
+Rows of the benchmark are items of their own, also where item_id repeats or is null: a document has a link for each row that
+it matches. Null and empty texts and items link with nothing; rows of documents repeat as they do in the input, null ids among
+them; other columns are passed over. Long texts are searched whole, their windows one at a time.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +46,6 @@ def words(text: str | None) -> list[str]:
     return [w for w in (x.strip(_signs) for x in _split.findall((text or "").lower())) if w]
 
 
-def grams(ws: list[str], n: int = NGRAM) -> list[str]:
-    return [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [" ".join(ws)] if ws else []
-
-
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     """Best local score of two sequences of word numbers, and the window positions [begin, end) of that alignment."""
     m = len(window)
@@ -73,39 +74,83 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _sized(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    items = saved(benchmark.select("item_id", "text").where("text is not null"), "items")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")), n
-
-
-def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list[tuple[int, int]]], min_score: float) -> DataFrame:
-    sizes: dict[str, set[int]] = {}  # how many words the seeds have that begin with a word
-    for g in seeds:
-        sizes.setdefault(g.split(" ", 1)[0], set()).add(g.count(" ") + 1)
-    number: dict[str, int] = {}
-    for ws in items.values():
-        for w in ws:
-            number.setdefault(w, len(number))
-    coded = {i: np.array([number[w] for w in ws], np.int64) for i, ws in items.items()}
-
-    def links(text: str | None, present: np.ndarray):
-        ws = words(text)
-        hits: dict[int, list[int]] = {}
-        for i, w in enumerate(ws):
-            for size in sizes.get(w, ()):
-                for item, at in seeds.get(" ".join(ws[i : i + size]), ()) if i + size <= len(ws) else ():
-                    hits.setdefault(item, []).append(i - at)
-        if not hits:
-            return
-        line = np.array([number.get(w, -1) for w in ws], np.int64)
-        for item, starts in hits.items():
-            code = coded[item]
+def hashes(ws: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ws), np.uint64, len(ws))
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    out = h[: len(h) - n + 1].copy()
+    for i in range(1, n):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
+    return out
+
+
+class Seeds:
+    """The items of one block and, by length, the sorted hashes of their seeds with item and place."""
+
+    def __init__(self, texts: list[str], n: int):
+        self.codes = [hashes(words(t)) for t in texts]
+        by_size: dict[int, list[int]] = {}
+        for i, c in enumerate(self.codes):
+            if len(c):
+                by_size.setdefault(min(n, len(c)), []).append(i)
+        self.tables = []
+        for size, mine in by_size.items():
+            grams = [gram_hashes(self.codes[i], size) for i in mine]
+            h = np.concatenate(grams)
+            item = np.repeat(np.array(mine), [len(g) for g in grams])
+            at = np.concatenate([np.arange(len(g)) for g in grams])
+            order = np.argsort(h, kind="stable")
+            self.tables.append((size, h[order], item[order], at[order]))
+
+    def hits(self, line: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """For each item with a seed in the text the places, in order, where a copy would begin."""
+        items, starts = [], []
+        for size, keys, item, at in self.tables:
+            g = gram_hashes(line, size)
+            lo = np.searchsorted(keys, g, "left")
+            where = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == g))
+            if not len(where):
+                continue
+            lo, n = lo[where], np.searchsorted(keys, g[where], "right") - lo[where]
+            k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            items.append(item[k])
+            starts.append(np.repeat(where, n) - at[k])
+        if not items:
+            return []
+        items, starts = np.concatenate(items), np.concatenate(starts)
+        order = np.lexsort((starts, items))
+        items, starts = items[order], starts[order]
+        cut = np.flatnonzero(np.diff(items)) + 1
+        return list(zip(items[np.concatenate(([0], cut))].tolist(), np.split(starts, cut)))
+
+
+_blocks: dict[str, Seeds] = {}
+
+
+def _aligned(docs: DataFrame, texts: list[str], ids: list[int | None], n: int, min_score: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts, ids))
+
+    def seeds() -> Seeds:
+        """One index a worker process, of the block in hand."""
+        name, block, _ = sent.value
+        if name not in _blocks:
+            _blocks.clear()
+            _blocks[name] = Seeds(block, n)
+        return _blocks[name]
+
+    def links(index: Seeds, text: str | None):
+        line = hashes(words(text))
+        for item, places in index.hits(line):
+            code, starts = index.codes[item], places.tolist()
             need = min_score * MATCH * len(code)
             slack = max(4, math.ceil(MATCH * len(code) - need))  # more gaps than this cost more than the score may lack
-            best, done = (0, 0, 0), -1
-            starts.sort()
+            best = (0, 0, 0)
             k = 0
             while k < len(starts):  # windows that overlap are one window
                 lo = max(0, starts[k] - slack)
@@ -115,9 +160,7 @@ def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list
                     hi = starts[k] + len(code) + slack
                 k += 1
                 window = line[lo : max(hi, 0)]
-                present[window] = True
-                most = MATCH * int(present[code].sum())  # no more of the item's words can match than occur in the window
-                present[window] = False
+                most = MATCH * int(np.isin(code, window).sum())  # no more of the item's words can match than occur in the window
                 if most < need or most <= best[0]:
                     continue
                 s, a, z = align(code, window)
@@ -127,12 +170,12 @@ def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list
                 yield item, best[0], best[0] / (MATCH * len(code)), best[1], best[2]
 
     def run(batches):
-        present = np.zeros(len(number) + 1, bool)  # the last for words of no item
+        index, names = seeds(), sent.value[2]
         for b in batches:
-            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in links(t, present)]
+            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in links(index, t)]
             if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, t) for c, t in zip(cols[3:], (pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "share", "begin_word", "end_word"])
+                doc, item, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, b.schema.field(0).type), pa.array([names[i] for i in item], pa.int64()), *(pa.array(c, t) for c, t in zip(rest, (pa.int64(), pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "share", "begin_word", "end_word"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score long, share double, begin_word long, end_word long")
@@ -140,16 +183,15 @@ def _aligned(docs: DataFrame, items: dict[int, list[str]], seeds: dict[str, list
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links of documents to benchmark items: doc_id, item_id, score, share of a whole copy's score, begin_word, end_word."""
-    items, blocks = _sized(benchmark, block_bytes)
+    items = saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), "items")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
     out = None
     for k in range(blocks):
-        # at most about block_bytes of text: the bound that makes this fit a driver and a task
-        texts = {r["item_id"]: ws for r in items.where(F.col("block") == k).toLocalIterator() if (ws := words(r["text"]))}
-        places: dict[str, list[tuple[int, int]]] = {}
-        for i, ws in texts.items():
-            for at, g in enumerate(grams(ws, n)):
-                places.setdefault(g, []).append((i, at))
-        part = _aligned(docs, texts, places, min_score)
+        # about block_bytes of text, or one item: the bound that makes this fit the driver and a broadcast
+        rows = list(items.where(F.col("block") == k).toLocalIterator())
+        part = _aligned(docs, [r["text"] for r in rows], [r["item_id"] for r in rows], n, min_score)
         out = part if out is None else out.union(part)
     return out
 
@@ -160,6 +202,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents linked to a benchmark item go."""
-    gone = saved(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents linked to a benchmark item go. Rows of a null doc_id stay or go together."""
+    gone = saved(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)

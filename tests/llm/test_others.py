@@ -4,6 +4,9 @@ import random
 import re
 
 import numpy as np
+import pytest
+
+from pyspark.sql import functions as F
 
 from quern.llm import decontamination as D
 from quern.llm import html_extraction as H
@@ -65,6 +68,39 @@ def test_contaminated_by_any_surviving_ngram(spark):
     assert got == {(1, 0): 76, (2, 1): 100, (3, 1): 50, (4, 2): 4, (6, 3): 50, (7, 4): 56}
 
 
+def test_contaminated_against_all_pairs(spark):
+    """Links and scores against Smith-Waterman of every item with every whole document; repeated and null ids."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(60)]
+    sent = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [(rng.choice((1, 1, 2, 3, None)), sent(rng.randint(1, 40))) for _ in range(14)]
+
+    def copy(ws):
+        ws = ws[: rng.randint(len(ws) // 2, len(ws))] if rng.random() < 0.3 else list(ws)
+        for _ in range(rng.choice((0, 0, 2, 6, 12))):
+            k = rng.randrange(len(ws)) if ws else 0
+            ws[k : k + rng.randint(0, 2)] = sent(rng.randint(0, 2))
+        return ws
+
+    docs = [(rng.choice((i, i, 5, None)), sent(rng.randint(0, 60)) + (copy(rng.choice(items)[1]) if rng.random() < 0.7 else []) + sent(rng.randint(0, 30))) for i in range(90)]
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    want = []
+    for i, ws in docs:
+        for j, it in items:
+            grams = [it] if len(it) < 3 else [it[k : k + 3] for k in range(len(it) - 2)]
+            if any(ws[k : k + len(g)] == g for g in grams for k in range(len(ws))):
+                score = smith_waterman(it, ws)
+                if score >= D.MIN_SCORE * D.MATCH * len(it):
+                    want.append((i, j, score, len(it)))
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in D.contaminated(df, bench, block_bytes=900).collect()), key=repr)
+    sure = sorted(((i, j, s) for i, j, s, n in want if s >= D.MATCH * 8 or n <= 8), key=repr)  # at least eight words
+    assert set(got) <= {w[:3] for w in want} and len(got) >= 30
+    assert len([w for w in sure if w in got]) >= 0.97 * len(sure)
+    long = spark.createDataFrame([(1, " ".join(["of the"] * 40000 + items[-1][1]))], "doc_id long, text string")
+    assert D.contaminated(long, spark.createDataFrame([(9, " ".join(items[-1][1])), (10, "of the of the of")], "item_id long, text string")).count() == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Head &lt;1&gt;</h1></header><p>One <b>two
  three<p>four&nbsp;five<!-- x --><div class=share><a>Tweet</a></div><ul><li>i<li>j</ul><script>var a="</p>";</script>
@@ -92,6 +128,41 @@ def test_templates_go_but_articles_stay(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_counts_find_what_names_do_not_tell(spark):
+    """Unnamed boxes in articles go, copied articles stay, a large host's section menus go, and pages without any telling tag
+    or class give the text that they give with them."""
+    rng = random.Random(17)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    box, rows, want = "<div><p>Get our letter every week</p></div>", [], {}
+    for i in range(40):  # the box stands in different articles
+        ps = [say(20), say(30)]
+        rows.append((i, "https://a.org/x", f"<article><p>{ps[0]}</p>{box}<p>{ps[1]}</p></article>"))
+        want[i] = "\n".join(ps)
+    copied = f"<article><p>{say(20)}</p><div><p>own box</p></div><p>{say(30)}</p></article>"
+    for i in range(100, 140):  # copies of one article, on pages that differ
+        rows.append((i, "https://b.org/x", f"<body><p>{say(3)}</p>{copied}</body>"))
+    plain = {}
+    for i in range(200, 500):  # a host of 30 sections with a menu each, one footer
+        ps = [say(20), say(30)]
+        menu = "".join(f"<li><a href=/{k}>{k} of {i % 30}</a></li>" for k in range(5))
+        rows.append((i, "https://c.org/x", f"<body><nav><ul>{menu}</ul></nav><article><h1>{ps[0]}</h1><p>{ps[1]}</p></article><footer>made by {i % 2}</footer></body>"))
+        plain[i] = rows[-1][2]
+        want[i] = "\n".join(ps)
+    df = spark.createDataFrame(rows + [rows[0]], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[i] == t for i, t in want.items())
+    assert all("own box" in got[i] and got[i].count("\n") == 2 for i in range(100, 140))
+    bare = [(i, "https://c.org/x", re.sub("nav|article|footer", "div", t)) for i, t in plain.items()]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == want[i] for i in plain)
+
+
+def test_stray_tags_and_long_pages_end():
+    assert H.main_text(H.parse("<div><i>" * 20000 + "x" + "</b></span>" * 20000), set()) == "x"
+    assert H.main_text(H.parse("<p>a<br>b  c<br><p>d"), set()) == "a b c\nd"
+    assert len(H.main_text(H.parse("<p>" + "word &amp; " * 200000), set())) == 200000 * 7 - 1
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
@@ -122,13 +193,37 @@ def test_surrogates(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and by[8].endswith("")
     assert {t for _, t, _ in out} == {r.text for r in P.replaced(df.repartition(1), "k1").collect()}
     assert by[1] not in {r.text for r in P.replaced(df, "k2").collect()}
-    assert P.replaced(df.limit(0)).count() == 0
+    assert P.replaced(df.limit(0), "k1").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        P.replaced(df, "")
+
+
+def test_names_stay_one_person(spark):
+    rows = [
+        (1, "Dr. Anna Smith and Mrs. Anna Smith; then Anna Smith left. SMITH came, a smith did not.", 7, 8),
+        (2, "Ask Dr. Anna Smith or Herr Anton Berg, not Blacksmith.", 7, 8),
+        (3, "Call +1 607 555 1595 or (607) 555-1595 or 607-555-1595.", 7, 8),
+        (3, "Call +1 607 555 1595 or (607) 555-1595 or 607-555-1595.", 7, 8),
+        (4, "Nothing of Anna here " * 9000, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int, n_entities int").withColumn("s", F.lit(1)).repartition(3)
+    out = P.replaced(df, "k")
+    assert out.columns == ["doc_id", "text", "mark", "s", "n_entities"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == 5 and got[1].mark == 7 and got[4].text == rows[4][1] and got[4].n_entities == 0
+    first, last, *again, upper = re.match(r"Dr\. (\w+) (\w+) and Mrs\. (\w+) (\w+); then (\w+) (\w+) left\. (\w+) came, a smith did not\.$", got[1].text).groups()
+    assert again == [first, last] * 2 and upper == last.upper() and first.endswith("ia") and {first, last} & {"Anna", "Smith"} == set()
+    assert got[1].n_entities == 2 + 3
+    other, other_last, man, man_last = re.match(r"Ask Dr\. (\w+) (\w+) or Herr (\w+) (\w+), not Blacksmith\.$", got[2].text).groups()
+    assert (other, other_last) == (first, last) and man.endswith("an") and man != "Anton" and man_last != "Berg"
+    a, b, c = re.match(r"Call \+1 (\d{3} \d{3} \d{4}) or (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})\.$", got[3].text).groups()
+    assert len({re.sub(r"\D", "", x) for x in (a, b, c)}) == 1 and "6075551595" not in re.sub(r"\D", "", a)
 
 
 def test_surrogates_stay_distinct(spark):
     mails = [f"u{i}@h.example.org" for i in range(300)]  # few letters: draws collide
     df = spark.createDataFrame([(i, f"x {m} y") for i, m in enumerate(mails)], "doc_id long, text string")
-    out = [r.text for r in P.replaced(df).collect()]
+    out = [r.text for r in P.replaced(df, "k").collect()]
     assert len(set(out)) == 300 and not any(m in t for m in mails for t in out)
 
 
