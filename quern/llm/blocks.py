@@ -74,12 +74,9 @@ def forest_links(xs, ys, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: Sets, threshold: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) with 100 * intersection >= threshold * union between the components that share a key.
-
-    members: key, node (repeats are allowed); comp: node, component; items: node, weight, item, of which `sets` makes the
-    sorted sets of a batch. Keys of the same members are searched once.
-    """
+def _block_pairs(members: DataFrame, comp: DataFrame, items: DataFrame, what: list[str], block: int) -> DataFrame:
+    """key, left, right: every pair of a block of a key's members and one of its members outside the largest component, as
+    arrays of node, component and the columns `what` of items (node, weight, ...)."""
     rows = members.distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = saved(rows.join(items.select("node", "weight"), "node"), "key-members", "zstd")
     counts = rows.groupBy("key", "component").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
@@ -87,11 +84,41 @@ def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: S
     mixed = mixed.groupBy("n", "x").agg(F.min(F.struct("key", "m", "w")).alias("s"))
     cuts = lambda w: F.greatest(F.ceil(w / block), F.lit(1)).cast("int")
     mixed = mixed.select("s.key", F.col("s.m.component").alias("main"), cuts(F.col("s.w")).alias("cuts"), cuts(F.col("s.w") - F.col("s.m.w")).alias("rcuts"))
-    full = salted_join(rows, mixed, ["key"], "inner", F.col("node")).join(items.select("node", "item"), "node")
-    pack = F.collect_list(F.struct("node", "component", "item"))
+    full = salted_join(rows, mixed, ["key"], "inner", F.col("node")).join(items.select("node", *what), "node")
+    pack = F.collect_list(F.struct("node", "component", *what))
     left = full.groupBy("key", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i"), "rcuts").agg(pack.alias("left"))
     left = left.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("rcuts") - 1)))
     right = full.where("component <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.col("rcuts")).cast("int").alias("_j")).agg(pack.alias("right"))
+    return left.join(right, ["key", "_j"]).select("key", "left", "right")
+
+
+def promising(members: DataFrame, comp: DataFrame, items: DataFrame, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 4 * BLOCK) -> DataFrame:
+    """The members (key, node) of keys of several components that have a partner of another component under their key whose
+    short signature does not rule them out. items: node, weight, short (bytes of one length); alike gives, of two matrices of
+    such bytes, the matrix of what is not ruled out. The result grows with the members; texts are only needed of these."""
+
+    def run(batches):
+        for b in batches:
+            keys, nodes = [], []
+            for key, xs, ys in zip(b.column("key").to_pylist(), b.column("left"), b.column("right")):
+                x, y = ((v.field("node").to_numpy(), v.field("component").to_numpy(), v.field("short")) for v in (xs.values, ys.values))
+                p, q = (np.frombuffer(b"".join(v[2].to_pylist()), np.uint8).reshape(len(v[0]), -1) for v in (x, y))
+                hit = alike(p, q) & (x[1][:, None] != y[1][None, :])
+                got = np.concatenate((x[0][hit.any(1)], y[0][hit.any(0)]))
+                keys.append(np.full(len(got), key, np.int64))
+                nodes.append(got)
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return _block_pairs(members, comp, items, ["short"], block).mapInArrow(run, "key long, node long").distinct()
+
+
+def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: Sets, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) with 100 * intersection >= threshold * union between the components that share a key.
+
+    members: key, node (repeats are allowed); comp: node, component; items: node, weight, item, of which `sets` makes the
+    sorted sets of a batch. Keys of the same members are searched once.
+    """
 
     def run(batches):
         for b in batches:
@@ -103,4 +130,4 @@ def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: S
                 a, z = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return left.join(right, ["key", "_j"]).select("left", "right").mapInArrow(run, "a long, b long")
+    return _block_pairs(members, comp, items, ["item"], block).mapInArrow(run, "a long, b long")

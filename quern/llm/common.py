@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,40 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def min_hashes(hashes: np.ndarray, starts: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    """A row of len(mult) min-hashes for each set of mixed 32-bit hashes; sets stand one after the other, none is empty,
+    and begin at starts. mult: odd 32-bit multipliers."""
+    out = np.empty((len(mult), len(starts)), np.uint32)
+    for k, m in enumerate(mult):
+        np.minimum.reduceat(hashes * m, starts, out=out[k])
+    return out.T.copy()
+
+
+#: Bits of a filter; the driver sees one row for each 64 of them at most.
+FILTER_BITS = 1 << 26
+
+
+def membership(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over the only column of keys, a long of evenly spread hashes: FILTER_BITS bits whatever their number,
+    so it may be broadcast. Beyond some tens of millions of keys it lets most rows pass, and saves nothing."""
+    name = keys.columns[0]
+    at = F.explode(F.array(*[F.pmod(F.shiftrightunsigned(name, k), F.lit(FILTER_BITS)) for k in (0, 32)]))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (int64) may be in the filter; a key that is in it always is."""
+    out = np.ones(len(keys), bool)
+    for k in (0, 32):
+        at = (keys.view(np.uint64) >> np.uint64(k)) % np.uint64(FILTER_BITS)
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
 def numbered(df: DataFrame, name: str, table: str) -> DataFrame:
     """df saved with a column of unique numbers: they are fixed once a task's rows are written."""
     return saved(df.withColumn(name, F.monotonically_increasing_id()), table)
