@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import LONG, crowded_links
-from quern.llm.common import WORD, components, joined, numbered, salted_join, saved
+from quern.llm.common import WORD, components, joined, min_hashes, numbered, salted_join, saved
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 5
 SKETCH = 64
@@ -40,28 +40,43 @@ REACH = 2
 _word = re.compile(WORD)
 _lower = {i: i + 32 for i in range(65, 91)}
 _mult = (np.random.default_rng(20240607).integers(1, 2**63, TREES * DEPTH, np.uint64) << np.uint64(1)) | np.uint64(1)
+_mult32 = (_mult >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of `size` words, A-Z lower-cased."""
+    """Sorted distinct 64-bit hashes of a text's shingles of `size` words, A-Z lower-cased: the words' hashes, mixed in turn."""
     import xxhash
 
     words = _word.findall((text or "").translate(_lower))
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest("\x00".join(words))], np.uint64)
-    grams = set(zip(*(words[i:] for i in range(size))))
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((h(" ".join(g)) for g in grams), np.uint64, len(grams)))
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(len(words) - size + 1, 1)
+    h = np.full(n, min(size, len(words)), np.uint64)
+    for i in range(min(size, len(words))):
+        h = (h ^ one[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def signature_rows(sets: list[np.ndarray]) -> np.ndarray:
+    """TREES * DEPTH min-hashes of each set (none is empty) as uint32."""
+    out = np.empty((len(sets), TREES * DEPTH), np.uint32)
+    k = 0
+    while k < len(sets):  # sets are hashed together up to about 16,384 elements, a large one alone
+        j, size = k, 0
+        while j < len(sets) and (j == k or size + len(sets[j]) <= 16384):
+            size += len(sets[j])
+            j += 1
+        h = (np.concatenate(sets[k:j]) >> np.uint64(32)).astype(np.uint32)
+        sizes = np.array([len(x) for x in sets[k:j]])
+        out[k:j] = min_hashes(h, np.cumsum(sizes) - sizes, _mult32)
+        k = j
+    return out
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH min-hashes as uint32."""
-    best = np.full(len(_mult), 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        best = np.minimum(best, ((hashes[i : i + 1024, None] * _mult) >> np.uint64(32)).min(0))
-    return best.astype(np.uint32)
+    return signature_rows([hashes])[0]
 
 
 def digest(hashes: bytes) -> bytes:
@@ -75,12 +90,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                n, ids, sigs = [], [], []
-                for t in part.column(1).to_pylist():
-                    h = shingle_hashes(t, size)
-                    n.append(len(h))
-                    ids.append(digest(h.tobytes()) if len(h) else None)
-                    sigs.append(signature(h).tobytes() if len(h) else None)
+                hs = [shingle_hashes(t, size) for t in part.column(1).to_pylist()]
+                n = [len(h) for h in hs]
+                ids = [digest(h.tobytes()) if len(h) else None for h in hs]
+                made = iter(signature_rows([h for h in hs if len(h)]))
+                sigs = [next(made).tobytes() if len(h) else None for h in hs]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sig binary")
