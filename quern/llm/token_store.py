@@ -5,10 +5,12 @@ equal passages give equal chunks wherever they stand. A store is a folder of thr
 
     chunks/   digest (SHA-256 of data), n, data: ids as little-endian unsigned integers of `width` bytes; each chunk once
     recipes/  seq, doc_id, start, n_tokens, chunks (digest, n), root: the document's Merkle root; files ascend by doc_id
-    manifest/ one row: width, documents, ids and the root over the digests of the recipe files' roots
+    manifest/ one row: width, documents, ids and the root of the Merkle tree over all recipes in seq order
 
-Reading checks every chunk against its digest, every recipe against its root and the files against the manifest, and
-raises on a mismatch or a missing chunk. Sizes and checksums of documents come from the chunks' own checksums, which
+The tree's leaves are hashes of each recipe's seq, doc_id, start, n_tokens and root. Its nodes hold up to FAN children, those of
+one stretch of seq, so every level is one grouping with groups of bounded size and no task sees more than FAN hashes at once.
+Reading checks every chunk against its digest, every recipe against its root and the recipes against the manifest's root, and
+raises on a mismatch, a changed order, a lost or shortened file or a missing chunk. Sizes and checksums of documents come from the chunks' own checksums, which
 combine, so no document's bytes are gathered; read_ids gathers them.
 
 Null and empty texts are the end id alone. Null ids come first; rows of equal doc_id are ordered by their root. Hot chunks of
@@ -18,6 +20,7 @@ large groups of copies are combined before the shuffle. Chunk length is bounded
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from itertools import chain
@@ -36,6 +39,9 @@ _unit = re.compile(r" ?[A-Za-zµÀ-ÖØ-öø-ſ]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+|
 CACHE_CHARS = 10_000_000
 WINDOW = 8
 MEAN_CHUNK = 512
+#: A node of the manifest's tree covers 2**FAN_BITS places of the level below.
+FAN_BITS = 12
+FAN = 1 << FAN_BITS
 
 
 class Encoder:
@@ -82,17 +88,18 @@ class Encoder:
         kind = "<u2" if self.width == 2 else "<u4"
         units = [self._units(t) for t in texts]
         found = [x and list(map(self.table.get, x)) for x in units]
-        new = list({u for x, got in zip(units, found) if got and None in got for u, v in zip(x, got) if v is None})
+        holes = [_nones(got) if got else () for got in found]
+        new = list({x[i] for x, at in zip(units, holes) for i in at})
         fresh = self._new_units(new, kind) if new else {}
         if self.room > 0:
             self.table.update(fresh)
             self.room -= sum(map(len, new))
         end = np.array([self.end], kind).tobytes()
         out = []
-        for t, x, got in zip(texts, units, found):
+        for t, x, got, at in zip(texts, units, found, holes):
             if got:
-                if None in got:
-                    got = [v if v is not None else fresh[u] for u, v in zip(x, got)]
+                for i in at:
+                    got[i] = fresh[x[i]]
                 data = b"".join(got) + end
             else:
                 data = np.array([*(self._batch([t])[0] if t else []), self.end], kind).tobytes()
@@ -100,6 +107,16 @@ class Encoder:
         return out
 
 
+def _nones(values: list) -> list[int]:
+    out, i = [], -1
+    try:
+        while True:
+            i = values.index(None, i + 1)
+            out.append(i)
+    except ValueError:
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -147,9 +164,6 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])
-
-
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, mean: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -158,18 +172,21 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, mean: int) -> DataFra
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                rows, roots, sizes = [], [], []
+                digests, counts, datas, roots, sizes, first = [], [], [], [], [], [0]
                 for ids in enc.encode_many(part.column(1).to_pylist()):
-                    at, mine = 0, []
-                    raw = ids.astype(f"<u{enc.width}")
+                    at, raw = 0, ids.astype(f"<u{enc.width}").tobytes()
                     for end in chunk_ends(ids, mean):
-                        data = raw[at:end].tobytes()
-                        mine.append({"digest": hashlib.sha256(data).digest(), "n": end - at, "data": data})
+                        data = raw[at * enc.width : end * enc.width]
+                        digests.append(hashlib.sha256(data).digest())
+                        counts.append(end - at)
+                        datas.append(data)
                         at = end
-                    rows.append(mine)
-                    roots.append(merkle_root([c["digest"] for c in mine]))
+                    roots.append(merkle_root(digests[first[-1] :]))
+                    first.append(len(digests))
                     sizes.append(len(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(rows, pa.list_(CHUNK))], names=["doc_id", "n_tokens", "root", "chunks"])
+                chunks = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(datas, pa.binary())], ["digest", "n", "data"])
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), chunks)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "n_tokens", "root", "chunks"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, root binary, chunks array<struct<digest: binary, n: int, data: binary>>")
 
@@ -199,14 +216,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, mea
     totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     recipes = ordered.join(totals.select("part", "base"), "part").select((F.col("part").cast("long") * F.lit(1 << 40) + F.col("k")).alias("seq"), "doc_id", (F.col("base") + F.col("rel")).alias("start"), "n_tokens", "chunks", "root")
     recipes.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(f"{path}/recipes")
-    wrote = spark.read.parquet(f"{path}/recipes")
-    wrote.agg(F.lit(encoder(tokenizer, end_id).width).alias("width"), F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids"), _over(F.col("seq"), F.col("root"))).coalesce(1).write.parquet(f"{path}/manifest")
+    wrote = _totals(spark.read.parquet(f"{path}/recipes"))
+    wrote.withColumn("width", F.lit(encoder(tokenizer, end_id).width)).coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def _over(seq, root):
-    """A checksum over all (seq, root), whatever the order of rows: the sum of 60-bit hash prefixes as a decimal."""
-    part = F.conv(F.substring(F.sha2(F.concat(seq.cast("string").cast("binary"), root), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).alias("root_sum")
+def _totals(recipes: DataFrame) -> DataFrame:
+    """One row: documents, ids and root, of all recipes."""
+    hashed = lambda *cols: F.unhex(F.sha2(F.concat(*cols), 256))
+    text = lambda c: F.concat(F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit("\x1f")).cast("binary")
+    level = recipes.select("seq", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("ids"), hashed(*map(text, ("seq", "doc_id", "start", "n_tokens")), F.col("root")).alias("root"))
+    for _ in range(math.ceil(63 / FAN_BITS)):  # up to the one node over all of seq
+        kids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "root"))), lambda x: F.hex(x["root"]))
+        level = level.groupBy(F.shiftright("seq", FAN_BITS).alias("seq")).agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.unhex(F.sha2(F.array_join(kids, "").cast("binary"), 256)).alias("root"))
+    return level.agg(F.coalesce(F.max("documents"), F.lit(0)).alias("documents"), F.coalesce(F.max("ids"), F.lit(0)).alias("ids"), F.max("root").alias("root"))
 
 
 def _shift_tables() -> list[np.ndarray]:
@@ -251,26 +273,39 @@ def crc_before(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def _checked(recipes: DataFrame) -> DataFrame:
-    """Recipes as they are, after each one's root and total are verified."""
+    """Each recipe's seq, doc_id, start, n_tokens and, after its root and total are verified, one row for each chunk: pos,
+    digest and how many ids follow the chunk in its document."""
 
     def run(batches):
         for b in batches:
-            for seq, n, root, cs in zip(*(b.column(c).to_pylist() for c in ("seq", "n_tokens", "root", "chunks"))):
-                if merkle_root([c["digest"] for c in cs]) != root or sum(c["n"] for c in cs) != n:
-                    raise ValueError(f"recipe {seq} does not match its root")
-            yield b
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                lists = []
+                for seq, n, root, cs in zip(*(part.column(c).to_pylist() for c in ("seq", "n_tokens", "root", "chunks"))):
+                    ends = np.cumsum([c["n"] for c in cs], dtype=np.int64)
+                    if merkle_root([c["digest"] for c in cs]) != root or ends[-1] != n:
+                        raise ValueError(f"recipe {seq} does not match its root")
+                    lists.append((n - ends).tolist())
+                at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                cs = part.column("chunks").flatten()
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("seq", "doc_id", "start", "n_tokens")), pa.array([i for x in lists for i in range(len(x))], pa.int32()), cs.field("digest"), pa.array(list(chain.from_iterable(lists)), pa.int64())], names=["seq", "doc_id", "start", "n_tokens", "pos", "digest", "after"])
 
-    return recipes.mapInArrow(run, recipes.schema)
+    kind = dict(recipes.dtypes)["doc_id"]
+    return recipes.select("seq", "doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(run, f"seq long, doc_id {kind}, start long, n_tokens long, pos int, digest binary, after long")
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of every document, from the files."""
+def _manifest(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The recipes, after they are compared with the manifest, and the width of ids."""
     head = spark.read.parquet(f"{path}/manifest").first()
     recipes = spark.read.parquet(f"{path}/recipes")
-    got = recipes.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids"), _over(F.col("seq"), F.col("root"))).first()
-    if (got["documents"], got["ids"], got["root_sum"]) != (head["documents"], head["ids"], head["root_sum"]):
+    if any(head[k] != v for k, v in _totals(recipes).first().asDict().items()):
         raise ValueError(f"the recipes in {path} do not match the manifest")
-    width = head["width"]
+    return recipes, head["width"]
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of every document, from the files."""
+    recipes, width = _manifest(spark, path)
 
     def sums(batches):
         for b in batches:
@@ -282,9 +317,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(crcs, pa.int64())], names=["digest", "crc"])
 
     crcs = saved(spark.read.parquet(f"{path}/chunks").mapInArrow(sums, "digest binary, crc long"), "chunk-sums")
-    # a chunk's place: how many ids follow it in its document
-    refs = _checked(recipes).select("seq", "doc_id", "start", "n_tokens", F.posexplode("chunks").alias("pos", "c"), "chunks")
-    refs = refs.select("seq", "doc_id", "start", "n_tokens", F.col("c.digest").alias("digest"), F.aggregate(F.slice("chunks", F.col("pos") + 2, F.size("chunks")), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("after"))
+    refs = _checked(recipes)
 
     def placed(batches):
         for b in batches:
@@ -300,8 +333,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """seq, doc_id, ids array<int> of every document, put together from its chunks."""
-    width = spark.read.parquet(f"{path}/manifest").first()["width"]
-    refs = _checked(spark.read.parquet(f"{path}/recipes")).select("seq", "doc_id", F.posexplode("chunks").alias("pos", "c")).select("seq", "doc_id", "pos", F.col("c.digest").alias("digest"))
+    recipes, width = _manifest(spark, path)
+    refs = _checked(recipes).select("seq", "doc_id", "pos", "digest")
     whole = refs.join(spark.read.parquet(f"{path}/chunks").select("digest", "data"), "digest").groupBy("seq", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("x"))
 
     def run(batches):

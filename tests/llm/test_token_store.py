@@ -56,6 +56,33 @@ def test_store_round_trip(spark, tmp_path):
         K.read_summary(spark, f"{path}2").collect()
 
 
+def test_changed_recipes_are_noticed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(40)], "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "store")
+    K.write_store(df, path, K.default_tokenizer())
+    recipes = spark.read.parquet(f"{path}/recipes")
+    assert K.read_summary(spark, path).count() == 40
+    first = recipes.agg(F.min("seq")).first()[0]
+    last = recipes.agg(F.max("seq")).first()[0]
+    swapped = F.when(F.col("seq") == first, last).when(F.col("seq") == last, first).otherwise(F.col("seq"))
+    renamed = F.when(F.col("doc_id") == 3, 4).otherwise(F.col("doc_id")).cast("long")
+    for i, bad in enumerate([recipes.withColumn("seq", swapped), recipes.withColumn("doc_id", renamed), recipes.where(F.col("seq") != last), recipes.where(F.col("seq") % 2 == 0), recipes.limit(0), recipes.union(recipes.where(F.col("seq") == first))]):
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{path}-{i}/chunks")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{path}-{i}/manifest")
+        bad.write.parquet(f"{path}-{i}/recipes")
+        with pytest.raises(Exception, match="do not match the manifest"):
+            K.read_summary(spark, f"{path}-{i}")
+        with pytest.raises(Exception, match="do not match the manifest"):
+            K.read_ids(spark, f"{path}-{i}")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    gone = chunks.agg(F.min("digest")).first()[0]
+    for part in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}-lost/{part}")
+    chunks.where(F.col("digest") != F.lit(gone)).write.parquet(f"{path}-lost/chunks")
+    with pytest.raises(Exception, match="lacks a chunk"):
+        K.read_summary(spark, f"{path}-lost").collect()
+
+
 def test_empty_table(spark, tmp_path):
     K.write_store(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "s"), K.default_tokenizer())
     assert K.read_summary(spark, str(tmp_path / "s")).count() == 0
