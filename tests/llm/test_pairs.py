@@ -110,19 +110,15 @@ def test_crowded_keys_give_a_forest(spark):
         assert {i: got.get(i, i) for i in sets} == want
 
 
-def test_lines(spark):
-    rng = random.Random(9)
-    lines = [sentence(rng, 12) for _ in range(20)]
-    rows = [(i, "\n".join(edited(rng, rng.choice(lines), rng.choice((0, 0, 1))) if rng.random() < 0.7 else sentence(rng, 10) for _ in range(6))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "short\nshort"), (104, lines[0].upper() + "  ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+def line_reference(rows, min_chars):
+    """Numbers of the lines to remove by document, and those that stay, by all pairs."""
     occ, sets = {}, {}
     for i, t in rows:
         for p, x in enumerate((t or "").split("\n")):
             n = " ".join(x.lower().split())
-            if len(n) >= line_dedup.MIN_CHARS:
+            if len(n) >= min_chars:
                 occ.setdefault(n, []).append((i, p))
-                sets[n] = {n[k : k + 5] for k in range(len(n) - 4)}
+                sets[n] = {n[k : k + 5] for k in range(max(1, len(n) - 4))}
     comp = least(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
     keep = {}
     for n, os in occ.items():
@@ -132,8 +128,20 @@ def test_lines(spark):
         for o in os:
             if o != keep[comp[n]]:
                 want.setdefault(o[0], []).append(o[1])
-    gone = line_dedup.removed_lines(df)
-    assert {r.doc_id: list(r.removed) for r in gone.collect()} == {i: sorted(p) for i, p in want.items()}
+    return want
+
+
+def test_lines(spark):
+    rng = random.Random(9)
+    lines = [sentence(rng, 12) for _ in range(20)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(lines), rng.choice((0, 0, 1))) if rng.random() < 0.7 else sentence(rng, 10) for _ in range(6))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "short\nshort"), (104, lines[0].upper() + "  "), (105, "x\ny\nx"), (106, "long " * 40000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for least_chars in (20, line_dedup.MIN_CHARS):
+        want = line_reference(rows, least_chars)
+        assert (103 in want) == (least_chars == 1)
+        gone = line_dedup.removed_lines(df, min_chars=least_chars)
+        assert {r.doc_id: list(r.removed) for r in gone.collect()} == {i: sorted(p) for i, p in want.items()}
     out = {r.doc_id: r.text for r in line_dedup.without_lines(df, gone).collect()}
     for i, t in rows:
         left = [x for p, x in enumerate((t or "").split("\n")) if p not in want.get(i, [])]
@@ -143,7 +151,19 @@ def test_lines(spark):
             assert out[i] == "\n".join(left)
         else:
             assert i not in out
-    assert line_dedup.removed_lines(df.limit(0)).count() == 0
+
+
+def test_lines_of_odd_tables(spark):
+    """Clashing column names, null and repeated ids, repeated rows; an empty table."""
+    line = "a line of some length that stands twice"
+    rows = [(None, line, "a", 1, 3), (None, line, "a", 1, 3), (5, f"{line}\nown words", "b", 2, 9), (5, "other text of this id", "c", 3, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string, _removed int, n_chars int").repartition(3)
+    out = line_dedup.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(out.collect(), key=lambda r: repr((r.doc_id is not None, tuple(r))))
+    want = [(None, line, "a", 1, len(line))] * 2 + [(5, "own words", "b", 2, 9), (5, rows[3][1], "c", 3, 21)]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: repr((r[0] is not None, r)))
+    assert line_dedup.removed_lines(df.limit(0)).count() == 0 and line_dedup.stage(spark, df.limit(0), "").count() == 0
 
 
 def test_lines_of_a_templated_cloud(spark):
@@ -193,6 +213,49 @@ def test_passages(spark):
     assert set(got) == {*range(25), 50, 51, 70, 75, 76}
     assert {got[i].class_id for i in range(25)} == {0} and got[50].class_id == got[51].class_id == 50 and got[76].class_id == 70
     for i in range(25):
-        assert any(s["begin"] <= 30 and s["end"] >= 90 for s in got[i].spans) and got[i].n_links >= 1
+        assert any(s["begin"] <= 30 and s["end"] >= 90 for s in got[i].spans) and got[i].n_verified >= 1
     assert got[70].n_repeat_words == 55
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passages_within_a_crowd(spark):
+    """Exact repeats are found however many documents hold a part of them that is too short to count."""
+    rng = random.Random(14)
+    texts, pairs = [], []
+    for common_words, own in ((47, 8), (40, 20), (20, 40)):
+        common = sentence(rng, common_words)
+        texts += [f"{sentence(rng, 40)} {common} {sentence(rng, 40)}" for _ in range(120)]
+        for _ in range(25):
+            left = rng.randint(0, own)
+            passage = " ".join(x for x in (sentence(rng, left) if left else "", common, sentence(rng, own - left) if own > left else "") if x)
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [f"{sentence(rng, rng.randint(20, 60))} {passage} {sentence(rng, rng.randint(20, 60))}" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert all(a in got and b in got and got[a].class_id == got[b].class_id for a, b in pairs)
+    assert set(got) == {x for p in pairs for x in p}
+
+
+def test_passages_against_all_pairs(spark):
+    """Documents with edited and exact passages against the alignment of all pairs of texts."""
+    rng = random.Random(15)
+    stock = [sentence(rng, 12) for _ in range(3)]
+    passages = [sentence(rng, rng.randint(55, 90)) for _ in range(8)]
+    texts = []
+    for _ in range(120):
+        parts = [sentence(rng, rng.randint(15, 50)), rng.choice(stock), sentence(rng, rng.randint(10, 40))]
+        if rng.random() < 0.6:
+            p = rng.choice(passages)
+            parts.insert(rng.randint(0, 3), edited(rng, p, rng.choice((0, 0, 1, 2))) if rng.random() < 0.8 else " ".join(p.split(" ")[: rng.randint(30, 54)]))
+        texts.append(" ".join(parts))
+    seqs = [substring_dedup.shingles_of(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if substring_dedup.passages(seqs[a], seqs[b], [(0, len(seqs[a]), 0, len(seqs[b]))], 50)]
+    want = least(range(len(texts)), links)
+    held = {x for p in links for x in p}
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (300, "word " * 30000), (301, "a b " * 9000)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in substring_dedup.repeated_passages(df).collect()}
+    found = set(got) & set(range(len(texts)))
+    assert found - {0} <= held and len(found & held) >= 0.95 * len(held)
+    same = [(a, b) for a, b in links if got.get(a, -1) == got.get(b, -2)]
+    assert len(links) > 100 and len(same) >= 0.95 * len(links)
+    assert all(want[a] == want[b] for a in found & held for b in found & held if got[a] == got[b])
