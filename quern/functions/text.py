@@ -110,5 +110,88 @@ def stripped(html: Column) -> Column:
 
 
 def content_status(title: Column, text: Column, least: int = 200) -> Column:
-    """P22. interstitial by its title, empty below `least` characters, else usable; the order matters."""
-    return F.when(F.lower(title).rlike("just a moment|access denied|captcha|are you a robot"), "interstitial").when(F.length(text) < least, "empty").otherwise("usable")
+    """P22. interstitial by its title or its first 160 characters, empty below `least` characters, else usable; in this order."""
+    hints = "just a moment|access denied|captcha|are you a robot"
+    return F.when(F.lower(title).rlike(hints) | F.lower(F.substring(text, 1, 160)).rlike(hints), "interstitial").when(F.length(text) < least, "empty").otherwise("usable")
+
+
+def cursor(time: Column, key: Column) -> Column:
+    """T7. A place in a list as an opaque URL-safe word."""
+    body = F.concat(F.lit('{"t":"'), F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('","i":"'), key.cast("string"), F.lit('"}'))
+    return F.rtrim(F.translate(F.base64(F.encode(body, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+
+
+def _cursor_body(c: Column) -> Column:
+    padded = F.rpad(F.translate(c, "-_", "+/"), F.ceil(F.length(c) / 4).cast("int") * 4, F.lit("="))
+    return F.decode(F.unbase64(padded), "UTF-8")
+
+
+def cursor_time(c: Column) -> Column:
+    return F.get_json_object(_cursor_body(c), "$.t").cast("timestamp_ntz")
+
+
+def cursor_id(c: Column) -> Column:
+    return F.get_json_object(_cursor_body(c), "$.i").cast("long")
+
+
+def redirect_target(url: Column, wrappers: tuple[str, ...]) -> Column:
+    """R29. The http(s) target in the q or url parameter of a wrapper host's address, else the address itself."""
+    host = host_of(url)
+    wrapper = F.lit(False)
+    for w in wrappers:
+        wrapper = wrapper | host.endswith(w)
+    at = lambda k: F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{k}=([^&#]*)", 1), F.lit("")))
+    good = lambda c: F.when(c.rlike("^https?://"), c)
+    return F.when(wrapper, F.coalesce(good(at("q")), good(at("url")), url)).otherwise(url)
+
+
+def without_fence(text: Column) -> Column:
+    """F14. The inside of a text that is one fenced block, else the trimmed text."""
+    return F.trim(F.regexp_replace(F.trim(text), r"(?s)^```[A-Za-z]*\s*\n?(.*?)\n?```$", "$1"))
+
+
+def slug(text: Column) -> Column:
+    """F19. Lower-case letters and digits joined by single hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def safe_name(name: Column, limit: int = 120) -> Column:
+    """F19. A file name without path separators, control and reserved characters; never empty."""
+    n = F.substring(F.trim(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]+', "_")), 1, limit)
+    return F.when(n.isin("", ".", ".."), "file").otherwise(n)
+
+
+def parts_at(text: Column, marker: str) -> Column:
+    """F20. A description's two parts at a marker, trimmed; the second is null without it."""
+    p = F.split(text, marker, 2)
+    return F.struct(F.trim(p[0]).alias("first"), F.trim(F.get(p, F.lit(1))).alias("second"))
+
+
+def flag(text: Column) -> Column:
+    """F25. Whether a text says true, 1 or yes."""
+    return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes"), F.lit(False))
+
+
+def pure(text: Column, notes: str = r"^\[(note|system)\]") -> Column:
+    """P23. Whether a text is a user's own: no note's prefix, no control character, no JSON object or list."""
+    t = F.trim(text)
+    json = t.rlike(r"(?s)^(\{.*\}|\[.*\])$") & F.try_parse_json(t).isNotNull()
+    return ~(F.lower(t).rlike(notes) | text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]") | json)
+
+
+def negated(text: Column, words: tuple[str, ...] = ("not", "never", "don't", "without", "no")) -> Column:
+    """P24. Whether a text holds a negation as a word."""
+    return F.lower(text).rlike(r"(?<![\w'])(?:" + "|".join(words) + r")(?![\w'])")
+
+
+def should_recall(text: Column, triggers: tuple[str, ...], short: int) -> Column:
+    """P25. Whether a query is short or holds a trigger word."""
+    hit = F.lit(False)
+    for t in triggers:
+        hit = hit | F.lower(text).contains(t)
+    return (F.length(F.trim(text)) <= short) | hit
+
+
+def folded(text: Column) -> Column:
+    """F3/F5/F6. Collapsed white space and folded case: upper then lower case, which also folds ß, final sigmas and the like."""
+    return F.lower(F.upper(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))))

@@ -14,7 +14,7 @@ def role_rank(role: Column) -> Column:
 def qa_pairs(turns: DataFrame) -> DataFrame:
     """W4. Each user turn opens a pair; assistant texts until the next one are its answer, joined by line feeds. Turns
     before a conversation's first user turn belong to no pair."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("conv_id").orderBy("turn", role_rank(F.col("role")), "text").rowsBetween(Window.unboundedPreceding, 0)
     p = turns.withColumn("pair", F.sum((F.col("role") == "user").cast("int")).over(w)).where("pair > 0")
     texts = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"])
     return p.groupBy("conv_id", "pair").agg(F.array_join(texts("user"), "\n").alias("question"), F.array_join(texts("assistant"), "\n").alias("answer"), F.count("*").alias("n_turns"))
@@ -36,15 +36,16 @@ def streaks(rows: DataFrame, keys: list[str], value: str, order: list[str], leas
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
-    """W9/W10/W15. The prefix of each key whose sizes add up to at most the budget; a key's first row always stays."""
+    """W9/W10. The prefix of each key whose sizes add up to at most the budget; a key's first row always stays. order must
+    end in a key that is unique within keys."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("used", F.sum(size).over(w)).withColumn("_n", n).where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
-def split_tail(rows: DataFrame, keys: list[str], order: str, keep: int) -> DataFrame:
-    """W11. Marks the last `keep` rows of each key as tail, the others as overflow."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+def split_tail(rows: DataFrame, keys: list[str], order: list[Column], keep: int) -> DataFrame:
+    """W11. Marks the first `keep` rows of each key in an order, newest first, as tail, the others as overflow."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("part", F.when(n <= keep, "tail").otherwise("overflow"))
 
 

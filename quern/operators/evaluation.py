@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.curation import checkpointed
+
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     """A quotient, 0 where the divisor is 0."""
@@ -50,8 +52,62 @@ def calibration_error(rows: DataFrame, confidence: str, correct: str, bins: int)
     return g.agg(F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
 
 
+def _ranked_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each key's distinct values with how many rows they and all smaller ones hold (_upto) and all hold (_n).
+
+    Equal values are counted before the shuffle. Values are then range-partitioned, so a key of many values is spread: a
+    partition adds up its own rows, and what stands before it comes from one small row for each key and partition.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    c = c.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id())
+    c = checkpointed(c)
+    parts = c.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_p")
+    parts = parts.withColumn("_before", F.sum("_s").over(w) - F.col("_s")).withColumn("_n", F.sum("_s").over(Window.partitionBy(*keys)))
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("_w", within).join(parts.select(*keys, "_p", "_before", "_n"), [*keys, "_p"]).select(*keys, value, "_c", (F.col("_before") + F.col("_w")).alias("_upto"), "_n")
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """A16. The value at the half-even rounded place q * (n - 1) of each key's sorted values."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    r = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return r.where(F.col("_i") == F.bround(F.lit(q) * (F.col("_n") - 1))).select(*keys, F.col(value).alias("value"))
+    place = F.bround(F.lit(q) * (F.col("_n") - 1))
+    return _ranked_counts(rows, keys, value).where((F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)).select(*keys, F.col(value).alias("value"))
+
+
+def interpolated(rows: DataFrame, keys: list[str], value: str, quantiles: list[float], digits: int = 6) -> DataFrame:
+    """A3. Interpolated quantiles p<100 q> of each key's values."""
+    r = _ranked_counts(rows, keys, value).withColumn("q", F.explode(F.array(*[F.lit(x) for x in quantiles])))
+    at = F.col("q") * (F.col("_n") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)
+    g = r.where(holds(low) | holds(high)).groupBy(*keys, "q").agg(F.max(F.when(holds(low), F.col(value))).alias("a"), F.max(F.when(holds(high), F.col(value))).alias("b"), F.max(at - low).alias("f"))
+    v = F.round(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"), digits)
+    return g.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == x, v)).alias(f"p{round(x * 100)}") for x in quantiles])
+
+
+def graded(rows: DataFrame) -> DataFrame:
+    """K20. Rows (expected, expected_id, actual, actual_id; routes TOOL, AGENT, ...) with the grades exact (TP, FP, FN, TN, or FP+FN
+    where the wrong tool is taken) and binary (by route alone; null where the expected route is neither TOOL nor AGENT)."""
+    et, at = F.col("expected") == "TOOL", F.col("actual") == "TOOL"
+    exact = F.when(et & at, F.when(F.col("expected_id") == F.col("actual_id"), "TP").otherwise("FP+FN")).when(at, "FP").when(et, "FN").otherwise("TN")
+    binary = F.when(F.col("expected").isin("TOOL", "AGENT"), F.when(at, F.when(et, "TP").otherwise("FP")).otherwise(F.when(et, "FN").otherwise("TN")))
+    return rows.withColumn("exact", exact).withColumn("binary", binary)
+
+
+def scored_arguments(rows: DataFrame) -> DataFrame:
+    """K17. Rows (id, capability, predicted, gold, pred: map<string, string>, slots, required: arrays) with exact_match,
+    fields_considered, field_hits, required_total, required_present, required_correct and illegal (keys outside the slots)."""
+    within = lambda m: F.map_filter(m, lambda k, v: F.array_contains("slots", k))
+    r = rows.withColumn("g", within("gold")).withColumn("p", within("pred"))
+    same = lambda k: F.element_at("g", k).eqNullSafe(F.element_at("p", k))
+    keys = F.array_union(F.map_keys("g"), F.map_keys("p"))
+    name_ok = F.col("predicted").eqNullSafe(F.col("capability"))
+    hits = F.size(F.filter(keys, same))
+    return r.select("id", "capability", (name_ok & (hits == F.size(keys))).alias("exact_match"), F.size(keys).alias("fields_considered"), hits.alias("field_hits"), F.size("required").alias("required_total"), F.size(F.filter("required", lambda k: F.map_contains_key("p", k))).alias("required_present"), F.size(F.filter("required", same)).alias("required_correct"), F.array_sort(F.filter(F.map_keys("pred"), lambda k: ~F.array_contains("slots", k))).alias("illegal"))
+
+
+def argument_report(scored: DataFrame, digits: int = 4) -> DataFrame:
+    """K17/K18/A11. Micro ratios of scored_arguments by capability and over all (capability null)."""
+    s = lambda c: F.sum(c)
+    g = scored.rollup("capability").agg(F.count("*").alias("samples"), s(F.col("exact_match").cast("int")).alias("e"), s("field_hits").alias("h"), s("fields_considered").alias("c"), s("required_total").alias("t"), s("required_present").alias("rp"), s("required_correct").alias("rc"), F.count_if(F.size("illegal") > 0).alias("i"), s(F.size("illegal")).alias("illegal_keys_total"))
+    return g.select("capability", "samples", ratio(F.col("e"), F.col("samples"), digits).alias("exact_match"), ratio(F.col("h"), F.col("c"), digits).alias("field_accuracy"), F.round(1 - F.when(F.col("t") == 0, 0.0).otherwise(F.col("rp") / F.col("t")), digits).alias("required_missing_rate"), ratio(F.col("rc"), F.col("t"), digits).alias("required_accuracy"), ratio(F.col("i"), F.col("samples"), digits).alias("illegal_slot_rate"), "illegal_keys_total")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.curation import checkpointed
@@ -38,11 +38,61 @@ def gates(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def fingerprints(items: DataFrame, key: str, item: str) -> DataFrame:
-    """G7. A hash of each key's set of items, whatever their order or number."""
-    return items.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(item)), "\x1f"), 256).alias("fingerprint"))
+    """G7. A hash of each key's set of items, whatever their order or number: the sums of four 32-bit words of the items'
+    hashes, which combine before the shuffle, so no key's items meet in one task; and the number of items."""
+    h = F.sha2(F.col(item), 256)
+    words = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(4)]
+    g = items.select(key, item).distinct().groupBy(key).agg(F.count("*").alias("_n"), *[w.alias(f"_w{i}") for i, w in enumerate(words)])
+    return g.select(key, F.sha2(F.concat_ws("|", "_n", *[f"_w{i}" for i in range(4)]), 256).alias("fingerprint"))
 
 
 def pending(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
-    """G8/M8. Keys to process again: new ones and those whose fingerprint changed."""
+    """M8. Keys and whether their fingerprint is new, changed or the same."""
     j = now.join(before.withColumnRenamed("fingerprint", "_old"), key, "left")
     return j.select(key, F.when(F.col("_old").isNull(), "new").when(F.col("_old") != F.col("fingerprint"), "changed").otherwise("same").alias("state"))
+
+
+def pending_rule(claims: DataFrame) -> DataFrame:
+    """G8. claims (claim_id, terminal, stored_fp, current_fp, gate_ok): whether a claim is to be verified again. A terminal
+    gap never is; one never verified is; one whose gate fails is; else if its evidence changed."""
+    p = F.when(F.col("terminal"), False).when(F.col("stored_fp").isNull(), True).when(~F.coalesce("gate_ok", F.lit(False)), True).otherwise(F.col("stored_fp") != F.col("current_fp"))
+    return claims.select("claim_id", p.alias("pending"))
+
+
+def packed_claims(claims: DataFrame, budget: int, most: int) -> DataFrame:
+    """W13. Claims (project, claim_id, tokens) packed in order of their ids into chunks of at most `budget` tokens and `most`
+    claims, a single larger claim by itself: project, claim_id, chunk. Greedy within a project, so a fold over its claims."""
+    c = F.array_sort(F.collect_list(F.struct("claim_id", "tokens")))
+    kind = "struct<chunk: int, used: bigint, n: int, out: array<int>>"
+
+    def step(a, x):
+        new = (a["n"] > 0) & ((a["used"] + x["tokens"] > budget) | (a["n"] >= most))
+        chunk = a["chunk"] + new.cast("int")
+        used = F.when(new, F.lit(0).cast("long")).otherwise(a["used"]) + x["tokens"]
+        return F.struct(chunk.alias("chunk"), used.cast("long").alias("used"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), F.concat(a["out"], F.array(chunk)).alias("out")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out")).cast(kind)
+    g = claims.groupBy("project").agg(c.alias("c")).select("project", "c", F.aggregate("c", start, step)["out"].alias("out"))
+    return g.select("project", F.explode(F.arrays_zip(F.col("c.claim_id").alias("claim_id"), F.col("out").alias("chunk"))).alias("x")).select("project", "x.claim_id", "x.chunk")
+
+
+def usable_evidence(findings: DataFrame, sources: DataFrame, least: int) -> DataFrame:
+    """G9. Findings (claim_id, source_id, item_id, verdict, text) that may be stored: their source is usable, the text is long
+    enough and the verdict supports or contradicts; one row for each claim and item, the longest text first."""
+    ok = findings.where(F.col("verdict").isin("supports", "contradicts") & (F.length("text") >= least)).join(sources.where("usable").select("source_id"), "source_id", "left_semi")
+    w = Window.partitionBy("claim_id", "item_id").orderBy(F.desc(F.length("text")), "source_id", "text")
+    return ok.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def known_gaps(claims: DataFrame, evidence: DataFrame, first: int = 20) -> DataFrame:
+    """G11/A19. One row: claims, how many have evidence, and the first ids of those that have and have not."""
+    j = claims.select("claim_id").join(evidence.select("claim_id").distinct().withColumn("_e", F.lit(True)), "claim_id", "left")
+    place = F.row_number().over(Window.partitionBy(F.col("_e").isNotNull()).orderBy("claim_id"))
+    firsts = j.withColumn("_n", place).where(F.col("_n") <= first)  # cut per partition before the shuffle
+    ids = firsts.agg(F.array_sort(F.collect_list(F.when(F.col("_e"), F.col("claim_id")))).alias("anchored_ids"), F.array_sort(F.collect_list(F.when(F.col("_e").isNull(), F.col("claim_id")))).alias("gap_ids"))
+    return j.agg(F.count("*").alias("claims"), F.count("_e").alias("anchored")).crossJoin(ids)
+
+
+def source_map(evidence: DataFrame) -> DataFrame:
+    """G12. Each source with the claims and items that rest on it: source_id, claims, items."""
+    return evidence.groupBy("source_id").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("item_id").alias("items"))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import folded
+from quern.operators.curation import checkpointed
 from quern.operators.ranking import top_k
 
-#: Queries whose vectors a task holds at once; more queries are more passes over the corpus.
-QUERY_BLOCK = 4096
+#: Queries whose vectors a task holds at once, and rows that it multiplies with them at once.
+QUERY_BLOCK, ROWS = 4096, 1024
+#: Terms of a vocabulary that is broadcast, some tens of megabytes at most.
+VOCABULARY = 500_000
 #: Fixed pattern of a keyword token.
 TOKEN = "[a-z0-9一-鿿]+"
 
@@ -24,18 +31,19 @@ def cosine(a: str, b: str) -> Column:
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, decimals: int = 6) -> DataFrame:
-    """R2/T1/R26/R36/K14. The k corpus rows (vec_id, embedding) nearest each query row (vec_id, embedding): query_id, id,
+    """R2/T1/R26/K14. The k corpus rows (vec_id, embedding) nearest each query row (vec_id, embedding): query_id, id,
     score, rank from 1, equal scores by id.
 
-    A task multiplies each batch with the query block and keeps k rows a query, so only k rows a query and task are
-    shuffled. Null vectors are never recalled; zero vectors score 0. The query block is bounded by QUERY_BLOCK.
+    A task multiplies ROWS rows at a time with the query block and keeps k rows a query, so only k rows a query and task are
+    shuffled. Null vectors are never recalled; zero vectors score 0. A query block is bounded by QUERY_BLOCK queries; more are
+    more passes over the corpus.
     """
     spark = corpus.sparkSession
     qs = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), "embedding")
-    n = qs.count()
+    blocks = max(1, -(-qs.count() // QUERY_BLOCK))
     out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        part = qs.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))) == block).toPandas()
+    for block in range(blocks):
+        part = qs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
         ids = part["query_id"].to_numpy(dtype=np.int64)
         mat = np.array([np.asarray(v, np.float64) for v in part["embedding"]]) if len(part) else np.zeros((0, 1))
         norm = np.linalg.norm(mat, axis=1, keepdims=True)
@@ -43,46 +51,134 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bo
 
         def run(frames, shared=shared):
             ids, q = shared.value
-            for x in frames:
-                x = x[x["embedding"].notna()]
-                if not len(x) or not len(ids):
-                    continue
-                m = np.array([np.asarray(v, np.float64) for v in x["embedding"]])
-                if m.shape[1] != q.shape[1]:
-                    raise ValueError("vectors of unequal length")
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                own = x["vec_id"].to_numpy(np.int64)
-                s = np.round(q @ np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).T, decimals)
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                rows = np.arange(len(ids))[:, None]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": s[rows, order].ravel()}).query("score > -inf")
+            for frame in frames:
+                frame = frame[frame["embedding"].notna()]
+                for at in range(0, len(frame) if len(ids) else 0, ROWS):
+                    x = frame.iloc[at : at + ROWS]
+                    m = np.array([np.asarray(v, np.float64) for v in x["embedding"]])
+                    if m.shape[1] != q.shape[1]:
+                        raise ValueError("vectors of unequal length")
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    own = x["vec_id"].to_numpy(np.int64)
+                    s = np.round(q @ np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).T, decimals)
+                    if exclude_self:
+                        s[ids[:, None] == own[None, :]] = -np.inf
+                    if s.shape[1] > k:  # rows that reach the k-th score, ties and all; they are few
+                        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                        i, j = np.nonzero((s >= least) & (s > -np.inf))
+                    else:
+                        i, j = np.nonzero(s > -np.inf)
+                    order = np.lexsort((own[j], -s[i, j], i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[place < k], j[place < k]
+                    yield pd.DataFrame({"query_id": ids[i], "id": own[j], "score": s[i, j]})
 
         hits = corpus.select("vec_id", "embedding").mapInPandas(run, "query_id long, id long, score double")
         out = hits if out is None else out.union(hits)
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+def scoped_top_k(corpus: DataFrame, queries: DataFrame, scope: str, k: int, decimals: int = 6) -> DataFrame:
+    """R11. The k rows (vec_id, embedding) of a query's own scope nearest to it, by an equi-join on the scope: only pairs of one
+    user are scored."""
+    q = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), scope, F.col("embedding").alias("_q"))
+    j = corpus.where("embedding is not null").join(q, scope).where("vec_id <> query_id")
+    s = j.select("query_id", F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), decimals).alias("score"))
+    return top_k(s, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def eligible_chunks(chunks: DataFrame, assets: DataFrame, domain: str | None = None) -> DataFrame:
+    """J1/P6/P7/P8. Leaf chunks (asset_id, chunk_kind) without a file, or of a file (asset_id, file_status, domain_id) that is READY
+    and, where a domain is asked for, in it; a domain that is no number matches no file."""
+    a = assets.select("asset_id", "file_status", "domain_id")
+    ok = F.col("asset_id").isNull() | (F.col("file_status") == "READY")
+    if domain is not None:
+        ok = ok & (F.col("asset_id").isNull() | F.coalesce(F.col("domain_id") == F.lit(domain).try_cast("long"), F.lit(False)))
+    return chunks.where("chunk_kind = 'leaf'").join(a, "asset_id", "left").where(ok)
+
+
+def admitted_capabilities(capabilities: DataFrame) -> DataFrame:
+    """P18. Capabilities that may be a card: enabled, not research, not hidden."""
+    return capabilities.where("enabled and not research and not hidden")
+
+
+def two_lanes(standard: DataFrame, similar: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
+    """R23/R36/W16. k nearest of both lanes (vec_id, capability, embedding) of each query, those of at least `least`, with their
+    rank in the lane and, by score, lane and id, over both; a phrase in both lanes stays twice."""
+    def lane(rows, name):
+        hits = cosine_top_k(rows, queries, k).withColumnRenamed("rank", "lane_rank")
+        return hits.join(rows.select(F.col("vec_id").alias("id"), "capability"), "id").withColumn("lane", F.lit(name))
+
+    both = lane(standard, "standard").unionByName(lane(similar, "similar")).where(F.col("score") >= least)
+    w = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "lane", "id"))
+    return both.withColumn("global_rank", w).select("query_id", "lane", "id", "capability", "score", "lane_rank", "global_rank")
+
+
+def routed(queries: DataFrame, matched: DataFrame, hits: DataFrame, capabilities: DataFrame, floor: float, k: int) -> DataFrame:
+    """R24/R25/P20. Route of each query (query_id) by matched phrases (query_id, capability) and recall hits (query_id, capability,
+    score): candidates (the k best capabilities by score), route and fallback_reason.
+
+    One matched capability is a candidate of score 1.0, several are candidates of 0.0, and neither needs the floor; of recall
+    a capability's best score does. A matched capability that the table lacks is a FAULT; one match that may be a card is
+    TOOL; no candidate is AGENT; else a selector decides (SELECT).
+    """
+    n = matched.groupBy("query_id").agg(F.count("*").alias("n"))
+    known = capabilities.select("capability", F.lit(True).alias("_known"))
+    ghosts = matched.join(known, "capability", "left").groupBy("query_id").agg(F.max(F.col("_known").isNull()).alias("ghost"))
+    cards = admitted_capabilities(capabilities).select("capability")
+    of_match = matched.join(cards, "capability", "left_semi").join(n, "query_id").select("query_id", "capability", F.when(F.col("n") == 1, 1.0).otherwise(0.0).alias("score"), F.lit(True).alias("sure"))
+    of_recall = hits.groupBy("query_id", "capability").agg(F.max("score").alias("score")).where(F.col("score") >= floor).join(cards, "capability", "left_semi").select("query_id", "capability", "score", F.lit(False).alias("sure"))
+    c = of_match.unionByName(of_recall)
+    best = top_k(c.groupBy("query_id", "capability").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.col("capability")], k)
+    lists = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "capability"))), lambda x: x["capability"].cast("string")), ",").alias("candidates"))
+    sure = of_match.groupBy("query_id").agg(F.lit(True).alias("sure"))
+    j = queries.join(n, "query_id", "left").join(ghosts, "query_id", "left").join(lists, "query_id", "left").join(sure, "query_id", "left")
+    route = F.when(F.col("ghost"), "FAULT").when((F.col("n") == 1) & F.col("sure"), "TOOL").when(F.col("candidates").isNull(), "AGENT").otherwise("SELECT")
+    reason = F.when(F.col("ghost"), "ghost_capability").when(F.col("candidates").isNull(), "no_candidate")
+    return j.select("query_id", F.coalesce("candidates", F.lit("")).alias("candidates"), route.alias("route"), reason.alias("fallback_reason"))
+
+
 def tokens(text: Column) -> Column:
     """F10. Lower-cased keyword tokens of a text, in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, decimals: int = 6) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, decimals: int = 6, scope: str | None = None) -> DataFrame:
     """R8/A23/R10. BM25 of documents (id, text) for queries (query_id, text): query_id, id, score, rank. Query terms count with
-    multiplicity; only positive scores are kept; equal rounded scores by id.
+    multiplicity; only positive scores are kept; equal rounded scores by id. With a scope column, which both sides have, a
+    query takes documents of its own scope; term statistics are those of all documents.
 
-    Only postings of query terms are shuffled; the corpus's length statistics are one row.
+    A text is tokenised once: into its length and its counts of query terms, which are kept while frequencies and lengths are
+    summed from them. Where the queries' vocabulary is small (VOCABULARY terms), it is broadcast and other tokens are dropped
+    before anything is exploded; beyond that, tokens are joined with it. The corpus's statistics are one row.
     """
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q"))
-    toks = docs.select("id", tokens(F.col("text")).alias("t"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-    tf = toks.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    more = [scope] if scope else []
+    terms = queries.select("query_id", *more, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *more, "term").agg(F.count("*").alias("q"))
+    vocabulary = terms.select("term").distinct().limit(VOCABULARY + 1).toPandas()["term"].tolist()
+    if len(vocabulary) <= VOCABULARY:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+        def counts(frames):
+            find, wanted = re.compile(TOKEN).findall, shared.value
+            for x in frames:
+                toks = [find((t or "").lower()) for t in x.pop("text")]
+                got = [Counter(filter(wanted.__contains__, t)) for t in toks]
+                yield x.assign(len=[len(t) for t in toks], terms=[list(c) for c in got], tfs=[list(c.values()) for c in got])
+
+        kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["id", *more])
+        bags = checkpointed(docs.select("id", *more, "text").mapInPandas(counts, f"{kind}, len long, terms array<string>, tfs array<long>"))
+        tf = bags.select("id", *more, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", *more, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        stats = bags.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    else:
+        toks = docs.select("id", *more, tokens(F.col("text")).alias("t"))
+        stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
+        tf = toks.select("id", *more, F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", *more, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("q") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").join(terms, "term").join(F.broadcast(stats)).groupBy("query_id", "id").agg(F.round(F.sum(weight), decimals).alias("score")).where("score > 0")
+    weighted = terms.join(df, "term").join(F.broadcast(stats))  # one row of statistics
+    scored = tf.join(weighted, ["term", *more]).groupBy("query_id", "id").agg(F.round(F.sum(weight), decimals).alias("score")).where("score > 0")
     return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
@@ -96,9 +192,9 @@ def all_tokens(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def exact_match(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """R22/F6. Queries (query_id, text) against phrases (owner, text), trimmed and lower-cased: query_id, verdict HIT, AMBIGUOUS
+    """R22/F6. Queries (query_id, text) against phrases (owner, text), white space collapsed and case folded: query_id, verdict HIT, AMBIGUOUS
     or MISS, and the owner of a HIT."""
-    norm = F.lower(F.trim("text"))
+    norm = folded(F.col("text"))
     owners = corpus.select(norm.alias("k"), "owner").distinct().groupBy("k").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
     return queries.select("query_id", norm.alias("k")).join(owners, "k", "left").select("query_id", F.when(F.col("n").isNull(), "MISS").when(F.col("n") == 1, "HIT").otherwise("AMBIGUOUS").alias("verdict"), F.when(F.col("n") == 1, F.col("owner")).alias("owner"))
 

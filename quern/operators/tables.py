@@ -5,15 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.curation import dealt_join
 
-def visible(assets: DataFrame, memberships: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
-    """P1-P5/U1/J7. (user_id, asset_id) for every user: own assets, those of a workspace they own or joined, those granted to them
-    or to all (a null grantee). assets: asset_id, owner_id, workspace_id; memberships: workspace_id, user_id; grants:
-    asset_id, grantee_id. A union of equi-joins, so that no disjunction forces a nested loop."""
+
+#: In the column user_id of what is visible, a null stands for everyone.
+EVERYONE = None
+
+
+def visible_workspaces(workspaces: DataFrame, memberships: DataFrame, users: DataFrame) -> DataFrame:
+    """P2/V9. Distinct (user_id, workspace_id) that users own or joined. Both sides are cut to the users before the union."""
+    own = workspaces.select(F.col("owner_id").alias("user_id"), "workspace_id").join(users, "user_id", "left_semi")
+    return own.union(memberships.select("user_id", "workspace_id").join(users, "user_id", "left_semi")).distinct()
+
+
+def visible(assets: DataFrame, workspaces: DataFrame, memberships: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
+    """P1/P3/U1/J7. Distinct (user_id, asset_id): own assets, those of a workspace that the user owns or joined, those granted to
+    the user, and those granted to all (a null grantee), which come once with a null user_id instead of once a user. assets:
+    asset_id, owner_id, workspace_id, those in scope; grants: asset_id, grantee_id. A union of equi-joins, so that no disjunction
+    forces a nested loop; a large workspace's assets are dealt out."""
     own = assets.select(F.col("owner_id").alias("user_id"), "asset_id").join(users, "user_id", "left_semi")
-    team = assets.join(memberships.distinct(), "workspace_id").select("user_id", "asset_id").join(users, "user_id", "left_semi")
-    given = grants.where("grantee_id is not null").select(F.col("grantee_id").alias("user_id"), "asset_id").join(users, "user_id", "left_semi").join(assets.select("asset_id"), "asset_id", "left_semi").select("user_id", "asset_id")
-    return own.union(team).union(given).distinct()
+    members = visible_workspaces(workspaces, memberships, users)
+    team = dealt_join(assets.select("asset_id", "workspace_id"), members, "workspace_id", "inner", F.xxhash64("asset_id")).select("user_id", "asset_id")
+    scoped = grants.join(assets.select("asset_id"), "asset_id", "left_semi")
+    given = scoped.where("grantee_id is not null").select(F.col("grantee_id").alias("user_id"), "asset_id").join(users, "user_id", "left_semi").select("user_id", "asset_id")
+    public = scoped.where("grantee_id is null").select(F.lit(EVERYONE).cast(users.schema["user_id"].dataType).alias("user_id"), "asset_id")
+    return own.union(team).union(given).union(public).distinct()
+
+
+def visible_chunks(chunks: DataFrame, assets_visible: DataFrame, users: DataFrame) -> DataFrame:
+    """P4/P5. Distinct (user_id, chunk_id): chunks (chunk_id, asset_id, owner_id) of visible assets, own ones, and public ones, which
+    have neither asset nor owner (null user_id). Assets out of scope are not among the visible, so their chunks are not."""
+    of_asset = chunks.where("asset_id is not null").join(assets_visible, "asset_id").select("user_id", "chunk_id")
+    own = chunks.where("asset_id is null and owner_id is not null").select(F.col("owner_id").alias("user_id"), "chunk_id").join(users, "user_id", "left_semi")
+    public = chunks.where("asset_id is null and owner_id is null").select(F.lit(EVERYONE).cast(users.schema["user_id"].dataType).alias("user_id"), "chunk_id")
+    return of_asset.union(own).union(public).distinct()
+
+
+def public_or_own(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """P13. Rows without a user_id, for everyone, and each user's own."""
+    return rows.where("user_id is null").unionByName(rows.join(users, "user_id", "left_semi"))
 
 
 def admitted(rows: DataFrame, bans: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,3 +102,47 @@ def missing_parts(bitmap: Column) -> Column:
 def redacted(m: Column, markers: tuple[str, ...] = ("password", "secret", "token", "key", "authorization", "cookie", "credential")) -> Column:
     """P26. Map values under a key that holds one of the markers are masked."""
     return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike("|".join(markers)), "***").otherwise(v))
+
+
+def offset_page(rows: DataFrame, order: list[Column], page: int, limit: int) -> DataFrame:
+    """T4. A page from 1 in an order that ends in a unique key, with the total of all rows; limit is held to 1 ... 200."""
+    limit, page = min(max(limit, 1), 200), max(page, 1)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset((page - 1) * limit).limit(limit).crossJoin(F.broadcast(total))  # one row
+
+
+def under_path(path: Column, prefix: str) -> Column:
+    """P11. Whether a path is the prefix or below it."""
+    return (path == prefix) | path.startswith(prefix + "/")
+
+
+def moved(path: Column, old: str, new: str) -> Column:
+    """P12. The path after its subtree moved from old to new; other paths stay."""
+    return F.when(under_path(path, old), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))).otherwise(path)
+
+
+def priced(usage: DataFrame, models: DataFrame) -> DataFrame:
+    """B2. usage (model) with the price of its model: that of the display name, else of the provider's id, active models first
+    and then the earliest, else 0. models: name, provider_id, is_active, created_at, prompt_price, completion_price."""
+    prices = ["prompt_price", "completion_price"]
+    by_name = models.select(F.col("name").alias("model"), *[F.col(c).alias(f"_n_{c}") for c in prices]).dropDuplicates(["model"])
+    w = Window.partitionBy("provider_id").orderBy(F.desc("is_active"), "created_at", "name")
+    by_id = models.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("provider_id").alias("model"), *[F.col(c).alias(f"_p_{c}") for c in prices])
+    j = usage.join(by_name, "model", "left").join(by_id, "model", "left")
+    return j.select(*usage.columns, *[F.coalesce(f"_n_{c}", f"_p_{c}", F.lit(0)).alias(c) for c in prices])
+
+
+def ledger(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """B3. entries with a signed amount, in an order: whether each is applied and the balance after it. A debit larger than the
+    balance is refused and changes nothing; so the fold runs over one key's entries, which a group of the job holds."""
+    e = F.array_sort(F.collect_list(F.struct(*order, "amount")))
+    kind = "array<struct<ok: boolean, balance: decimal(28,2)>>"
+
+    def step(a, x):
+        had = F.coalesce(F.try_element_at(a, F.lit(-1))["balance"], F.lit(0).cast("decimal(28,2)"))
+        ok = had + x["amount"] >= 0
+        return F.concat(a, F.array(F.struct(ok.alias("ok"), F.when(ok, had + x["amount"]).otherwise(had).cast("decimal(28,2)").alias("balance")))).cast(kind)
+
+    g = entries.groupBy(*keys).agg(e.alias("e")).withColumn("r", F.aggregate("e", F.expr(f"cast(array() as {kind})"), step))
+    z = g.select(*keys, F.explode(F.arrays_zip("e", "r")).alias("x"))
+    return z.select(*keys, *[F.col(f"x.e.{c}").alias(c) for c in order], F.col("x.e.amount").alias("amount"), F.col("x.r.ok").alias("applied"), F.col("x.r.balance").alias("balance_after"))

@@ -40,11 +40,12 @@ def vtt(files: DataFrame) -> DataFrame:
 
 
 def lrc(files: DataFrame) -> DataFrame:
-    """S12, W6. A line ends where the next one starts, the last after three seconds; lines without text end others and then go."""
+    """S12, W6. A line ends where the next one starts, the last after three seconds; lines without text end others and then go.
+    Lines stay in the file's order."""
     line = r"^\[(\d{1,3}):(\d{2})(?:[.:](\d{1,3}))?\](.*)$"
     g = lambda i: F.regexp_extract("l", line, i)
     rows = files.select("id", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "l")).where(F.col("l").rlike(line))
     rows = rows.select("id", "pos", _ms(F.lit("0"), g(1), g(2), F.when(g(3) == "", "0").otherwise(g(3))).alias("start_ms"), _flat(g(4)).alias("text"))
-    w = Window.partitionBy("id").orderBy("start_ms", "pos")
+    w = Window.partitionBy("id").orderBy("pos")
     rows = rows.withColumn("end_ms", F.coalesce(F.lead("start_ms").over(w), F.col("start_ms") + 3000)).where("text <> ''")
     return rows.withColumn("index", F.row_number().over(w)).select("id", "index", "start_ms", "end_ms", "text")

@@ -27,24 +27,68 @@ def test_cosine_of_zero_and_unequal_vectors(spark):
         bad.select(recall.cosine("a", "b")).collect()
 
 
+def merged(units, size, joiner, overlap):
+    """Greedy merge, one unit at a time."""
+    out, cur = [], ""
+    for u in units:
+        if len(u) > size:
+            out += [cur] if cur else []
+            wins = [u[i : i + size] for i in range(0, len(u), max(1, size - overlap))]
+            out += wins[:-1]
+            cur = wins[-1]
+        elif not cur:
+            cur = u
+        elif len(cur) + len(joiner) + len(u) <= size:
+            cur += joiner + u
+        else:
+            out.append(cur)
+            cur = u
+    return out + ([cur] if cur else [])
+
+
 def test_merge_units_against_brute_force(spark):
-    def brute(units, size, joiner):
-        out, cur = [], None
-        for u in units:
-            for p in [u[i : i + size] for i in range(0, len(u), size)] if len(u) > size else [u]:
-                if cur is None:
-                    cur = p
-                elif len(cur) + len(joiner) + len(p) <= size:
-                    cur += joiner + p
-                else:
-                    out.append(cur)
-                    cur = p
-        return out + ([cur] if cur is not None else [])
-
-    cases = [["a" * n for n in ns] for ns in ([3, 4, 5], [25], [9, 1, 10, 11], [], [10, 10], [1] * 30)]
+    cases = [["a" * n for n in ns] for ns in ([3, 4, 5], [25], [9, 1, 10, 11], [], [10, 10], [1] * 30, [4, 25, 3], [31, 2, 2])]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, u array<string>")
-    got = {r[0]: r[1] for r in df.select("i", chunking.merged_units(F.col("u"), 10, " ")).collect()}
-    assert got == {i: brute(c, 10, " ") for i, c in enumerate(cases)}
+    for overlap in (0, 3):
+        got = {r[0]: r[1] for r in df.select("i", chunking.merged_units(F.col("u"), 10, " ", overlap)).collect()}
+        assert got == {i: merged(c, 10, " ", overlap) for i, c in enumerate(cases)}
+
+
+def test_paragraphs_and_sections(spark):
+    text = "# Guide\n\nintro\n## One\nFirst sentence. Second one!\n## Two\n" + "Long words here. " * 100 + "\n## Empty"
+    d = spark.createDataFrame([(1, text), (2, "## Only\nbody"), (3, None), (4, "")], "id int, text string")
+    got = {i: [r.chunk for r in chunking.section_pieces(d, "manual").where(F.col("id") == i).orderBy("seq").collect()] for i in (1, 2, 3, 4)}
+    assert got[1][0] == "【Guide】\n# Guide\n\nintro" and got[1][1] == "【Guide · One】\n## One\nFirst sentence. Second one!"
+    assert all(x.startswith("【Guide · Two】\n") and len(x) <= 900 + 20 for x in got[1][2:]) and len(got[1]) == 4
+    assert got[2] == ["【manual · Only】\n## Only\nbody"] and got[3] == got[4] == []
+    p = spark.createDataFrame([(1, "a\n\nb\n \nccc\n\n" + "d" * 25)], "id int, text string")
+    assert [r.chunk for r in chunking.merged_paragraphs(p, 10, 2).orderBy("seq").collect()] == merged(["a", "b", "ccc", "d" * 25], 10, "\n\n", 2)
+
+
+def test_subtitle_chunks_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    cues = [(f, i, i * 1000, i * 1000 + 900, "x" * rng.choice((0, 3, 5, 9, 12, 27))) for f in range(4) for i in range(12)] + [(9, 0, 3_723_000, 3_724_000, "one")]
+    want = []
+    for f in (0, 1, 2, 3, 9):
+        out, lines = [], []
+        for _, _, s, e, t in (c for c in cues if c[0] == f and c[4]):
+            if len(t) > 12:
+                out += [lines] if lines else []
+                lines = []
+                out += [[(s, e, t[k : k + 12])] for k in range(0, len(t), 12)]
+                continue
+            if lines and len("\n".join(x[2] for x in [*lines, (s, e, t)])) > 12:
+                out.append(lines)
+                lines = []
+            lines = [*lines, (s, e, t)]
+        out += [lines] if lines else []
+        want += [(f, k, "\n".join(x[2] for x in g), g[0][0], g[-1][1]) for k, g in enumerate(out)]
+    df = spark.createDataFrame(cues, "id int, index int, start_ms int, end_ms int, text string").repartition(3)
+    got = rows(chunking.subtitle_chunks(df, 12), "id", "seq")
+    assert [r[:5] for r in got] == want
+    assert got[-1][5:] == ("1:02:03", "1:02:04")
 
 
 def test_windows_of_empty_and_null_texts(spark):
@@ -67,11 +111,82 @@ def test_qa_pairs_keep_unanswered_questions(spark):
 def test_similar_pairs_against_brute_force(spark):
     sets = {1: "abcd", 2: "abce", 3: "xyz", 4: "abcdef", 5: "xy"}
     df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id int, grams array<string>")
-    got = {(r.a, r.b) for r in curation.similar_pairs(df, 0.6).collect()}
+    got = {(r.a, r.b) for r in curation.similar_pairs(df, 600).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.6}
     assert got == want
 
 
+def test_similar_lines_against_brute_force(spark):
+    """All lines of the smallest table, whatever their length: pairs at 0.8 and components of all lines."""
+    from quern.plans import curated
+
+    d = "/root/testdata/sf0.001"
+    lines = {x for r in spark.read.parquet(f"{d}/documents.parquet").collect() for x in (r.text or "").split("\n") if x}
+    import hashlib
+
+    ids = {hashlib.md5(x.encode()).hexdigest(): frozenset(x[i : i + 4] for i in range(max(1, len(x) - 3))) for x in lines}
+    by_set = {}
+    for i in sorted(ids):
+        by_set.setdefault(ids[i], []).append(i)
+    reps = sorted(((v[0], k) for k, v in by_set.items()), key=lambda x: len(x[1]))
+    want = set()
+    for n, (a, x) in enumerate(reps):
+        for b, y in reps[n + 1 :]:
+            if 1000 * len(x) < 800 * len(y):
+                break
+            both = len(x & y)
+            if both * 1000 >= (len(x) + len(y) - both) * 800:
+                want.add((min(a, b), max(a, b)))
+    got = {(r.a, r.b) for r in curated.near_dup_pairs(spark, d).collect()}
+    assert got == want and len(want) > 20
+    comp = {r.node: r.component for r in curated.dup_components(spark, d).collect()}
+    assert all(comp[a] == comp[b] for a, b in want) and all(comp[i] == comp[v[0]] for v in by_set.values() if len(v) > 1 for i in v)
+    assert set(comp) == {x for p in want for x in p} | {i for v in by_set.values() if len(v) > 1 for i in v}
+
+
+def test_visibility_of_public_and_owned(spark):
+    a = spark.createDataFrame([(1, 10, 5), (2, 11, 5), (3, 12, 6), (4, 12, None), (5, None, None)], "asset_id long, owner_id long, workspace_id long")
+    w = spark.createDataFrame([(5, 20), (6, 11)], "workspace_id long, owner_id long")
+    m = spark.createDataFrame([(5, 10), (5, 10), (6, 99)], "workspace_id long, user_id long")
+    g = spark.createDataFrame([(3, None), (4, 10), (7, None)], "asset_id long, grantee_id long")
+    u = spark.createDataFrame([(10,), (11,), (20,)], "user_id long")
+    got = {(r.user_id, r.asset_id) for r in tables.visible(a, w, m, g, u).collect()}
+    assert got == {(10, 1), (11, 2), (10, 2), (20, 1), (20, 2), (11, 3), (None, 3), (10, 4)}
+    c = spark.createDataFrame([(1, 1, None), (2, None, None), (3, None, 10), (4, 5, None), (5, 3, None)], "chunk_id long, asset_id long, owner_id long")
+    assert {(r.user_id, r.chunk_id) for r in tables.visible_chunks(c, tables.visible(a, w, m, g, u), u).collect()} == {(10, 1), (20, 1), (None, 2), (10, 3), (11, 5), (None, 5)}
+
+
+def test_percentiles_of_few_and_equal_values(spark):
+    from quern.operators import evaluation
+
+    d = spark.createDataFrame([("a", v) for v in (1.0, 1.0, 1.0, 5.0)] + [("b", 7.0), ("c", None)], "k string, v double").repartition(3)
+    assert rows(evaluation.nearest_rank(d, ["k"], "v", 0.5), "k") == [("a", 1.0), ("b", 7.0)]
+    assert rows(evaluation.interpolated(d, ["k"], "v", [0.5, 0.95]), "k") == [("a", 1.0, 4.4), ("b", 7.0, 7.0)]
+
+
+def test_files_and_logs(spark, tmp_path):
+    from quern.sources import files
+
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfhi\x07 \xc3\xa9")
+    (tmp_path / "b.txt").write_bytes(b"caf\xe9")
+    assert sorted(r.text for r in files.plain_text(spark, f"{tmp_path}/*.txt").collect()) == ["café", "hi é"]
+    t = spark.createDataFrame([("word,a thing,3,x",), ("other",), (",no word",)], "line string")
+    assert rows(files.terms(t), "word") == [("other", "", 1, 1), ("word", "a thing", 3, 1)]
+    log = [("f", i, x) for i, x in enumerate(["stack of the last file", "2024 ERROR bad", "  at x", "2024 INFO fine", "2025 ERROR again"])]
+    assert [r.text for r in files.log_entries(spark.createDataFrame(log, "file string, pos int, line string"), ["ERROR"]).orderBy("entry").collect()] == ["2024 ERROR bad\n  at x", "2025 ERROR again"]
+    spark.createDataFrame([(1, "é")], "i int, t string").coalesce(1).write.json(str(tmp_path / "j"))
+    assert rows(files.jsonl(spark, str(tmp_path / "j"), "i int, t string"), "i") == [(1, "é")]
+
+
+def test_context_carried_anchors_and_edges(spark):
+    c = spark.createDataFrame([(1, 0, "raw"), (1, 1, "two")], "id int, seq int, chunk string")
+    x = spark.createDataFrame([(1, 0, "about")], "id int, seq int, context string")
+    assert rows(chunking.contextualized(c, x), "id", "seq") == [(1, 0, "about\nraw", "raw"), (1, 1, "two", "two")]
+    e = spark.createDataFrame([("a", "b", "k"), ("a", "b", "k"), ("a", "z", "k"), (None, "b", "k")], "src string, dst string, kind string")
+    n = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in graph.edges_between(e, n).select("src", "dst").collect()] == [("a", "b")]
+
+
 def test_components_and_closure_survive_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (8, 9), (5, 5)], "a long, b long")
     assert rows(curation.connected(e), "node") == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
