@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import curated, ops, retrieval, texts
+from quern.plans import curated, dataset, drive, memory, ops, retrieval, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _m in (retrieval, texts, ops, curated):
+for _m in (retrieval, texts, ops, curated, drive, memory, dataset):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL

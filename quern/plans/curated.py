@@ -25,36 +25,27 @@ ORACLE_SQL["exact_dedup"] = f"SELECT doc_id AS id, min(doc_id) OVER (PARTITION B
 
 
 def _lines(spark, d):
-    """Distinct short lines of documents with the four-grams of their characters; the least (doc, place) is the id."""
-    l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line").between(20, 60))
-    l = l.groupBy("line").agg(F.min(F.col("doc_id") * 1000 + F.col("pos")).alias("id"))
-    return l.select("id", curation.grams(F.col("line"), 4).alias("grams"))
-
-
-_LINES = """l AS (SELECT min(doc_id * 1000 + pos) AS id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) WHERE length(line) BETWEEN 20 AND 60 GROUP BY line),
-  g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(line) - 2), lambda i: line[i:i + 3])) AS gram FROM l), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
-  p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
-  pairs AS (SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE round(c / (x.n + y.n - c), 6) >= 0.5)"""
+    """All distinct lines of documents with the four-grams of their characters; the md5 of the line is its id."""
+    l = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
+    return l.select(F.md5("line").alias("id"), curation.grams(F.col("line"), 4).alias("grams"))
 
 
 def near_dup_pairs(spark, d):
-    """Short lines whose character four-grams have a Jaccard similarity of at least 0.5."""
-    return curation.similar_pairs(_lines(spark, d), 0.5)
-
-
-ORACLE_SQL["near_dup_pairs"] = f"WITH {_LINES} SELECT * FROM pairs"
+    """Distinct lines whose sets of character four-grams have a Jaccard similarity of at least 0.8; lines of
+    equal sets are represented by the least. (All lines against all are too much for SQL; a test compares brute force.)"""
+    return curation.similar_pairs(curation.distinct_sets(_lines(spark, d))[0], 800)
 
 
 def dup_components(spark, d):
-    """Components of those pairs."""
-    return curation.connected(near_dup_pairs(spark, d).select("a", "b"))
-
-
-ORACLE_SQL["dup_components"] = f"WITH RECURSIVE {_LINES}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1"
+    """Components of all lines over those pairs and equal sets."""
+    rows = _lines(spark, d)
+    reps, members = curation.distinct_sets(rows)
+    links = curation.similar_pairs(reps, 800).select("a", "b").union(members.where("id <> rep").select("rep", "id"))
+    return curation.connected(links)
 
 
 def cluster_split(spark, d):
-    """Documents dealt to splits by the hash of their family, 80, 10 and 10 per cent."""
+    """Documents dealt to splits by the hash of their family, 80, 10 and 10 per cent."""
     g = curation.exact_groups(_docs(spark, d), T.bare(F.col("text")))
     return g.select("id", "keep", curation.split_of(F.col("keep"), {"train": 80, "dev": 10, "test": 10}).alias("split"))
 
@@ -73,24 +64,37 @@ ORACLE_SQL["split_leakage"] = f"SELECT count(*) FILTER (n > 1) AS leaked_keys, c
 
 
 def benchmark_contamination(spark, d):
-    """K7, U4: documents that share an eight-word sequence with a benchmark item, by hashed n-grams; only the benchmark's n-grams
-    are looked for."""
-    def ngrams(rows, key):
+    """K7, U4: documents that share an eight-word sequence with a benchmark item, by hashed n-grams; an item of fewer words is
+    looked for whole. Only the benchmark's n-grams are looked for."""
+    def words(rows, key):
         # explode of one array keeps the split from being evaluated anew for every n-gram
-        w = rows.select(key, F.explode(F.array(F.split(T.normalized(F.col("text")), " "))).alias("w")).where("size(w) >= 8")
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " "))))).alias("g"))
+        return rows.select(key, F.explode(F.array(F.split(T.normalized(F.col("text")), " "))).alias("w"))
+
+    def ngrams(rows, key, n):
+        return rows.where(F.size("w") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("g"))
 
-    seeds, grams = ngrams(table(spark, d, "benchmark"), "item_id"), ngrams(table(spark, d, "documents"), "doc_id")
-    return grams.join(seeds, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    items = words(table(spark, d, "benchmark").where("trim(text) <> ''"), "item_id")
+    docs = words(table(spark, d, "documents"), "doc_id")
+    seeds, grams = ngrams(items, "item_id", 8), ngrams(docs, "doc_id", 8)
+    found = grams.join(seeds, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    short = items.where(F.size("w") < 8).withColumn("n", F.size("w"))
+    sizes = [r["n"] for r in short.select("n").distinct().collect()]  # seven at most
+    for n in sizes:
+        s = short.where(F.col("n") == n).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("g"))
+        found = found.union(ngrams(docs, "doc_id", n).join(s, "g").groupBy("doc_id", "item_id").agg(F.lit(1).cast("long").alias("shared")))
+    return found
 
 
 _NG = r"list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))"
 _W = r"string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ')"
-ORACLE_SQL["benchmark_contamination"] = f"WITH s AS (SELECT item_id, unnest({_NG}) AS g FROM (SELECT item_id, {_W} AS w FROM benchmark)), t AS (SELECT doc_id, unnest({_NG}) AS g FROM (SELECT doc_id, {_W} AS w FROM documents)) SELECT doc_id, item_id, count(*) AS shared FROM s JOIN t USING (g) GROUP BY ALL"
+ORACLE_SQL["benchmark_contamination"] = f"""WITH b AS (SELECT item_id, {_W} AS w FROM benchmark WHERE trim(text) <> ''), x AS (SELECT doc_id, {_W} AS w FROM documents),
+  s AS (SELECT item_id, unnest({_NG}) AS g FROM b), t AS (SELECT doc_id, unnest({_NG}) AS g FROM x)
+  SELECT doc_id, item_id, count(*) AS shared FROM s JOIN t USING (g) GROUP BY ALL
+  UNION ALL SELECT doc_id, item_id, 1 FROM x JOIN b ON len(b.w) < 8 AND contains(' ' || array_to_string(x.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')"""
 
 
 def corpus_conflicts(spark, d):
-    """Lines that several sources own."""
+    """Lines that several sources own."""
     l = table(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
     return curation.conflicts(l, F.lower(F.trim("line")), "source").select(F.md5("phrase").alias("phrase"), "owners", "n")
 
@@ -108,7 +112,7 @@ ORACLE_SQL["row_eligibility"] = f"""WITH r AS (SELECT doc_id AS id, {BARE} AS k
 
 
 def calibration_sample(spark, d):
-    """Five documents of each language and source in seeded hash order (a sampling operator)."""
+    """Five documents of each language and source in seeded hash order (a sampling operator)."""
     return curation.sampled(_docs(spark, d), ["lang", "source"], "id", 5, "seed-1").select("id", "lang", "source", "place")
 
 
@@ -121,19 +125,26 @@ def corpus_fingerprint(spark, d):
     return graph.fingerprints(items, "source", "item")
 
 
-ORACLE_SQL["corpus_fingerprint"] = "SELECT source, sha256(string_agg(item, chr(31) ORDER BY item)) AS fingerprint FROM (SELECT DISTINCT source, doc_id || '|' || md5(text) AS item FROM documents) GROUP BY 1"
+def _fp(items: str) -> str:
+    """SQL of graph.fingerprints over a query with source and item."""
+    words = ", ".join(f"sum(('0x' || h[{1 + 8 * i}:{8 + 8 * i}])::BIGINT)" for i in range(4))
+    return f"SELECT source, sha256(concat_ws('|', count(*), {words})) AS fingerprint FROM (SELECT source, sha256(item) AS h FROM (SELECT DISTINCT source, item FROM ({items}))) GROUP BY 1"
+
+
+_ITEMS = "SELECT source, doc_id || '|' || md5({t}) AS item FROM documents {w}"
+ORACLE_SQL["corpus_fingerprint"] = _fp(_ITEMS.format(t="text", w=""))
 
 
 def pending_sources(spark, d):
-    """Sources to verify again after documents below 500 changed case."""
+    """Sources whose documents changed since a state that lacks src3, after those below 500 were put in upper case."""
     item = lambda x: x.select("source", F.concat_ws("|", "id", F.md5("text")).alias("item"))
-    r = _docs(spark, d).where("lang = 'es'")
-    now = graph.fingerprints(item(r.withColumn("text", F.when(F.col("id") < 500, F.upper("text")).otherwise(F.col("text")))), "source", "item")
+    r = _docs(spark, d)
+    now = graph.fingerprints(item(r.withColumn("text", F.when((F.col("id") < 500) & (F.col("source") != "src5"), F.upper("text")).otherwise(F.col("text")))), "source", "item")
     return graph.pending(now, graph.fingerprints(item(r.where("source <> 'src3'")), "source", "item"), "source")
 
 
-ORACLE_SQL["pending_sources"] = """WITH r AS (SELECT * FROM documents WHERE lang = 'es'), n AS (SELECT source, string_agg(i, ',' ORDER BY i) AS f FROM (SELECT source, doc_id || '|' || md5(CASE WHEN doc_id < 500 THEN upper(text) ELSE text END) AS i FROM r) GROUP BY 1),
-  o AS (SELECT source, string_agg(i, ',' ORDER BY i) AS f FROM (SELECT source, doc_id || '|' || md5(text) AS i FROM r WHERE source <> 'src3') GROUP BY 1) SELECT source, CASE WHEN o.f IS NULL THEN 'new' WHEN o.f <> n.f THEN 'changed' ELSE 'same' END AS state FROM n LEFT JOIN o USING (source)"""
+_NOW = _fp(_ITEMS.format(t="CASE WHEN doc_id < 500 AND source <> 'src5' THEN upper(text) ELSE text END", w=""))
+ORACLE_SQL["pending_sources"] = f"SELECT source, CASE WHEN o.fingerprint IS NULL THEN 'new' WHEN o.fingerprint <> n.fingerprint THEN 'changed' ELSE 'same' END AS state FROM ({_NOW}) n LEFT JOIN ({_fp(_ITEMS.format(t='text', w=chr(87) + 'HERE source <> ' + repr('src3')))}) o USING (source)"
 
 
 def _edges(spark, d):
@@ -156,18 +167,18 @@ ORACLE_SQL["lineage_closure"] = f"WITH RECURSIVE {_EDGES}, t AS (SELECT 'r' || r
 
 
 def cascade_status(spark, d):
-    """Nodes below an invalid nation become stale."""
-    starts = table(spark, d, "nation").where("n_nationkey in (3, 11)").select(F.concat(F.lit("n"), "n_nationkey").alias("id"))
+    """Nodes below an invalid nation (those of Asia and an unknown one) become stale."""
+    starts = table(spark, d, "nation").where("n_regionkey = 2").select(F.concat(F.lit("n"), "n_nationkey").alias("id")).union(spark.createDataFrame([("n999",)], "id string"))
     stale = graph.closure(_edges(spark, d), starts).select("node").distinct()
     orders = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), "o_orderstatus")
     return orders.join(stale.withColumn("stale", F.lit(True)), "node", "left").groupBy("o_orderstatus", F.coalesce("stale", F.lit(False)).alias("stale")).agg(F.count("*").alias("n"))
 
 
-ORACLE_SQL["cascade_status"] = "SELECT o_orderstatus, coalesce(c_nationkey IN (3, 11), false) AS stale, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
+ORACLE_SQL["cascade_status"] = "SELECT o_orderstatus, coalesce(c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2), false) AS stale, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
 
 
 def gate_checks(spark, d):
-    """Orders as claims, lines as evidence; a claim without evidence fails."""
+    """Orders as claims, lines as evidence; a claim without evidence fails."""
     l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.when(F.col("l_returnflag") == "R", "contradicts").otherwise("supports").alias("kind"), (F.col("l_quantity") > 5).alias("verified"))
     return graph.gates(table(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id")), l)
 

@@ -13,7 +13,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def usage_by_channel(spark, d):
-    """Requests, quantity and cost by market segment with a name lookup after the aggregation."""
+    """Requests, quantity and cost by market segment with a name lookup after the aggregation."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     g = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("requests"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("cost"))
     return g.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.coalesce("n_name", F.lit("")).alias("channel"), "requests", "cost")
@@ -35,7 +35,7 @@ ORACLE_SQL["usage_by_day"] = " UNION ALL ".join(f"SELECT user_id, date_trunc('{p
 
 def latency_percentiles(spark, d):
     """A3, M2: interpolated p50, p95 and p99 by route."""
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.expr(f"percentile(value, {q})"), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return evaluation.interpolated(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
 
 
 ORACLE_SQL["latency_percentiles"] = "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1"
@@ -43,10 +43,10 @@ ORACLE_SQL["latency_percentiles"] = "SELECT event_type, round(quantile_cont(valu
 
 def nearest_rank_percentile(spark, d):
     """The nearest-rank p95 with half-even rounding of the place."""
-    return evaluation.nearest_rank(table(spark, d, "events").where("value is not null"), ["event_type"], "value", 0.95)
+    return evaluation.nearest_rank(table(spark, d, "events"), ["event_type"], "value", 0.95)
 
 
-ORACLE_SQL["nearest_rank_percentile"] = "SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE i = round_even(0.95 * (n - 1), 0)"
+ORACLE_SQL["nearest_rank_percentile"] = "SELECT DISTINCT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE i = round_even(0.95 * (n - 1), 0)"
 
 
 def top_models(spark, d):
@@ -59,7 +59,7 @@ ORACLE_SQL["top_models"] = "SELECT l_partkey, p_name, n, amount FROM (SELECT l_p
 
 
 def cost_ledger(spark, d):
-    """Exact decimal cost of each order from priced lines; an unknown price stays null."""
+    """Exact decimal cost of each order from priced lines; an unknown price stays null."""
     l = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
     c = T.cost(F.col("l_quantity"), F.col("l_linenumber"), F.col("p_retailprice"), F.lit(2.5))
     return l.groupBy("l_orderkey").agg(F.sum(c).cast("decimal(18,6)").alias("cost"), F.count_if(c.isNull()).alias("unpriced"))
@@ -69,12 +69,31 @@ ORACLE_SQL["cost_ledger"] = "SELECT l_orderkey, sum(c)::DECIMAL(18,6) AS cost, c
 
 
 def running_balance(spark, d):
-    """Balance after each credit of a customer, in the order of time and key."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w).cast("decimal(18,2)").alias("balance"))
+    """Orders as movements of a customer, odd keys as debits of the whole price: applied or refused, and the balance after."""
+    amount = F.col("o_totalprice").cast("decimal(18,2)") * F.when(F.col("o_orderkey") % 2 == 1, -1).otherwise(1)
+    e = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", amount.cast("decimal(18,2)").alias("amount"))
+    return tables.ledger(e, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "applied", F.col("balance_after").cast("decimal(18,2)").alias("balance"))
 
 
-ORACLE_SQL["running_balance"] = "SELECT o_custkey, o_orderkey, sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::DECIMAL(18,2) AS balance FROM orders"
+ORACLE_SQL["running_balance"] = """WITH RECURSIVE m AS (SELECT o_custkey, o_orderkey, (CASE WHEN o_orderkey % 2 = 1 THEN -1 ELSE 1 END * o_totalprice::DECIMAL(18,2))::DECIMAL(18,2) AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+  r AS (SELECT o_custkey, o_orderkey, n, amount >= 0 AS applied, greatest(amount, 0)::DECIMAL(18,2) AS balance FROM m WHERE n = 1
+    UNION ALL SELECT m.o_custkey, m.o_orderkey, m.n, r.balance + m.amount >= 0, (CASE WHEN r.balance + m.amount >= 0 THEN r.balance + m.amount ELSE r.balance END)::DECIMAL(18,2) FROM r JOIN m ON m.o_custkey = r.o_custkey AND m.n = r.n + 1)
+  SELECT o_custkey, o_orderkey, applied, balance FROM r"""
+
+
+def price_lookup(spark, d):
+    """What an order line costs by the price of its part's name, else by its brand's first active part, else 0."""
+    p = table(spark, d, "part")
+    models = p.where("p_partkey % 3 > 0").select(F.col("p_name").alias("name"), F.col("p_brand").alias("provider_id"), (F.col("p_size") > 10).alias("is_active"), F.col("p_partkey").alias("created_at"), F.col("p_retailprice").alias("prompt_price"), (F.col("p_size") * 0.5).alias("completion_price"))
+    models = models.groupBy("name").agg(F.min_by(F.struct("provider_id", "is_active", "created_at", "prompt_price", "completion_price"), "created_at").alias("x")).select("name", "x.*")
+    usage = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).when(F.col("p_partkey") % 5 == 0, "unknown").otherwise(F.col("p_brand")).alias("model"))
+    return tables.priced(usage, models)
+
+
+ORACLE_SQL["price_lookup"] = """WITH m AS (SELECT p_name AS name, p_brand AS provider_id, p_size > 10 AS is_active, p_partkey AS created_at, p_retailprice AS prompt_price, p_size * 0.5::DOUBLE AS completion_price FROM part WHERE p_partkey % 3 > 0 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
+  i AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY is_active DESC, created_at, name) = 1),
+  u AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE p_brand END AS model FROM part)
+  SELECT p_partkey, model, coalesce(m.prompt_price, i.prompt_price, 0) AS prompt_price, coalesce(m.completion_price, i.completion_price, 0) AS completion_price FROM u LEFT JOIN m ON m.name = model LEFT JOIN i ON i.provider_id = model"""
 
 
 def quota_tier(spark, d):
@@ -96,7 +115,7 @@ ORACLE_SQL["streaks"] = """WITH g AS (SELECT user_id, event_type, row_number() O
 
 
 def keyset_page(spark, d):
-    """The page of 25 events before a cursor, and whether more follow."""
+    """The page of 25 events before a cursor, and whether more follow."""
     return conversation.keyset_page(table(spark, d, "events").select("event_id", "ts", "user_id"), "ts", "event_id", ("2024-01-15 00:00:00", 0), 25).select("event_id", "user_id", "place", "has_more")
 
 
@@ -104,7 +123,7 @@ ORACLE_SQL["keyset_page"] = "SELECT event_id, user_id, place, n > 25 AS has_more
 
 
 def event_filters(spark, d):
-    """Optional exact filters, an inclusive date range, a substring filter."""
+    """Optional exact filters, an inclusive date range, a substring filter."""
     e = table(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).where((F.col("ts") >= "2024-01-05") & (F.col("ts") < F.expr("date'2024-01-20' + interval 1 day"))).where(F.col("props").ilike('%"k"%'))
     return e.select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
@@ -121,24 +140,76 @@ def slot_presence(spark, d):
 ORACLE_SQL["slot_presence"] = "SELECT event_type, slot, count(*) AS n, count(value) AS valued FROM (SELECT event_type, value, unnest(json_keys(props)) AS slot FROM events) GROUP BY ALL"
 
 
-def visibility_union(spark, d):
-    """Orders seen by customers as owners, through their nation's team (customers of balance above
-    9,000), by a grant to them, for users whose key is divisible by 50."""
+def _access(spark, d):
+    """Orders as assets (open ones out of scope), nations as workspaces of their least customer, customers of balance above 9,000
+    as members, grants to the next customer or (order keys divisible by 101) to all."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    assets = o.join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("owner_id"), F.col("c_nationkey").alias("workspace_id"))
-    team = c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("workspace_id"), F.col("c_custkey").alias("user_id"))
-    grants = o.where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("asset_id"), (F.col("o_custkey") + 1).alias("grantee_id"))
-    users = c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("user_id"))
-    return tables.visible(assets, team, grants, users)
+    assets = o.where("o_orderstatus <> 'P'").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("owner_id"), F.col("c_nationkey").alias("workspace_id"))
+    spaces = c.groupBy(F.col("c_nationkey").alias("workspace_id")).agg(F.min("c_custkey").alias("owner_id"))
+    members = c.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("workspace_id"), F.col("c_custkey").alias("user_id"))
+    grants = o.where("o_orderkey % 97 = 0 or o_orderkey % 101 = 0").select(F.col("o_orderkey").alias("asset_id"), F.when(F.col("o_orderkey") % 101 != 0, F.col("o_custkey") + 1).alias("grantee_id"))
+    return assets, spaces, members, grants, c.select(F.col("c_custkey").alias("user_id"))
+
+
+_ACCESS = """a AS (SELECT o_orderkey AS asset_id, o_custkey AS owner_id, c_nationkey AS w FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+  vw AS (SELECT min(c_custkey) AS user_id, c_nationkey AS w FROM customer GROUP BY 2 UNION SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal > 9000),
+  g AS (SELECT o_orderkey AS asset_id, CASE WHEN o_orderkey % 101 <> 0 THEN o_custkey + 1 END AS grantee FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0),
+  va AS (SELECT owner_id AS user_id, asset_id FROM a UNION SELECT user_id, asset_id FROM a JOIN vw USING (w)
+    UNION SELECT grantee, asset_id FROM g JOIN a USING (asset_id) WHERE grantee IN (SELECT c_custkey FROM customer) UNION SELECT NULL, asset_id FROM g JOIN a USING (asset_id) WHERE grantee IS NULL)"""
+
+
+def visibility_union(spark, d):
+    """Which customers see which assets; public ones once, with a null user."""
+    return tables.visible(*_access(spark, d))
+
+
+ORACLE_SQL["visibility_union"] = f"WITH {_ACCESS} SELECT user_id, asset_id FROM va"
+
+
+def visible_workspaces(spark, d):
+    """Workspaces that customers own or joined."""
+    _, spaces, members, _, users = _access(spark, d)
+    return tables.visible_workspaces(spaces, members, users)
+
+
+ORACLE_SQL["visible_workspaces"] = f"WITH {_ACCESS} SELECT user_id, w AS workspace_id FROM vw"
+
+
+def folder_visibility(spark, d):
+    """Suppliers as folders of the customer of their key, in their nation's workspace; no grants."""
+    _, spaces, members, grants, users = _access(spark, d)
+    folders = table(spark, d, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.col("s_suppkey").alias("owner_id"), F.col("s_nationkey").alias("workspace_id"))
+    return tables.visible(folders, spaces, members, grants.limit(0), users).withColumnRenamed("asset_id", "folder_id")
+
+
+ORACLE_SQL["folder_visibility"] = f"WITH {_ACCESS} SELECT s_suppkey AS user_id, s_suppkey AS folder_id FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer) UNION SELECT user_id, s_suppkey FROM supplier JOIN vw ON w = s_nationkey"
+
+
+def chunk_visibility(spark, d):
+    """Order lines as chunks; the seventh lines of an order have no asset and belong to a customer or to all."""
+    l = table(spark, d, "lineitem")
+    chunks = l.select(F.struct("l_orderkey", "l_linenumber").alias("chunk_id"), F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("asset_id"), F.when((F.col("l_linenumber") == 7) & (F.col("l_orderkey") % 3 > 0), F.col("l_suppkey")).alias("owner_id"))
+    v = tables.visible_chunks(chunks, tables.visible(*_access(spark, d)), _access(spark, d)[4])
+    return v.groupBy("user_id").agg(F.count("*").alias("chunks"), F.sum("chunk_id.l_orderkey").alias("orders"), F.sum("chunk_id.l_linenumber").cast("long").alias("lines"))
+
+
+ORACLE_SQL["chunk_visibility"] = f"""WITH {_ACCESS}, v AS (SELECT user_id, l_orderkey, l_linenumber FROM lineitem JOIN va ON asset_id = l_orderkey WHERE l_linenumber < 7
+  UNION SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 7 AND l_orderkey % 3 > 0 AND l_suppkey IN (SELECT c_custkey FROM customer)
+  UNION SELECT NULL, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 7 AND l_orderkey % 3 = 0)
+  SELECT user_id, count(*) AS chunks, sum(l_orderkey)::BIGINT AS orders, sum(l_linenumber)::BIGINT AS lines FROM v GROUP BY 1"""
+
+
+def public_or_own(spark, d):
+    """Parts as domains; those of size 1 belong to all, the others to the customer of their key."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("domain_id"), F.when(F.col("p_size") > 1, F.col("p_partkey")).alias("user_id"))
+    return tables.public_or_own(p, table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))).select("domain_id", "user_id")
 
 
-ORACLE_SQL["visibility_union"] = """WITH a AS (SELECT o_orderkey AS asset_id, o_custkey AS owner_id, c_nationkey AS w FROM orders JOIN customer ON o_custkey = c_custkey), u AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 50 = 0)
-  SELECT user_id, asset_id FROM u JOIN a ON owner_id = user_id UNION SELECT user_id, asset_id FROM u JOIN customer ON c_custkey = user_id AND c_acctbal > 9000 JOIN a ON w = c_nationkey
-  UNION SELECT user_id, o_orderkey FROM orders JOIN u ON user_id = o_custkey + 1 WHERE o_orderkey % 97 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)"""
+ORACLE_SQL["public_or_own"] = "SELECT p_partkey AS domain_id, CASE WHEN p_size > 1 THEN p_partkey END AS user_id FROM part WHERE p_size <= 1 OR p_partkey IN (SELECT c_custkey FROM customer)"
 
 
 def ban_anti(spark, d):
-    """Suppliers of good balance less those of banned nations."""
+    """Suppliers of good balance less those of banned nations."""
     s = table(spark, d, "supplier").where("s_acctbal > 0")
     bans = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
     return tables.admitted(s, bans, ["s_nationkey"]).select("s_suppkey", "s_nationkey")
@@ -189,7 +260,7 @@ ORACLE_SQL["interval_overlap"] = """WITH e AS (SELECT user_id, event_id AS id, e
 
 
 def largest_remainder(spark, d):
-    """100 places shared out by language."""
+    """100 places shared out by language."""
     return tables.largest_remainder(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 100)
 
 
@@ -217,5 +288,5 @@ def coverage_matrix(spark, d):
 
 ORACLE_SQL["coverage_matrix"] = "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) || ':' || max(doc_id) AS marker FROM documents GROUP BY 1"
 
-for _f in (usage_by_channel, usage_by_day, latency_percentiles, nearest_rank_percentile, top_models, cost_ledger, running_balance, quota_tier, streaks, keyset_page, event_filters, slot_presence, visibility_union, ban_anti, session_search, full_outer_reconcile, multiset_equality, interval_overlap, largest_remainder, first_free_name, coverage_matrix):
+for _f in (usage_by_channel, usage_by_day, latency_percentiles, nearest_rank_percentile, top_models, cost_ledger, running_balance, price_lookup, quota_tier, streaks, keyset_page, event_filters, slot_presence, visibility_union, visible_workspaces, folder_visibility, chunk_visibility, public_or_own, ban_anti, session_search, full_outer_reconcile, multiset_equality, interval_overlap, largest_remainder, first_free_name, coverage_matrix):
     QUERIES[_f.__name__] = _f

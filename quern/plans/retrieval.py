@@ -33,7 +33,7 @@ ORACLE_SQL["vector_topk"] = _nearest_sql(10)
 
 
 def vector_topk_filtered(spark, d):
-    """Recall within one domain; the filter comes before the rank."""
+    """Recall within a scope of labels; the filter comes before the rank."""
     e = table(spark, d, "embeddings")
     return recall.cosine_top_k(e.where("label < 5"), e.where("vec_id % 50 = 0"), 5)
 
@@ -66,13 +66,13 @@ ORACLE_SQL["bm25_topk"] = f"WITH {BM25} SELECT query_id, id, score, rank FROM bm
 
 
 def keyword_and_match(spark, d):
-    """Documents that hold every token of a query of three words."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(recall.tokens(F.col("text")), 1, 3), " ").alias("text"))
+    """Documents that hold every token of a benchmark item."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return recall.all_tokens(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), q)
 
 
 ORACLE_SQL["keyword_and_match"] = f"""
-WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{recall.TOKEN}')[1:3]) AS term FROM benchmark)),
+WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{recall.TOKEN}')) AS term FROM benchmark)),
      n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
      h AS (SELECT DISTINCT id, unnest(t) AS term FROM ({DOC_TOKENS}))
 SELECT query_id, id FROM (SELECT query_id, id, count(*) AS c FROM h JOIN q USING (term) GROUP BY ALL) JOIN n USING (query_id) WHERE c = need"""
@@ -92,7 +92,7 @@ FUSED = """fused AS (SELECT query_id, id, score, first_seen, row_number() OVER (
 
 
 def rrf_vector_keyword(spark, d):
-    """The flagship. Vector and keyword rankings of a query fused by reciprocal rank; query q
+    """The flagship. Vector and keyword rankings of a query fused by reciprocal rank; query q
     takes the vectors near vec_id q and the BM25 hits of benchmark item q / 50, and document and vector ids are the same ids."""
     fused = ranking.rrf(_rankings(spark, d))
     return fused.where("fused_rank <= 10").select("query_id", "id", F.round("score", 6).alias("score"), "fused_rank", "first_ranking")
@@ -102,7 +102,7 @@ ORACLE_SQL["rrf_vector_keyword"] = f"WITH {BM25}, {RANKINGS}, {FUSED} SELECT que
 
 
 def recency_weighted_fusion(spark, d):
-    """Event hits weighted by age against a fixed clock, equal ages and scores by id."""
+    """R9 (the recency factor): event hits weighted by age against a fixed clock, equal ages and scores by id."""
     e = table(spark, d, "events").where("value is not null")
     age = (F.unix_micros(F.lit("2030-01-01 00:00:00").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(86_400_000_000)
     s = e.select("event_type", "event_id", F.round(F.col("value") * ranking.recency(age, 365.0), 6).alias("score"))
@@ -126,7 +126,7 @@ ORACLE_SQL["parent_expand"] = f"""WITH h AS (SELECT *, CASE WHEN id % 10 <> 7 TH
 
 
 def capability_recall(spark, d):
-    """64 nearest phrases, a quality gate, the best hit of each capability with its support, top 3."""
+    """64 nearest phrases, a quality gate, the best hit of each capability with its support, top 3."""
     hits = _nearest(spark, d, 64).where("score >= 0.1").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("candidate")), "id")
     return ranking.support_rank(hits).where("place <= 3")
 
@@ -137,7 +137,7 @@ ORACLE_SQL["capability_recall"] = f"""SELECT * FROM (SELECT *, row_number() OVER
 
 
 def best_per_label(spark, d):
-    """The first hit of each label within a query."""
+    """The first hit of each label within a query."""
     hits = _nearest(spark, d, 64).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     return ranking.best_per_key(hits, ["query_id", "label"], [F.col("rank")]).select("query_id", "label", "id", "score", "rank")
 
@@ -155,7 +155,7 @@ _BEST = f"SELECT h.query_id, h.score, c.label = g.label AS correct, c.label, g.l
 
 
 def threshold_sweep(spark, d):
-    """Nine thresholds replayed on the same best hits."""
+    """Nine thresholds replayed on the same best hits."""
     return evaluation.threshold_sweep(_best(spark, d), [x / 10 for x in range(1, 10)])
 
 
@@ -208,7 +208,7 @@ ORACLE_SQL["calibration"] = f"""SELECT round(sum(n * abs(acc - conf)) / sum(n),
 
 
 def ann_coverage_audit(spark, d):
-    """Of the 64 nearest, hits above the gate that a pool of 16 misses."""
+    """Of the 64 nearest, hits above the gate that a pool of 16 misses."""
     wide = _nearest(spark, d, 64)
     return wide.where("rank > 16 and score >= 0.2").groupBy("query_id").agg(F.count("*").alias("missed"), F.max("score").alias("best_missed"))
 
@@ -230,15 +230,15 @@ ORACLE_SQL["candidate_labels"] = f"""WITH f AS ({ORACLE_SQL["best_per_label"]}),
 
 
 def matcher_exact(spark, d):
-    """Document lines as phrases owned by their source; queries are the lines of every 50th document."""
+    """Document lines as phrases owned by their source; queries are the lines of every 50th document."""
     lines = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    q = lines.where("doc_id % 50 = 0").select((F.col("doc_id") * 100_000 + F.col("pos")).alias("query_id"), "text")
+    q = lines.where("doc_id % 50 = 0").select(F.concat_ws(":", "doc_id", "pos").alias("query_id"), "text")
     return recall.exact_match(q, lines.where("doc_id % 50 <> 0").select(F.col("source").alias("owner"), "text"))
 
 
 _LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
-ORACLE_SQL["matcher_exact"] = f"""WITH l AS ({_LINES}), o AS (SELECT lower(trim(text)) AS k, count(DISTINCT source) AS n, min(source) AS owner FROM l WHERE doc_id % 50 <> 0 GROUP BY 1)
-  SELECT doc_id * 100000 + pos AS query_id, CASE WHEN n IS NULL THEN 'MISS' WHEN n = 1 THEN 'HIT' ELSE 'AMBIGUOUS' END AS verdict, CASE WHEN n = 1 THEN owner END AS owner FROM l LEFT JOIN o ON k = lower(trim(text)) WHERE doc_id % 50 = 0"""
+ORACLE_SQL["matcher_exact"] = f"""WITH l AS ({_LINES}), o AS (SELECT lower(upper(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k, count(DISTINCT source) AS n, min(source) AS owner FROM l WHERE doc_id % 50 <> 0 GROUP BY 1)
+  SELECT doc_id || ':' || pos AS query_id, CASE WHEN n IS NULL THEN 'MISS' WHEN n = 1 THEN 'HIT' ELSE 'AMBIGUOUS' END AS verdict, CASE WHEN n = 1 THEN owner END AS owner FROM l LEFT JOIN o ON k = lower(upper(trim(regexp_replace(text, '\\s+', ' ', 'g')))) WHERE doc_id % 50 = 0"""
 
 
 def hybrid_fallback(spark, d):

@@ -28,7 +28,7 @@ ORACLE_SQL["fixed_chunks"] = f"SELECT id, (start // 750)::INT AS seq, length(sub
 
 
 def parent_child_chunks(spark, d):
-    """Leaves with the first parent window that holds their midpoint."""
+    """Leaves with the first parent window that holds their midpoint."""
     return chunking.hierarchy(_docs(spark, d), 300, 50, 900).select("id", "seq", "parent_seq", F.length("chunk").alias("n"))
 
 
@@ -62,7 +62,7 @@ def merge_units(spark, d):
 
 
 def markdown_sections(spark, d):
-    """Sections of texts whose lines that begin with T are made headings."""
+    """Sections of texts whose lines that begin with T are made headings."""
     t = _docs(spark, d).withColumn("text", F.regexp_replace("text", r"(?m)^T", "## T"))
     return chunking.sections(t).groupBy("id").agg(F.count("*").alias("sections"), F.count_if(F.col("title") != "").alias("titled"), F.sum(F.length("title")).alias("title_chars"))
 
@@ -72,7 +72,7 @@ ORACLE_SQL["markdown_sections"] = r"""WITH l AS (SELECT doc_id AS id, unnest(str
 
 
 def canonical_urls(spark, d):
-    """URL functions, P17, R29: canonical form, host and whether the host is on a domain."""
+    """URL functions, P17: canonical form, host and whether the host is on a domain."""
     u = table(spark, d, "pages")
     return u.select("page_id", T.canonical_url(F.col("url")).alias("canonical"), T.host_of(F.col("url")).alias("host"), T.host_on(T.host_of(F.col("url")), "example.com").alias("on_domain"))
 
@@ -93,7 +93,7 @@ _STRIP = "html"
 for _tag in ("script", "style", "noscript", "template", "head", "nav", "footer", "header", "aside", "form"):
     _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}[ >].*?</{_tag}>', ' ', 'g')"
 _STRIP = rf"trim(regexp_replace(regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-ORACLE_SQL["html_clean_title"] = rf"""SELECT page_id, title, length(t)::INT AS n, md5(t) AS digest, CASE WHEN regexp_matches(lower(title), 'just a moment|access denied|captcha|are you a robot') THEN 'interstitial' WHEN length(t) < 200 THEN 'empty' ELSE 'usable' END AS status
+ORACLE_SQL["html_clean_title"] = rf"""SELECT page_id, title, length(t)::INT AS n, md5(t) AS digest, CASE WHEN regexp_matches(lower(title), 'just a moment|access denied|captcha|are you a robot') OR regexp_matches(lower(t[1:160]), 'just a moment|access denied|captcha|are you a robot') THEN 'interstitial' WHEN length(t) < 200 THEN 'empty' ELSE 'usable' END AS status
   FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, {_STRIP} AS t FROM pages)"""
 
 
@@ -136,11 +136,11 @@ ORACLE_SQL["abbreviate"] = "SELECT doc_id AS id, CASE WHEN length(text) > 400 TH
 
 def page_spec(spark, d):
     """page specifications made from order keys."""
-    k = table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", F.format_string("%d, %d-%d,x,%d", F.col("o_orderkey") % 9 + 1, F.col("o_orderkey") % 5 + 1, F.col("o_orderkey") % 7 + 2, F.col("o_orderkey") % 3 + 1).alias("spec"))
+    k = table(spark, d, "orders").select("o_orderkey", F.format_string("%d, %d-%d,x,%d", F.col("o_orderkey") % 9 + 1, F.col("o_orderkey") % 5 + 1, F.col("o_orderkey") % 7 + 2, F.col("o_orderkey") % 3 + 1).alias("spec"))
     return k.select("o_orderkey", "spec", F.array_join(T.pages_of(F.col("spec")), ",").alias("pages"))
 
 
-ORACLE_SQL["page_spec"] = """WITH s AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS a, o_orderkey % 5 + 1 AS lo, o_orderkey % 7 + 2 AS hi, o_orderkey % 3 + 1 AS c FROM orders WHERE o_orderkey < 2000)
+ORACLE_SQL["page_spec"] = """WITH s AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS a, o_orderkey % 5 + 1 AS lo, o_orderkey % 7 + 2 AS hi, o_orderkey % 3 + 1 AS c FROM orders)
   SELECT o_orderkey, a || ', ' || lo || '-' || hi || ',x,' || c AS spec, list_aggregate(list_sort(list_distinct([a, c] || CASE WHEN hi >= lo THEN range(lo, hi + 1) ELSE [] END)), 'string_agg', ',') AS pages FROM s"""
 
 
@@ -182,7 +182,8 @@ ORACLE_SQL["message_order"] = """WITH f AS (SELECT conv_id, text[1:500] AS title
 def history_budget(spark, d):
     """The newest turns of each conversation within 1,000 characters, and the last two as tail."""
     t = _turns(spark, d).withColumn("n", F.length("text"))
-    return conversation.split_tail(conversation.within_budget(t, ["conv_id"], [F.desc("turn")], "n", 1000), ["conv_id"], "turn", 2).select("conv_id", "turn", "used", "part")
+    newest = [F.desc("turn"), F.desc(conversation.role_rank(F.col("role"))), F.col("text")]
+    return conversation.split_tail(conversation.within_budget(t, ["conv_id"], newest, "n", 1000), ["conv_id"], newest, 2).select("conv_id", "turn", "used", "part")
 
 
 ORACLE_SQL["history_budget"] = """WITH c AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
