@@ -8,7 +8,7 @@ from quern.llm import warc as W
 def test_round_trip(spark, tmp_path):
     big = "<p>é</p>" * 300
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (4, None, None), (5, "http://a/5", ""), (6, "x", "small"), (7, "y", "small"), (None, "z", "lost"), (8, "http://b/", "\x1f\x8b\x08" * 500)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumnRenamed("x", "x")
+    df = spark.createDataFrame([(*r, "d", 1) for r in rows], "page_id long, url string, html string, digest string, first_id int").repartition(3)
     listing = W.write_archives(df, str(tmp_path / "warc"))
     for split in (1, 64, 1 << 20):
         got = {r.page_id: r for r in W.read_archives(listing, split).collect()}
