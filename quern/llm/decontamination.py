@@ -77,7 +77,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 def hashes(ws: list[str]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ws), np.uint64, len(ws))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
