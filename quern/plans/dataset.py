@@ -140,8 +140,7 @@ ORACLE_SQL["unique_batches"] = """WITH r AS (SELECT doc_id AS id, source, row_nu
 
 
 def shared_grams(spark, d):
-    """Benchmark items against the first 60 words of every document of another use: pairs with six common character
-    four-grams or more, counted by bands of the cosine of their sets."""
+    """Benchmark items against all turns of conversations: pairs with six common character four-grams or more, counted by bands of the cosine of their sets."""
     g = lambda rows: rows.select("id", curation.grams(T.normalized(F.col("text")), 4).alias("grams"))
     train = g(table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text"))
     test = g(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
@@ -149,11 +148,16 @@ def shared_grams(spark, d):
     return p.agg(F.count("*").alias("pairs"), F.max("shared").alias("most"), *[F.count_if(F.col("cosine") >= x / 100).alias(f"from_{x}") for x in (20, 40, 80, 90, 95)])
 
 
-_G4 = "CASE WHEN length(t) <= 4 THEN [t] ELSE list_distinct(list_transform(range(1, greatest(length(t) - 2, 2)), lambda i: t[i:i + 3])) END"
 _N = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
-ORACLE_SQL["shared_grams"] = f"""WITH a AS (SELECT id, len({_G4}) AS n, unnest({_G4}) AS g FROM (SELECT conv_id || ':' || turn AS id, {_N} AS t FROM conversations)), b AS (SELECT id, len({_G4}) AS n, unnest({_G4}) AS g FROM (SELECT item_id AS id, {_N} AS t FROM benchmark)),
-  p AS (SELECT a.id AS x, b.id AS y, count(*) AS shared, round(count(*) / (sqrt(a.n) * sqrt(b.n)), 6) AS cosine FROM a JOIN b USING (g) GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 6)
-  SELECT count(*) AS pairs, max(shared) AS most, {', '.join(f'count(*) FILTER (cosine >= {x / 100}) AS from_{x}' for x in (20, 40, 80, 90, 95))} FROM p"""
+
+
+def _g4(rows: str) -> str:
+    return f"SELECT DISTINCT id, array_to_string(c[i:i + 3], '') AS g FROM (SELECT id, c, unnest(range(1, greatest(len(c) - 2, 2))) AS i FROM (SELECT id, string_split({_N}, '') AS c FROM ({rows})))"
+
+
+ORACLE_SQL["shared_grams"] = f"""WITH a AS ({_g4("SELECT conv_id || ':' || turn AS id, text FROM conversations")}), b AS ({_g4("SELECT item_id AS id, text FROM benchmark")}), m AS (SELECT id, count(*) AS n FROM a GROUP BY 1), k AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
+  p AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM a JOIN b USING (g) GROUP BY a.id, b.id HAVING count(*) >= 6), q AS (SELECT shared, round(shared / (sqrt(m.n) * sqrt(k.n)), 6) AS cosine FROM p JOIN m ON m.id = x JOIN k ON k.id = y)
+  SELECT count(*) AS pairs, max(shared) AS most, {', '.join(f'count(*) FILTER (cosine >= {x / 100}) AS from_{x}' for x in (20, 40, 80, 90, 95))} FROM q"""
 
 
 def dual_target(spark, d):
