@@ -26,8 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application's operators have left in the shared folder; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
