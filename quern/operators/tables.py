@@ -99,8 +99,12 @@ def missing_parts(bitmap: Column) -> Column:
     return F.filter(F.transform(bitmap, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
 
 
-def redacted(m: Column, markers: tuple[str, ...] = ("password", "secret", "token", "key", "authorization", "cookie", "credential")) -> Column:
-    """P26. Map values under a key that holds one of the markers are masked."""
+#: A key that holds one of these is sensitive.
+MARKERS = ("password", "secret", "token", "key", "authorization", "cookie", "credential")
+
+
+def redacted(m: Column, markers: tuple[str, ...] = MARKERS) -> Column:
+    """P26 for flat maps. Map values under a key that holds one of the markers are masked."""
     return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike("|".join(markers)), "***").otherwise(v))
 
 

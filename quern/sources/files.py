@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.functions.text import stripped
+
 
 def jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """S17. JSON lines under a schema; a line that does not fit it stops the job."""
@@ -20,6 +22,34 @@ def plain_text(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "").alias("text"))
 
 
+def extracted(files: DataFrame) -> DataFrame:
+    """S3. Files (path, content) by their extension: path, text, error. Texts, subtitles, logs and pages are decoded; another
+    extension is an error of its row and stops nothing."""
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    utf8 = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    text = F.regexp_replace(F.regexp_replace(utf8, "^\ufeff", ""), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    plain = ext.isin("txt", "md", "csv", "json", "jsonl", "log", "srt", "vtt", "lrc")
+    page = ext.isin("html", "htm")
+    return files.select("path", F.when(plain, text).when(page, stripped(text)).alias("text"), F.when(~(plain | page), F.concat(F.lit("no extractor for ."), ext)).alias("error"))
+
+
+def rss_items(feeds: DataFrame) -> DataFrame:
+    """S18. Feeds (id, xml) as items: id, pos, title, link, description."""
+    items = F.regexp_extract_all("xml", F.lit(r"(?s)<item(?: [^>]*)?>.*?</item>"), F.lit(0))
+    f = feeds.select("id", F.posexplode(items).alias("pos", "x"))
+    return f.select("id", "pos", *[F.expr(f"xpath_string(x, 'item/{tag}')").alias(tag) for tag in ("title", "link", "description")])
+
+
+def log_tail(files: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """S22. The lines (file, pos, line) of the last `limit` bytes of files (path, content); a line that the cut goes through is left
+    out."""
+    cut = F.octet_length("content") > limit
+    tail = F.decode(F.expr(f"if(octet_length(content) > {limit}, right_bytes, content)"), "ISO-8859-1")
+    f = files.withColumn("right_bytes", F.expr(f"substring(content, greatest(octet_length(content) - {limit}, 0) + 1)")).select("path", cut.alias("cut"), tail.alias("t"))
+    f = f.select("path", F.when(F.col("cut"), F.regexp_replace("t", r"^[^\n]*\n", "")).otherwise(F.col("t")).alias("t"))
+    return f.select(F.col("path").alias("file"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+
+
 def terms(lines: DataFrame) -> DataFrame:
     """S16. Lines (line) word[,definition[,freq[,star]]]; numbers that are not all digits count as 1, lines without a word go."""
     p = F.split("line", ",")

@@ -44,3 +44,27 @@ def token_bucket(events: DataFrame, rate: float, capacity: float = 1.0) -> DataF
         yield pd.DataFrame({"event_id": x["event_id"], "user_id": key[0], "allowed": allowed})
 
     return events.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def leases(events: DataFrame, ttl: float) -> DataFrame:
+    """M5. Leases of jobs from events (job_id, ts, event_id, worker, kind: acquire, beat or done, attempt): event_id, job_id, accepted,
+    attempt. An acquire is accepted if the job is free or its holder has not been heard of for ttl seconds, and raises the
+    attempt; a beat or done counts only from the holder of the current attempt, so a zombie's is a no-op; what is older than
+    the last accepted event, or comes after done, is dropped. State is four values a job."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        worker, attempt, last, done = state.get if state.exists else ("", 0, -1.0, False)
+        x = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for t, w, kind, a in zip(x["ts"].astype("datetime64[ns]").astype("int64") / 1e9, x["worker"], x["kind"], x["attempt"]):
+            mine = w == worker and a == attempt
+            ok = not done and t >= last and ((worker == "" or t - last > ttl) if kind == "acquire" else mine)
+            if ok:
+                last = float(t)
+                worker, attempt = (w, attempt + 1) if kind == "acquire" else (worker, attempt)
+                done = done or kind == "done"
+            out.append((ok, attempt))
+        state.update((str(worker), int(attempt), float(last), bool(done)))
+        yield pd.DataFrame({"event_id": x["event_id"], "job_id": key[0], "accepted": [o[0] for o in out], "attempt": [o[1] for o in out]})
+
+    return events.groupBy("job_id").applyInPandasWithState(run, "event_id long, job_id long, accepted boolean, attempt long", "worker string, attempt long, last double, done boolean", "append", GroupStateTimeout.NoTimeout)

@@ -214,3 +214,41 @@ def test_subtitles(spark):
     assert rows(subtitles.srt(d.where("id = 1")).select("start_ms", "end_ms", "text"), "start_ms") == [(1000, 2500, "Hello there")]
     assert rows(subtitles.vtt(d.where("id = 2")).select("start_ms", "end_ms", "text"), "start_ms") == [(1000, 2000, "Hi"), (3600000, 3601000, "yo")]
     assert rows(subtitles.lrc(d.where("id = 3")).select("start_ms", "end_ms", "text"), "start_ms") == [(1500, 3000, "one"), (4000, 7000, "two")]
+
+
+def test_unicode_functions(spark):
+    from quern.functions import unicode as U
+
+    d = spark.createDataFrame([("Ｆｕｌｌ “Quoted” 12", "x"), ("Straße  ΣΊΣΥΦΟΣ", None), ("你好，世界一二三四五六七八九", "en"), (None, "zh")], "t string, l string")
+    got = d.select(U.bare("t"), U.normal("t"), U.casefolded("t"), U.resolved_language(F.col("l"), F.col("t"))).collect()
+    assert [r[0] for r in got] == ["fullquoted12", "straßeσίσυφος", "你好世界一二三四五六七八九", ""]
+    assert got[0][1] == "full quoted 12" and got[1][2] == "strasse σίσυφοσ" and [r[3] for r in got] == ["en", "en", "en", "zh"]
+    same = spark.createDataFrame([('Find "abc" in 12 docs now please',), ("find 'xyz' in ９９ Docs NOW quickly",)], "t string").select(U.family(F.col("t"))).distinct()
+    assert same.count() == 1
+    b = spark.createDataFrame([("é".encode("latin-1"), None), ("é".encode(), None), ("你".encode("gb18030"), "utf-8"), (b"\xe4", "ascii"), (None, None)], "b binary, c string")
+    assert [r[0] for r in b.select(U.decoded("b", "c")).collect()] == ["é", "é", "你", "ä", None]
+    a = spark.createDataFrame([(x,) for x in ("10.1.2.3", "::ffff:127.0.0.1", "8.8.8.8", "2001:4860::1", "fe80::1", "no", None)], "a string")
+    assert [r[0] for r in a.select(U.blocked_address("a")).collect()] == [True, True, False, False, True, True, True]
+    j = spark.createDataFrame([('{"a": {"api_key": 1, "b": [{"Token": "x"}]}}',), ("no json",), (None,)], "j string")
+    assert [r[0] for r in j.select(U.redacted_json("j")).collect()] == ['{"a": {"api_key": "***", "b": [{"Token": "***"}]}}', "no json", None]
+
+
+def test_extractors_feeds_and_tails(spark):
+    from quern.sources import files
+
+    d = spark.createDataFrame([("x/a.TXT", b"hi\x07"), ("b.html", b"<p>yo</p>"), ("c.exe", b"MZ")], "path string, content binary")
+    got = {r.path: (r.text, r.error) for r in files.extracted(d).collect()}
+    assert got == {"x/a.TXT": ("hi", None), "b.html": ("yo", None), "c.exe": (None, "no extractor for .exe")}
+    xml = "<rss><channel><item><title>One</title><link>http://a</link></item><item><title>Two</title><description>d</description></item></channel></rss>"
+    f = spark.createDataFrame([(1, xml), (2, "<rss><channel/></rss>")], "id int, xml string")
+    assert rows(files.rss_items(f), "id", "pos") == [(1, 0, "One", "http://a", ""), (1, 1, "Two", "", "d")]
+    t = spark.createDataFrame([("f", b"first line\nsecond\nthird"), ("g", b"short")], "path string, content binary")
+    assert rows(files.log_tail(t, 14).select("file", "line"), "file", "line") == [("f", "second"), ("f", "third"), ("g", "short")]
+
+
+def test_redirects_and_small_functions(spark):
+    d = spark.createDataFrame([("https://a.find.example/url?sa=t&q=https%3A%2F%2Fb.org%2Fx%3Fy%3D1",), ("https://a.find.example/?q=javascript:1&url=http%3A%2F%2Fc.org",), ("https://other.org/?q=http%3A%2F%2Fc.org",), ("https://a.find.example/about",)], "u string")
+    assert [r[0] for r in d.select(T.redirect_target(F.col("u"), ("find.example",))).collect()] == ["https://b.org/x?y=1", "http://c.org", "https://other.org/?q=http%3A%2F%2Fc.org", "https://a.find.example/about"]
+    s = spark.createDataFrame([("I do not want",), ("knot and notable",), ('{"a": 1}',), ("[note] x",), (" plain ",)], "s string")
+    assert [r[0] for r in s.select(T.negated(F.col("s"))).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in s.select(T.pure(F.col("s"))).collect()] == [True, True, False, False, True]
