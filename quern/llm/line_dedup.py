@@ -292,7 +292,7 @@ def removed_lines(docs: DataFrame, threshold: int = 80, min_chars: int = MIN_CHA
     top = pairs.groupBy("a").agg(best("b").alias("b")).union(pairs.groupBy("b").agg(best("a").alias("a")).select("a", "b"))
     texts = items(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     comp = components(verified(top, texts, threshold))
-    comp = joined(comp, verified(apart(pairs.select("a", "b"), comp), texts, threshold))
+    rest = saved(verified(apart(pairs.select("a", "b"), comp), texts, threshold), "links")
 
     least = _least(threshold)
 
@@ -304,7 +304,7 @@ def removed_lines(docs: DataFrame, threshold: int = 80, min_chars: int = MIN_CHA
 
     short = classes.select("node", "short", F.lit(1).alias("weight")).join(members.select("node").distinct(), "node", "left_semi")
     left = saved(promising(members, comp, short, alike), "promising")
-    comp = joined(comp, crowded_links(left, comp, items(left.select("node")), shingle_sets, threshold))
+    comp = joined(comp, rest.union(crowded_links(left, comp, items(left.select("node")), shingle_sets, threshold)))
 
     known = classes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 or component is not null")
     known = saved(known.select("node", "first", F.coalesce("component", "node").alias("component")), "line-components")
