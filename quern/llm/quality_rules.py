@@ -148,7 +148,7 @@ def _drawn(names: DataFrame, est: DataFrame, prior: float) -> DataFrame:
     return full.mapInPandas(run, "grp string, mu array<double>, prec array<double>")
 
 
-def fit(stats: DataFrame, h: float = 0.75, steps: int = 20, prior: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit(stats: DataFrame, h: float = 0.75, steps: int = 10, prior: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns stats with the columns grp and z0..z3; the estimate (mu, prec) that rows of each grp are judged by; and the
     estimates of all groups, languages and the table as fitted (grp, mu, cov, prec)."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))

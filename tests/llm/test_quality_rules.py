@@ -62,7 +62,7 @@ def test_small_groups_are_judged_by_the_estimates_of_many_rows(spark):
     assert {r.doc_id: r.kept for r in got.collect()} == {i: i < 1000 for i, *_ in rows}
 
 
-def reference(rows, h=0.75, steps=20, prior=50.0, tail=0.9999999):
+def reference(rows, h=0.75, steps=10, prior=50.0, tail=0.9999999):
     """Verdicts by group, language and table, one at a time in numpy; rows: name, lang, source, statistics."""
     chi = lambda x, k: 1 - np.exp(-x / 2) * sum((x / 2) ** i / np.prod(range(1, i + 1)) for i in range(k // 2))
 
