@@ -13,7 +13,7 @@ HEADLINE = [
     "rrf_vector_keyword", "vector_topk", "bm25_topk", "parent_expand", "capability_recall", "threshold_sweep", "matcher_exact",
     "fixed_chunks", "parent_child_chunks", "sentence_split", "merge_units", "html_clean_title", "qa_pairs", "history_budget",
     "usage_by_channel", "latency_percentiles", "cost_ledger", "running_balance", "visibility_union", "interval_overlap",
-    "exact_dedup", "near_dup_pairs", "split_leakage", "benchmark_contamination", "row_eligibility", "lineage_closure", "gate_checks",
+    "exact_dedup", "split_leakage", "benchmark_contamination", "row_eligibility", "lineage_closure", "gate_checks",
 ]
 
 
