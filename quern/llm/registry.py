@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontamination, html_extraction, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, substring_dedup, token_store, warc
+from quern.llm import decontamination, html_extraction, importance, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_token_store": token_store.op9_token_store,
     "op10_pii_surrogates": pii_surrogates.op10_pii_surrogates,
+    "op11_importance_resampling": importance.op11_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op3_warc": warc.SQL,
+    "op11_importance_resampling": importance.SQL,
 }

@@ -9,7 +9,7 @@ DIR = "/root/testdata/sf0.001"
 
 def test_queries_match_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     for name, sql in registry.ORACLE_SQL.items():
         df = registry.QUERIES[name](spark, DIR)
