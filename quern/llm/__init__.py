@@ -1 +1 @@
-"""Training-data operators: the ten stages of a corpus pipeline. Nothing outside this package imports it."""
+"""Training-data operators: thirteen operators and the stages of a corpus pipeline. Nothing outside this package imports it."""

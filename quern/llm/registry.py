@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontamination, html_extraction, importance, line_dedup, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, substring_dedup, token_store, warc
+from quern.llm import decontamination, html_extraction, importance, line_dedup, line_quality, near_dedup, pii_surrogates, quality_rules, sentencepiece_codec, substring_dedup, token_store, warc, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_store": token_store.op9_token_store,
     "op10_pii_surrogates": pii_surrogates.op10_pii_surrogates,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_line_quality": line_quality.op12_line_quality,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
