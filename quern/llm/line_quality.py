@@ -38,8 +38,8 @@ PENALTY = 3.0
 CHUNK = 1 << 20
 
 #: Classes of characters, of which a line's counts are taken.
-LOWER, UPPER, DIGIT, SPACE, STOP, SHOUT, MARK, SYMBOL, FAR, OTHER = range(10)
-CLASSES = 10
+LOWER, UPPER, DIGIT, SPACE, STOP, SHOUT, MARK, SYMBOL, FAR, OTHER, END = range(11)
+CLASSES = 11
 #: Characters of the classes that are not letters or digits.
 STOPS, SHOUTS, MARKS, SYMBOLS = ".,;:?", "!", "'\"()-", "#*$%&|<>=+_~^@/\\{}[]"
 #: Code points from here on are counted as far from Latin script, up to LIMIT of them looked up by their kind.
@@ -54,7 +54,7 @@ def _table() -> np.ndarray:
         out[c] = SPACE if x.isspace() else UPPER if x.isupper() else LOWER if x.isalpha() else DIGIT if x.isdigit() else OTHER
     for kind, chars in ((STOP, STOPS), (SHOUT, SHOUTS), (MARK, MARKS), (SYMBOL, SYMBOLS)):
         out[[ord(c) for c in chars]] = kind
-    out[LIMIT] = FAR
+    out[LIMIT], out[10] = FAR, END
     return out
 
 
@@ -62,7 +62,7 @@ _KIND = _table()
 
 
 def class_counts(text: str) -> np.ndarray:
-    """Of each line of a text, how many characters of each class it has; a line's end counts as space."""
+    """Of each line of a text, how many characters of each class it has, its end apart."""
     out = np.zeros((text.count("\n") + 1, CLASSES), np.int64)
     row = 0
     for i in range(0, len(text), CHUNK):
@@ -105,7 +105,7 @@ def line_stats(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not counts:
         return np.zeros((0, STATS)), np.zeros(0, np.int64)
     c = np.concatenate(counts).astype(float)
-    size = c.sum(1)
+    size = c.sum(1) - c[:, END]
     solid = np.maximum(size - c[:, SPACE], 1)
     letters = c[:, LOWER] + c[:, UPPER] + c[:, FAR]
     words = np.array(words, float)
