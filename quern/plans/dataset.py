@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import chunking, curation, evaluation, graph, recall
+from quern.operators import candidates, chunking, curation, evaluation, graph, recall
 from quern.plans.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -77,31 +77,20 @@ def grades(spark, d):
 ORACLE_SQL["grades"] = f'WITH {_GR} SELECT expected, exact, "binary", count(*) AS n FROM gr GROUP BY ALL'
 
 
-def failure_causes(spark, d):
-    """Failures by the first rule that explains them: A wrong tool, B called without need, C missed, by user; with shares."""
-    g = _graded(spark, d).where("exact <> 'TP' and exact <> 'TN'")
-    cause = F.when(F.col("exact") == "FP+FN", "A").when((F.col("exact") == "FP") & (F.col("expected") == "AGENT"), "B").when(F.col("exact") == "FP", "C").when(F.col("user_id") % 2 == 0, "D").otherwise("E")
-    n = g.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))  # five rows
-
-
-ORACLE_SQL["failure_causes"] = f"WITH {_GR} SELECT cause, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM (SELECT CASE WHEN exact = 'FP+FN' THEN 'A' WHEN exact = 'FP' AND expected = 'AGENT' THEN 'B' WHEN exact = 'FP' THEN 'C' WHEN user_id % 2 = 0 THEN 'D' ELSE 'E' END AS cause FROM gr WHERE exact NOT IN ('TP', 'TN')) GROUP BY 1"
-
-
 def threshold_pairs(spark, d):
-    """The candidates of each query at two thresholds: how many, and which the higher one loses."""
+    """The candidates of each query at two thresholds: how many, and which the higher one loses; a query may lose all."""
     from quern.plans.retrieval import _nearest
 
     h = _nearest(spark, d, 20)
-    at = lambda t, n: h.where(F.col("score") >= t).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias(n))
-    j = at(0.1, "low").join(at(0.2, "high"), "query_id")
-    return j.select("query_id", F.size("low").alias("n_low"), F.size("high").alias("n_high"), F.array_join(F.array_except("low", "high"), ",").alias("lost"))
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"))
+    at = lambda t: q.join(h.where(F.col("score") >= t), "query_id", "left").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("retrieved"))
+    return candidates.compared(at(0.1), at(0.2))
 
 
 def _tp_sql():
     from quern.plans.retrieval import _nearest_sql
 
-    return f"SELECT query_id, count(*)::INT AS n_low, count(*) FILTER (score >= 0.2)::INT AS n_high, coalesce(string_agg(id, ',' ORDER BY id) FILTER (score < 0.2), '') AS lost FROM ({_nearest_sql(20)}) WHERE score >= 0.1 GROUP BY 1 HAVING count(*) FILTER (score >= 0.2) > 0"
+    return f"SELECT q.vec_id AS query_id, count(n.id)::INT AS n_low, count(n.id) FILTER (n.score >= 0.2)::INT AS n_high, coalesce(string_agg(n.id, ',' ORDER BY n.id) FILTER (n.score < 0.2), '') AS lost FROM embeddings q LEFT JOIN (SELECT * FROM ({_nearest_sql(20)}) WHERE score >= 0.1) n ON n.query_id = q.vec_id WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL GROUP BY 1"
 
 
 ORACLE_SQL["threshold_pairs"] = _tp_sql()
@@ -318,5 +307,5 @@ def subtitle_chunks(spark, d):
     c = _docs(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("index", "text")).select("id", "index", (F.col("index") * 2000).alias("start_ms"), (F.col("index") * 2000 + 1500).alias("end_ms"), "text")
     return chunking.subtitle_chunks(c, 300).select("id", "seq", "start_ms", "end_ms", "start_ts", "end_ts", F.md5("chunk").alias("digest"))
 
-for _f in (term_sentences, argument_scores, argument_report, grades, failure_causes, threshold_pairs, quota_split, coverage_sample, unique_batches, shared_grams, dual_target, row_invariants, embedding_backfill, import_flags, pending_claims, packed_claims, usable_evidence, known_gaps, source_map, label_redundancy, next_versions, merge_paragraphs, section_pieces, subtitle_chunks):
+for _f in (term_sentences, argument_scores, argument_report, grades, threshold_pairs, quota_split, coverage_sample, unique_batches, shared_grams, dual_target, row_invariants, embedding_backfill, import_flags, pending_claims, packed_claims, usable_evidence, known_gaps, source_map, label_redundancy, next_versions, merge_paragraphs, section_pieces, subtitle_chunks):
     QUERIES[_f.__name__] = _f
