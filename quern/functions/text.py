@@ -139,7 +139,7 @@ def redirect_target(url: Column, wrappers: tuple[str, ...]) -> Column:
     host = host_of(url)
     wrapper = F.lit(False)
     for w in wrappers:
-        wrapper = wrapper | host.endswith(w)
+        wrapper = wrapper | host_on(host, w)
     at = lambda k: F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{k}=([^&#]*)", 1), F.lit("")))
     good = lambda c: F.when(c.rlike("^https?://"), c)
     return F.when(wrapper, F.coalesce(good(at("q")), good(at("url")), url)).otherwise(url)

@@ -125,3 +125,19 @@ def contextualized(chunks: DataFrame, context: DataFrame) -> DataFrame:
     """C7. Chunks (id, seq, chunk) with the context of (id, seq, context) before them; chunks without one stay."""
     j = chunks.join(context, ["id", "seq"], "left")
     return j.select("id", "seq", F.when(F.length("context") > 0, F.concat_ws("\n", "context", "chunk")).otherwise(F.col("chunk")).alias("chunk"), F.col("chunk").alias("raw"))
+
+
+def with_sentinels(chunks: DataFrame, column: str = "chunk") -> DataFrame:
+    """C13. chunks without the sentinels [[PAGE:n]] and [[PARA:n]] in their text, and with pages and paras: the numbers that stand in the chunk, in
+    order, each once. White space that a sentinel leaves doubled is one space."""
+    mark = r"\[\[(PAGE|PARA):([0-9]{1,9})\]\]"
+    numbers = lambda kind: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(rf"\[\[{kind}:([0-9]{{1,9}})\]\]"), F.lit(1)), lambda n: n.cast("int"))))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(column, mark, "\x01"), "[ \t]*\x01[ \t]*", " "))
+    return chunks.select(*[c for c in chunks.columns if c != column], clean.alias(column), numbers("PAGE").alias("pages"), numbers("PARA").alias("paras"))
+
+
+def with_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """C13. chunks (id, seq, pages) with image_ids: those of images (id, page, image_id) on one of their pages, in order."""
+    on = chunks.select("id", "seq", F.explode("pages").alias("page")).join(images, ["id", "page"])
+    ids = on.groupBy("id", "seq").agg(F.array_sort(F.collect_set("image_id")).alias("image_ids"))
+    return chunks.join(ids, ["id", "seq"], "left").withColumn("image_ids", F.coalesce("image_ids", F.array().cast(ids.schema["image_ids"].dataType)))

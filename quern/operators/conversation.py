@@ -65,3 +65,31 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     """W7. The last known value before each row, within its key."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("carried", F.last(value, ignorenulls=True).over(w))
+
+
+def history_page(messages: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
+    """T6. A page of a transcript (created_at, turn_rank, id, ...): the newest `limit` messages before a cursor (created_at, turn_rank, id), newest
+    first, with place, has_more and the cursor to the next page.
+
+    The cut is made in the order of display: of a group of equal times that does not fit, the page takes those that are
+    displayed latest, and the next page begins inside the group, so nothing is skipped or repeated however large the group is.
+    """
+    key = ["created_at", "turn_rank", "id"]
+    if before is not None:
+        at = [F.lit(v).cast(messages.schema[c].dataType) for v, c in zip(before, key)]
+        older = F.col("created_at") < at[0]
+        same = (F.col("created_at") == at[0]) & ((F.col("turn_rank") < at[1]) | ((F.col("turn_rank") == at[1]) & (F.col("id") < at[2])))
+        messages = messages.where(older | same)  # the first test reaches the scan
+    page = messages.orderBy(*[F.desc(c) for c in key]).limit(limit + 1)
+    w = Window.orderBy(*[F.desc(c) for c in key])  # over limit + 1 rows
+    page = page.withColumn("place", F.row_number().over(w)).withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).where(F.col("place") <= limit)
+    return page.withColumn("cursor", F.when(F.col("has_more"), F.min(F.struct(*key)).over(Window.partitionBy())))
+
+
+def first_match(messages: DataFrame, pattern: str) -> DataFrame:
+    """W2. The earliest message of each session whose text holds the pattern, whatever its case: session_id, id, created_at and a
+    snippet. Sessions without one have no row; the least of each session is found before the shuffle."""
+    hit = messages.where(F.contains(F.lower("text"), F.lower(F.lit(pattern))))
+    at = F.position(F.lower(F.lit(pattern)), F.lower(F.col("text")))
+    first = hit.select("session_id", F.struct("created_at", "id", F.substring("text", F.greatest(at - 20, F.lit(1)), F.lit(len(pattern) + 40)).alias("snippet")).alias("x"))
+    return first.groupBy("session_id").agg(F.min("x").alias("x")).select("session_id", "x.id", "x.created_at", "x.snippet")

@@ -79,13 +79,79 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bo
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+def masked_top_k(corpus: DataFrame, queries: DataFrame, k: int, same: list[str] = (), own: str | None = None, exclude_self: bool = True, decimals: int = 6) -> DataFrame:
+    """R11/R26/P13. As cosine_top_k, but a row is only near a query of equal values in the columns `same` (a null of the query asks for no
+    value, a null of the row fits none that is asked for), and, where `own` is named, if its owner is the query's or nobody (null).
+
+    Rows are multiplied with the query block and the mask is laid over the scores, so vectors never travel with pairs.
+    """
+    spark = corpus.sparkSession
+    cols = [*same, *([own] if own else [])]
+    qs = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), *cols, "embedding")
+    blocks = max(1, -(-qs.count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        part = qs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        codes = [{v: i for i, v in enumerate(part[c].dropna().unique())} for c in cols]
+        wanted = [np.array([-1 if pd.isna(v) else code[v] for v in part[c]], np.int64) for c, code in zip(cols, codes)]
+        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), codes, wanted, _unit(part["embedding"])))
+
+        def run(frames, shared=shared):
+            ids, codes, wanted, q = shared.value
+            for frame in frames:
+                for at in range(0, len(frame) if len(ids) else 0, ROWS):
+                    x = frame.iloc[at : at + ROWS]
+                    m = _unit(x["embedding"])
+                    if m.shape[1] != q.shape[1]:
+                        raise ValueError("vectors of unequal length")
+                    s = np.round(q @ m.T, decimals)
+                    fits = np.ones(s.shape, bool)
+                    for c, code, want in zip(cols, codes, wanted):
+                        # a row's null is -3, a value that no query has is -2, a query's null is -1
+                        has = np.array([-3 if pd.isna(v) else code.get(v, -2) for v in x[c]], np.int64)[None, :]
+                        fits &= (want[:, None] == has) | ((has == -3) if c == own else (want[:, None] == -1))
+                    mine = x["vec_id"].to_numpy(np.int64)
+                    if exclude_self:
+                        fits &= ids[:, None] != mine[None, :]
+                    s[~fits] = -np.inf
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(ids), 1), -np.inf)
+                    i, j = np.nonzero((s >= least) & (s > -np.inf))
+                    order = np.lexsort((mine[j], -s[i, j], i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[place < k], j[place < k]
+                    yield pd.DataFrame({"query_id": ids[i], "id": mine[j], "score": s[i, j]})
+
+        hits = corpus.where("embedding is not null").select("vec_id", *cols, "embedding").mapInPandas(run, "query_id long, id long, score double")
+        out = hits if out is None else out.union(hits)
+    return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of length one; zero vectors stay."""
+    m = np.array([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
 def scoped_top_k(corpus: DataFrame, queries: DataFrame, scope: str, k: int, decimals: int = 6) -> DataFrame:
-    """R11. The k rows (vec_id, embedding) of a query's own scope nearest to it, by an equi-join on the scope: only pairs of one
-    user are scored."""
-    q = queries.where("embedding is not null").select(F.col("vec_id").alias("query_id"), scope, F.col("embedding").alias("_q"))
-    j = corpus.where("embedding is not null").join(q, scope).where("vec_id <> query_id")
-    s = j.select("query_id", F.col("vec_id").alias("id"), F.round(cosine("embedding", "_q"), decimals).alias("score"))
-    return top_k(s, ["query_id"], [F.desc("score"), F.col("id")], k)
+    """R11. The k rows (vec_id, embedding) of a query's own scope nearest to it; rows and queries without one match nothing."""
+    return masked_top_k(corpus.where(F.col(scope).isNotNull()), queries.where(F.col(scope).isNotNull()), k, [scope], decimals=decimals)
+
+
+def rewritten(queries: DataFrame, rewrites: DataFrame, drafts: DataFrame, most: int) -> DataFrame:
+    """R16. The texts that recall runs for each query (query_id, text): query_id, variant (0 is the query itself), text, and embed_text, what
+    is embedded: the hypothetical answer of drafts (query_id, draft) where there is one, for the query itself only.
+
+    rewrites: query_id, place, text; the first `most` of a query that are neither blank nor equal to another, whatever their case."""
+    q = queries.select("query_id", F.lit(-1).cast("long").alias("place"), "text")
+    both = q.unionByName(rewrites.select("query_id", F.col("place").cast("long").alias("place"), F.trim("text").alias("text")).where("text <> ''").join(queries.select("query_id"), "query_id", "left_semi"))
+    same = Window.partitionBy("query_id", F.lower(F.trim("text"))).orderBy("place", "text")
+    first = both.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    v = first.withColumn("variant", (F.row_number().over(Window.partitionBy("query_id").orderBy("place", "text")) - 1).cast("int")).where(F.col("variant") <= most)
+    d = drafts.where("trim(draft) <> ''").select("query_id", "draft").dropDuplicates(["query_id"])
+    j = v.join(d, "query_id", "left")
+    return j.select("query_id", "variant", "text", F.when(F.col("variant") == 0, F.coalesce("draft", "text")).otherwise(F.col("text")).alias("embed_text"))
 
 
 def eligible_chunks(chunks: DataFrame, assets: DataFrame, domain: str | None = None) -> DataFrame:

@@ -150,3 +150,15 @@ def ledger(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     g = entries.groupBy(*keys).agg(e.alias("e")).withColumn("r", F.aggregate("e", F.expr(f"cast(array() as {kind})"), step))
     z = g.select(*keys, F.explode(F.arrays_zip("e", "r")).alias("x"))
     return z.select(*keys, *[F.col(f"x.e.{c}").alias(c) for c in order], F.col("x.e.amount").alias("amount"), F.col("x.r.ok").alias("applied"), F.col("x.r.balance").alias("balance_after"))
+
+
+def known_prices(usage: DataFrame, injected: DataFrame, builtin: DataFrame) -> DataFrame:
+    """B6. usage (model, prompt_tokens, completion_tokens) with cost and source: prices given for a thousand tokens (injected: model,
+    prompt, completion) go before built-in ones for a million; a model of neither has a null cost, never nought."""
+    i = injected.select("model", F.struct("prompt", "completion").alias("_i")).dropDuplicates(["model"])
+    b = builtin.select("model", F.struct("prompt", "completion").alias("_b")).dropDuplicates(["model"])
+    j = usage.join(i, "model", "left").join(b, "model", "left")
+    total = lambda p, per: (F.col("prompt_tokens") * F.col(f"{p}.prompt") + F.col("completion_tokens") * F.col(f"{p}.completion")) / per
+    cost = F.when(F.col("_i").isNotNull(), total("_i", 1000)).when(F.col("_b").isNotNull(), total("_b", 1_000_000))
+    source = F.when(F.col("_i").isNotNull(), "injected").when(F.col("_b").isNotNull(), "builtin").otherwise("unknown")
+    return j.select(*usage.columns, F.round(cost, 6).alias("cost"), source.alias("source"))

@@ -7,13 +7,16 @@ configuration, not that of execution, breaks ties; both are branches of one plan
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quern.operators import ranking, recall
+from quern.operators.curation import checkpointed
 
 Frames = dict[str, DataFrame]
 
@@ -126,3 +129,75 @@ def compiled(config: Config, frames: Frames, top_k: int = 10) -> DataFrame:
         if n.enabled:
             frames = REGISTRY[n.name][0](frames, i, **n.params)
     return frames["hits"].where(F.col("rank") <= top_k)
+
+
+class RetrievalUnavailable(RuntimeError):
+    """No recall node gave a ranking, and at least one failed."""
+
+
+#: Nodes that ask a language model, in other jobs' columns; the fast lane leaves them out.
+SLOW = ("query_rewrite", "verdict_gate")
+
+
+@dataclass(frozen=True)
+class Trace:
+    """R18. What became of a node: ok, failed or skipped, the rows it gave, for how many queries, and the seconds it took."""
+
+    node: str
+    status: str
+    rows: int = 0
+    queries: int = 0
+    seconds: float = 0.0
+    error: str | None = None
+
+
+def _observed(name: str, df: DataFrame) -> tuple[DataFrame, int, int]:
+    """df written to the shared folder, with its rows and queries, which are counted on the way."""
+    seen = Observation(name)
+    out = checkpointed(df.observe(seen, F.count("*").alias("rows"), F.approx_count_distinct("query_id").alias("queries")))
+    got = seen.get
+    return out, got["rows"], got["queries"]
+
+
+def _run(n: Node, ordinal: int, frames: Frames) -> tuple[Trace, dict[str, DataFrame]]:
+    """A node run to its end, and the frame it made; a failure gives no frame and stops nothing."""
+    began = time.perf_counter()
+    key = "rankings" if n.name.endswith("_recall") else "hits"
+    try:
+        before = {k: v for k, v in frames.items() if k != "rankings"} if key == "rankings" else frames
+        df, rows, queries = _observed(f"{n.name}-{ordinal}", REGISTRY[n.name][0](before, ordinal, **n.params)[key])
+        return Trace(n.name, "ok", rows, queries, round(time.perf_counter() - began, 3)), {key: df}
+    except Exception as e:  # whatever a node's plan or run throws, the others go on
+        return Trace(n.name, "failed", seconds=round(time.perf_counter() - began, 3), error=f"{type(e).__name__}: {e}"[:300]), {}
+
+
+def traced(config: Config, frames: Frames, top_k: int = 10, fast: bool = False) -> tuple[DataFrame, list[Trace]]:
+    """R18/R19/R20. The hits of the configured pipeline and what became of each node, node by node: a recall that fails gives an empty
+    ranking, another node that fails leaves the hits as they were. Recalls that stand beside each other run at once, and are
+    put together in the order of the configuration. fast leaves out the nodes that ask a model.
+
+    Each node's result is written once to the shared folder, where its rows are counted on the way, so a trace costs no second
+    pass. If no recall gave a ranking and one failed, retrieval is unavailable.
+    """
+    if wrong := validate(config):
+        raise ValueError("; ".join(wrong))
+    out: list[Trace] = []
+    todo = list(enumerate(config.nodes))
+    while todo:
+        i, n = todo.pop(0)
+        if not n.enabled or (fast and n.name in SLOW):
+            out.append(Trace(n.name, "skipped"))
+            continue
+        group = [(i, n)]
+        while n.name.endswith("_recall") and todo and todo[0][1].enabled and todo[0][1].name.endswith("_recall"):
+            group.append(todo.pop(0))
+        with ThreadPoolExecutor(len(group)) as pool:
+            done = list(pool.map(lambda g: _run(g[1], g[0], frames), group))
+        for t, made in done:
+            out.append(t)
+            if "rankings" in made and "rankings" in frames:
+                made = {"rankings": frames["rankings"].unionByName(made["rankings"])}
+            frames = frames | made
+    if "rankings" not in frames and any(t.status == "failed" for t in out):
+        raise RetrievalUnavailable("; ".join(f"{t.node}: {t.error}" for t in out if t.error))
+    return frames["hits"].where(F.col("rank") <= top_k), out

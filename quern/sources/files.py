@@ -14,6 +14,11 @@ def jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """S17. Rows as JSON lines, UTF-8, one object a line; nulls are kept as nulls, so what is read back has every key."""
+    rows.write.option("ignoreNullFields", "false").option("encoding", "UTF-8").json(path)
+
+
 def plain_text(spark: SparkSession, path: str) -> DataFrame:
     """S2, S9. Whole files as path, text: UTF-8 without its mark, else Latin-1; control characters stripped."""
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -34,8 +39,13 @@ def extracted(files: DataFrame) -> DataFrame:
 
 
 def rss_items(feeds: DataFrame) -> DataFrame:
-    """S18. Feeds (id, xml) as items: id, pos, title, link, description."""
-    items = F.regexp_extract_all("xml", F.lit(r"(?s)<item(?: [^>]*)?>.*?</item>"), F.lit(0))
+    """S18. Feeds (id, xml) as items: id, pos, title, link, description. Sections of character data are written out as escaped text
+    first, so what stands in one opens or closes no item."""
+    parts = F.split("xml", r"<!\[CDATA\[")
+    shut = lambda p: F.position(F.lit("]]>"), p)
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = F.array_join(F.transform(parts, lambda p, i: F.when((i == 0) | (shut(p) == 0), p).otherwise(F.concat(escaped(F.substring(p, F.lit(1), shut(p) - 1)), F.substring(p, shut(p) + 3, F.length(p))))), "")
+    items = F.regexp_extract_all(plain, F.lit(r"(?s)<item(?: [^>]*)?>.*?</item>"), F.lit(0))
     f = feeds.select("id", F.posexplode(items).alias("pos", "x"))
     return f.select("id", "pos", *[F.expr(f"xpath_string(x, 'item/{tag}')").alias(tag) for tag in ("title", "link", "description")])
 

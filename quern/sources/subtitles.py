@@ -20,11 +20,24 @@ def _blocks(files: DataFrame) -> DataFrame:
     return files.select("id", F.posexplode(F.split(t, r"\n[ \t]*\n+")).alias("block", "b"))
 
 
+def without_tags(text: Column) -> Column:
+    """F16. The text of a WebVTT line: inline times, classes, voices and plain lower-case tags go, \\N and \\n are spaces, \\h nothing."""
+    t = F.regexp_replace(text, r"<\d+:\d{2}:\d{2}\.\d{1,3}>|</?[cv](?:\.\w+)*>|</?[a-z]+>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\\[Nn]", " "), r"\\h", ""), " {2,}", " "))
+
+
+def _spoken(block: Column) -> Column:
+    """S11. The lines of a cue block that are text: not its time line, and none that begins with NOTE, STYLE or REGION."""
+    lines = F.transform(F.split(block, "\n"), F.trim)
+    kept = F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit("-->")) & ~x.rlike("^(NOTE|STYLE|REGION)"))
+    return F.array_join(F.filter(F.transform(kept, without_tags), lambda x: x != ""), " ")
+
+
 def _cues(files: DataFrame, strip_tags: bool) -> DataFrame:
     time = r"(?:(\d{1,3}):)?(\d{1,2}):(\d{2})[,.](\d{1,3})"
     line = rf"(?s){time}[ \t]*-->[ \t]*{time}[^\n]*(?:\n(.*))?$"
     g = lambda i: F.regexp_extract("b", line, i)
-    text = F.regexp_replace(g(9), r"<[^>]*>", "") if strip_tags else g(9)
+    text = _spoken(F.col("b")) if strip_tags else g(9)
     c = _blocks(files).where(F.col("b").rlike(line)).select("id", "block", _ms(g(1), g(2), g(3), g(4)).alias("start_ms"), _ms(g(5), g(6), g(7), g(8)).alias("end_ms"), _flat(text).alias("text")).where("text <> ''")
     return c.withColumn("index", F.row_number().over(Window.partitionBy("id").orderBy("block"))).select("id", "index", "start_ms", "end_ms", "text")
 
@@ -35,7 +48,8 @@ def srt(files: DataFrame) -> DataFrame:
 
 
 def vtt(files: DataFrame) -> DataFrame:
-    """S11. The header and note blocks have no time line and so are no cues; hours are optional; inline tags go."""
+    """S11, F16. The header and note blocks have no time line and so are no cues; hours are optional; inline tags and the note, style
+    and region lines of a cue go."""
     return _cues(files, True)
 
 
