@@ -41,11 +41,13 @@ def words_of(text: Column) -> Column:
 
 def features_of(words: Column, longest: int = 1) -> Column:
     """All runs of 1 to `longest` consecutive words, joined by a space, repeats kept."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
     runs = words
     for n in range(2, longest + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        more = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs = F.when(F.size(words) >= n, F.concat(runs, more)).otherwise(runs)
+        runs = F.concat(runs, of(n))
     return runs
 
 

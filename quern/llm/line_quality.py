@@ -158,23 +158,22 @@ def chains(odds: np.ndarray, sizes: np.ndarray, links: np.ndarray) -> tuple[np.n
     n, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
     longest = int(n[0]) if len(n) else 0
     alive = np.searchsorted(-n, -np.arange(longest), side="left")  # chains of more lines than the place
-    # forward messages: log sums of label bad and good at each line; emission of bad is 0
-    f0, f1 = np.empty(len(odds)), np.empty(len(odds))
-    z = np.empty(len(n))
-    a0 = a1 = None
+    # forward messages: logarithms of the shares of bad and good at each line; emission of bad is 0, c is what was divided by
+    f0, f1, c = np.empty(len(odds)), np.empty(len(odds)), np.empty(len(odds))
+    z = np.zeros(len(n))
+    a0 = a1 = np.zeros(0)
     for t in range(longest):
         k = alive[t]
         at = starts[:k] + t
         if t == 0:
-            a0, a1 = np.zeros(k), odds[at].copy()
+            a0, a1 = np.zeros(k), odds[at]
         else:
-            done = slice(k, len(a0))
-            z[done] = _log_add(a0[done], a1[done])
             p0, p1 = a0[:k], a1[:k]
             a0, a1 = _log_add(p0 + links[0, 0], p1 + links[1, 0]), _log_add(p0 + links[0, 1], p1 + links[1, 1]) + odds[at]
+        c[at] = _log_add(a0, a1)
+        a0, a1 = a0 - c[at], a1 - c[at]
+        z[:k] += c[at]
         f0[at], f1[at] = a0, a1
-    if longest:
-        z[: len(a0)] = _log_add(a0, a1)
     good, pairs = np.empty(len(odds)), np.zeros((2, 2))
     b0, b1 = np.zeros(0), np.zeros(0)
     for t in range(longest - 1, -1, -1):
@@ -183,14 +182,14 @@ def chains(odds: np.ndarray, sizes: np.ndarray, links: np.ndarray) -> tuple[np.n
         n0, n1 = np.zeros(k), np.zeros(k)
         if was:
             nxt = starts[:was] + t + 1
-            e1 = odds[nxt]
+            tail0, tail1 = b0 - c[nxt], b1 + odds[nxt] - c[nxt]
             for i, f in ((0, f0), (1, f1)):
-                for j, tail in ((0, b0), (1, b1 + e1)):
-                    pairs[i, j] += np.exp(f[starts[:was] + t] + links[i, j] + tail - z[:was]).sum()
-            n0[:was] = _log_add(links[0, 0] + b0, links[0, 1] + e1 + b1)
-            n1[:was] = _log_add(links[1, 0] + b0, links[1, 1] + e1 + b1)
+                for j, tail in ((0, tail0), (1, tail1)):
+                    pairs[i, j] += np.exp(f[starts[:was] + t] + links[i, j] + tail).sum()
+            n0[:was] = _log_add(links[0, 0] + tail0, links[0, 1] + tail1)
+            n1[:was] = _log_add(links[1, 0] + tail0, links[1, 1] + tail1)
         b0, b1 = n0, n1
-        good[at] = np.exp(np.minimum(f1[at] + b1 - z[:k], 0))
+        good[at] = np.exp(np.minimum(f1[at] + b1, 0))
     out = np.empty(len(n))
     out[order] = z
     return good, pairs, out
