@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from quern.llm import decontamination as D
@@ -227,12 +226,93 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == 300 and not any(m in t for m in mails for t in out)
 
 
+def _pii(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.text for r in P.replaced(df, key).collect()}
+
+
+def test_one_surrogate_a_word_of_a_name(spark):
+    out = _pii(spark, ["Dr. Anna Smith met us. Ms. Anna called. Then Anna left. ANNA SMITH wrote.", "Ms. Anna is here; Mr. Smith too, and Mrs. Anna Jones.", "Herr Jones saw Mr. Kim Lee and Mrs. Kim Park."])
+    first, last, alone, later, loud = re.match(r"Dr\. (\w+) (\w+) met us\. Ms\. (\w+) called\. Then (\w+) left\. (\w+ \w+) wrote\.$", out[0]).groups()
+    assert first == alone == later and loud == f"{first} {last}".upper() and first.endswith("ia")
+    assert re.match(r"Ms\. (\w+) is here; Mr\. (\w+) too, and Mrs\. (\w+) (\w+)\.$", out[1]).groups()[:3] == (first, last, first)
+    jones, kim, lee, kim2, park = re.match(r"Herr (\w+) saw Mr\. (\w+) (\w+) and Mrs\. (\w+) (\w+)\.$", out[2]).groups()
+    assert jones == re.search(r" (\w+)\.$", out[1])[1] and kim == kim2 and not kim.endswith(("ia", "an"))
+    assert len({first, last, jones, kim, lee, park}) == 6
+
+
+def test_common_words_need_a_title_or_a_full_name(spark):
+    out = _pii(spark, ["Mr. May came in May", "Dr. Will Young said: Young people Will go, and Will Young too", "may it be that young people will go, as they may and will, young as they are"])
+    assert re.match(r"Mr\. (?!May)\w+ came in May$", out[0])
+    a, b, c, d = re.match(r"Dr\. (\w+) (\w+) said: Young people Will go, and (\w+) (\w+) too$", out[1]).groups()
+    assert (a, b) == (c, d) and {a, b}.isdisjoint({"Will", "Young"}) and out[2].startswith("may it be")
+
+
+def test_crowded_formats_come_to_an_end(spark):
+    mails = [f"{a}@{b}.{top}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for top in ("com", "org")]
+    phones = [f"+99 12 {k:02d}" for k in range(100)] + [f"+99 34 {k:02d}" for k in range(100)]
+    out = _pii(spark, [f"x {m} y" for m in mails + phones])
+    assert len(set(out.values())) == len(out) and not any(f" {m} " in t for m in mails + phones for t in out.values())
+
+
+def test_surrogates_keep_type_format_and_coreference(spark):
+    """A few hundred made-up texts, whose mentions are known: a bijection by type, formats, check digits, equal mentions equal."""
+    rng = random.Random(11)
+
+    def card():
+        d = "4" + "".join(rng.choices("0123456789", k=14))
+        return d + next(c for c in "0123456789" if luhn(d + c))
+
+    def iban():
+        rest = "".join(rng.choices("0123456789", k=18))
+        return f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+
+    make = {
+        "email": lambda: f"{rng.choice('abc')}{rng.randint(0, 400)}.x@{rng.choice(['m', 'mail'])}.example.org", "card": card, "iban": iban,
+        "ssn": lambda: f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "ipv4": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "phone": lambda: f"+49 {rng.randint(100, 999)} {rng.randint(1000, 9999)} {rng.randint(100, 999)}",
+    }
+    forms = {
+        "email": r"[a-z0-9]+\.[a-z]@[a-z]+\.example\.com", "card": r"4\d{15}", "iban": r"DE\d{20}", "ssn": r"9\d\d-\d\d-\d{4}",
+        "ipv4": r"\d{1,3}(?:\.\d{1,3}){3}", "phone": r"\+49 \d{3} \d{4} \d{3}",
+    }
+    pool = [(k, make[k]()) for k in make for _ in range(40)]
+    texts, said = [], []
+    for _ in range(300):
+        picked = rng.choices(pool, k=rng.randint(0, 4))
+        texts.append("; ".join(f"so {m} it is" for _, m in picked) or "nothing here")
+        said.append(picked)
+    out = _pii(spark, texts)
+    of = {}
+    for i, picked in enumerate(said):
+        got = re.findall(r"so (.+?) it is", out[i])
+        assert len(got) == len(picked)
+        for (kind, m), new in zip(picked, got):
+            assert re.fullmatch(forms[kind], new), (kind, m, new)
+            assert of.setdefault((kind, m), new) == new
+            assert kind != "card" or luhn(new)
+            assert kind != "iban" or int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    for kind in make:
+        news = [v for (k, _), v in of.items() if k == kind]
+        assert len(set(news)) == len(news) and not set(news) & {m for k, m in of if k == kind}
+
+
+def test_surrogates_of_long_texts_repeats_and_nothing(spark):
+    long = "word " * 200_000 + "Mr. Xaver Quill " + "x@y.example.org " * 3 + "Quill"
+    df = spark.createDataFrame([(1, long), (1, long), (2, None), (2, None)], "doc_id long, text string").withColumns({c: F.lit("c") for c in ("mark", "s", "_row", "kind", "canon", "form", "new", "surrogate", "common", "given", "style")})
+    rows = P.replaced(df, "k").collect()
+    assert len(rows) == 4 and len({r.text for r in rows if r.doc_id == 1}) == 1 and all(r.text is None and r.n_entities == 0 for r in rows if r.doc_id == 2)
+    new = next(r for r in rows if r.doc_id == 1)
+    assert "Quill" not in new.text and "Xaver" not in new.text and new.n_entities == 5 and new.text.startswith("word " * 200_000) and new.common == "c"
+    assert P.replaced(df.limit(0), "k").columns == [*df.columns, "n_entities"]
+
+
 def test_registry_and_pipeline(spark):
     import __spark_entry__
     import corpus_pipeline
 
     q = __spark_entry__.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in q if n.startswith("op")} == set(range(1, 11)) and "pipeline" in q
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in q if n.startswith("op")} == set(range(1, 14)) and "pipeline" in q
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = corpus_pipeline.run(spark, d)
