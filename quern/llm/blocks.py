@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import salted_join, saved
+from quern.llm.common import released, salted_join, saved
 
 #: Weight of a block. A member weighs one for every LONG elements of its set, begun ones counted.
 BLOCK, LONG = 256, 256
@@ -74,9 +74,9 @@ def forest_links(xs, ys, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block_pairs(members: DataFrame, comp: DataFrame, items: DataFrame, what: list[str], block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, comp: DataFrame, items: DataFrame, what: list[str], block: int) -> tuple[DataFrame, DataFrame]:
     """key, left, right: every pair of a block of a key's members and one of its members outside the largest component, as
-    arrays of node, component and the columns `what` of items (node, weight, ...)."""
+    arrays of node, component and the columns `what` of items (node, weight, ...); and the saved table that they are read from."""
     rows = members.distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = saved(rows.join(items.select("node", "weight"), "node"), "key-members", "zstd")
     counts = rows.groupBy("key", "component").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
@@ -89,7 +89,7 @@ def _block_pairs(members: DataFrame, comp: DataFrame, items: DataFrame, what: li
     left = full.groupBy("key", F.pmod(F.xxhash64("node"), F.col("cuts")).alias("_i"), "rcuts").agg(pack.alias("left"))
     left = left.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("rcuts") - 1)))
     right = full.where("component <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.col("rcuts")).cast("int").alias("_j")).agg(pack.alias("right"))
-    return left.join(right, ["key", "_j"]).select("key", "left", "right")
+    return left.join(right, ["key", "_j"]).select("key", "left", "right"), rows
 
 
 def promising(members: DataFrame, comp: DataFrame, items: DataFrame, alike: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 4 * BLOCK) -> DataFrame:
@@ -110,7 +110,10 @@ def promising(members: DataFrame, comp: DataFrame, items: DataFrame, alike: Call
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return _block_pairs(members, comp, items, ["short"], block).mapInArrow(run, "key long, node long").distinct()
+    pairs, rows = _block_pairs(members, comp, items, ["short"], block)
+    out = saved(pairs.mapInArrow(run, "key long, node long").distinct(), "promising")
+    released(rows)
+    return out
 
 
 def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: Sets, threshold: int, block: int = BLOCK) -> DataFrame:
@@ -130,4 +133,7 @@ def crowded_links(members: DataFrame, comp: DataFrame, items: DataFrame, sets: S
                 a, z = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return _block_pairs(members, comp, items, ["item"], block).mapInArrow(run, "a long, b long")
+    pairs, rows = _block_pairs(members, comp, items, ["item"], block)
+    out = saved(pairs.mapInArrow(run, "a long, b long"), "crowded-links")
+    released(rows)
+    return out

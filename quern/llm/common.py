@@ -23,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-quern-")
         sc.setCheckpointDir(where)
-    return where.rstrip("/")
+    # a path without a scheme is of the default file system, for Spark and for what tasks open by themselves alike
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -46,7 +48,18 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` that nothing will read any more, as what was made of them is written itself: the successor is in the
+    shared folder too, so a lost executor costs nothing. Other frames are passed over."""
+    for df in tables:
+        if where := getattr(df, "_saved_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def min_hashes(hashes: np.ndarray, starts: np.ndarray, mult: np.ndarray) -> np.ndarray:
@@ -103,7 +116,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     edges: columns a, b (long). Returns node, component (the smallest node reachable). Self-links, repeats and nulls
     are allowed. Each round is written to the shared folder; the driver reads one sum a round, to see whether links still
-    change. A star's centre with very many leaves is only ever a minimum over a key, which is combined before the shuffle.
+    change, and the round before is deleted. A star's centre with very many leaves is a minimum over a key, which is combined before
+    the shuffle, and its leaves are dealt out when they learn it.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     e = saved(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -112,11 +126,12 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # large star: every neighbour above u is linked to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = salted_join(both.where("v > u"), least, ["u"], "inner", F.col("v"), 8).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every neighbour below u, and u, are linked to the least neighbour
         least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = saved(small.where("u <> v").distinct(), "edges")
+        last, e = e, saved(small.where("u <> v").distinct(), "edges")
+        released(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -125,7 +140,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = nodes.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
-    return saved(nodes.union(roots), "components")
+    out = saved(nodes.union(roots), "components")
+    released(e)
+    return out
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -133,4 +150,6 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     links = saved(links.select("a", "b"), "links")
     if links.isEmpty():
         return comp
-    return components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    out = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+    released(links)
+    return out

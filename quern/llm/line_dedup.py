@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import LONG, crowded_links, promising
-from quern.llm.common import components, joined, may_hold, membership, min_hashes, salted_join, saved
+from quern.llm.common import components, joined, may_hold, membership, min_hashes, released, salted_join, saved
 from quern.llm.near_dedup import apart
 
 SHINGLE, BANDS, ROWS = 5, 12, 5
@@ -303,8 +303,13 @@ def removed_lines(docs: DataFrame, threshold: int = 80, min_chars: int = MIN_CHA
         return same >= least
 
     short = classes.select("node", "short", F.lit(1).alias("weight")).join(members.select("node").distinct(), "node", "left_semi")
-    left = saved(promising(members, comp, short, alike), "promising")
-    comp = joined(comp, rest.union(crowded_links(left, comp, items(left.select("node")), shingle_sets, threshold)))
+    left = promising(members, comp, short, alike)
+    released(found, pairs, texts)
+    crowd = items(left.select("node"))
+    links = crowded_links(left, comp, crowd, shingle_sets, threshold)
+    released(left, crowd)
+    comp = joined(comp, rest.union(links))
+    released(rest, links)
 
     known = classes.select("node", "first", "n").join(comp, "node", "left").where("n > 1 or component is not null")
     known = saved(known.select("node", "first", F.coalesce("component", "node").alias("component")), "line-components")

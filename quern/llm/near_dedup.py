@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import LONG, crowded_links
-from quern.llm.common import WORD, components, joined, min_hashes, numbered, salted_join, saved
+from quern.llm.common import WORD, components, joined, min_hashes, numbered, released, salted_join, saved
 
 TREES, DEPTH, MIN_DEPTH = 24, 6, 5
 SKETCH = 64
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80) -> Data
     # what regions with several components still hide
     items = sets.join(wanted.select("node", F.ceil(F.col("n_shingles") / LONG).cast("int").alias("weight")), "node").withColumnRenamed("hashes", "item")
     comp = joined(comp, crowded_links(members, comp, items, as_sets, threshold))
+    released(near, pairs, sets)
 
     of_class = classes.select("node", "set_id", "rep", "n").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1")

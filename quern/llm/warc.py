@@ -36,7 +36,7 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def _open_fs(path: str):
-    """File system and path in it; a path without a scheme is local to the shared mount."""
+    """File system and path in it; paths come qualified by the session's file system (common.shared_dir)."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))

@@ -236,6 +236,24 @@ def test_passages_within_a_crowd(spark):
     assert set(got) == {x for p in pairs for x in p}
 
 
+def test_a_covered_window_still_finds_other_repeats(spark):
+    """A document shares 54 words with one document and 70 others, ending inside the same stock sentence, with another."""
+    rng = random.Random(16)
+    common = sentence(rng, 47)
+    texts = [f"{sentence(rng, 40)} {common} {sentence(rng, 40)}" for _ in range(300)]
+    triples = []
+    for _ in range(40):
+        after, before = sentence(rng, 7), sentence(rng, 50)
+        inside = " ".join(common.split(" ")[:20])
+        x, a, b = len(texts), len(texts) + 1, len(texts) + 2
+        texts += [f"{sentence(rng, 30)} {before} {common} {after} {sentence(rng, 30)}", f"{sentence(rng, 30)} {before} {inside} {sentence(rng, 60)}", f"{sentence(rng, 35)} {common} {after} {sentence(rng, 30)}"]
+        triples.append((x, a, b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(df).collect()}
+    assert all(x in got and a in got and b in got and got[x].class_id == got[a].class_id == got[b].class_id for x, a, b in triples)
+    assert set(got) == {i for t in triples for i in t}
+
+
 def test_passages_against_all_pairs(spark):
     """Documents with edited and exact passages against the alignment of all pairs of texts."""
     rng = random.Random(15)
