@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +16,17 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst", "kind"]).join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """G1/G2. Nodes reachable from each start (start, depth of first reach): start, node, depth. Cycles end, as only nodes
-    not seen before go on; each level is checkpointed."""
+    not seen before go on, so there are as many levels as the longest of the shortest paths; each is checkpointed."""
     e = edges.select("src", "dst").distinct()
     front = checkpointed(starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct())
     seen = front.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         front = checkpointed(front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"))
         if front.isEmpty():
             return seen.where("depth > 0")
         seen = seen.union(front.withColumn("depth", F.lit(depth)))
-    raise RuntimeError(f"paths are longer than {max_depth}")
 
 
 def gates(claims: DataFrame, evidence: DataFrame) -> DataFrame:

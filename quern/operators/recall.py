@@ -216,36 +216,94 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     query takes documents of its own scope; term statistics are those of all documents.
 
     A text is tokenised once: into its length and its counts of query terms, which are kept while frequencies and lengths are
-    summed from them. Where the queries' vocabulary is small (VOCABULARY terms), it is broadcast and other tokens are dropped
-    before anything is exploded; beyond that, tokens are joined with it. The corpus's statistics are one row.
+    summed from them. Where the queries' vocabulary is small (VOCABULARY terms) it goes to every task with the postings of its terms
+    in the queries: rows are scored ROWS at a time against a block of queries and a task keeps k rows a query, so neither the
+    postings of a common term nor its pairs are shuffled. Beyond that, tokens are joined with the vocabulary. The corpus's
+    statistics are one row.
     """
     more = [scope] if scope else []
     terms = queries.select("query_id", *more, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *more, "term").agg(F.count("*").alias("q"))
     vocabulary = terms.select("term").distinct().limit(VOCABULARY + 1).toPandas()["term"].tolist()
     if len(vocabulary) <= VOCABULARY:
-        shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-
-        def counts(frames):
-            find, wanted = re.compile(TOKEN).findall, shared.value
-            for x in frames:
-                toks = [find((t or "").lower()) for t in x.pop("text")]
-                got = [Counter(filter(wanted.__contains__, t)) for t in toks]
-                yield x.assign(len=[len(t) for t in toks], terms=[list(c) for c in got], tfs=[list(c.values()) for c in got])
-
-        kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["id", *more])
-        bags = checkpointed(docs.select("id", *more, "text").mapInPandas(counts, f"{kind}, len long, terms array<string>, tfs array<long>"))
-        tf = bags.select("id", *more, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("id", *more, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-        stats = bags.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        scored = _scored_blocks(docs, terms, {t: i for i, t in enumerate(sorted(vocabulary))}, k, k1, b, decimals, scope)
     else:
-        toks = docs.select("id", *more, tokens(F.col("text")).alias("t"))
-        stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
-        tf = toks.select("id", *more, F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", *more, "len", "term").agg(F.count("*").alias("tf"))
+        scored = _scored_joins(docs, terms, more, k1, b, decimals)
+    return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def _scored_joins(docs: DataFrame, terms: DataFrame, more: list[str], k1: float, b: float, decimals: int) -> DataFrame:
+    toks = docs.select("id", *more, tokens(F.col("text")).alias("t"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
+    tf = toks.select("id", *more, F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", *more, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("q") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     weighted = terms.join(df, "term").join(F.broadcast(stats))  # one row of statistics
-    scored = tf.join(weighted, ["term", *more]).groupBy("query_id", "id").agg(F.round(F.sum(weight), decimals).alias("score")).where("score > 0")
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+    return tf.join(weighted, ["term", *more]).groupBy("query_id", "id").agg(F.round(F.sum(weight), decimals).alias("score")).where("score > 0")
+
+
+def _scored_blocks(docs: DataFrame, terms: DataFrame, place: dict[str, int], k: int, k1: float, b: float, decimals: int, scope: str | None) -> DataFrame:
+    spark = docs.sparkSession
+    more = [scope] if scope else []
+    shared = spark.sparkContext.broadcast(place)
+
+    def counts(frames):
+        find, at = re.compile(TOKEN).findall, shared.value
+        for x in frames:
+            toks = [find((t or "").lower()) for t in x.pop("text")]
+            got = [Counter(at[w] for w in t if w in at) for t in toks]
+            yield x.assign(len=[len(t) for t in toks], terms=[list(c) for c in got], tfs=[list(c.values()) for c in got])
+
+    kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["id", *more])
+    bags = checkpointed(docs.select("id", *more, "text").mapInPandas(counts, f"{kind}, len long, terms array<int>, tfs array<int>"))
+    n, avg_len = bags.agg(F.count("*"), F.avg("len")).first()
+    df = np.zeros(len(place))
+    for r in bags.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # at most the vocabulary
+        df[r["t"]] = r["n"]
+    idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
+    blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERY_BLOCK))
+    out = None
+    for block in range(blocks):
+        part = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
+        ids, query = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+        term = np.array([place[t] for t in part["term"]], np.int64)
+        order = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[order], np.arange(len(place) + 1))
+        weight = (part["q"].to_numpy(np.float64) * idf[term])[order] if len(part) else np.zeros(0)
+        scopes = {q: v for q, v in zip(query, part[scope])} if scope else {}
+        postings = spark.sparkContext.broadcast((ids, [scopes.get(i) for i in range(len(ids))], starts, query[order], weight))
+
+        def run(frames, postings=postings):
+            ids, scopes, starts, query, weight = postings.value
+            scopes = np.array(scopes, object)
+            for frame in frames:
+                for at in range(0, len(frame) if len(ids) else 0, ROWS):
+                    x = frame.iloc[at : at + ROWS]
+                    sizes = np.array([len(t) for t in x["terms"]])
+                    t = np.concatenate([np.asarray(v, np.int64) for v in x["terms"]])
+                    tf = np.concatenate([np.asarray(v, np.float64) for v in x["tfs"]])
+                    row = np.repeat(np.arange(len(x)), sizes)
+                    sat = tf * (k1 + 1) / (tf + k1 * (1 - b + b * x["len"].to_numpy(np.float64)[row] / (avg_len or 1)))
+                    many = starts[t + 1] - starts[t]
+                    to = np.repeat(starts[t] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(t) else np.zeros(0, np.int64)
+                    s = np.bincount(np.repeat(row, many) * len(ids) + query[to], np.repeat(sat, many) * weight[to], len(x) * len(ids)).reshape(len(x), len(ids)).T
+                    s = np.round(s, decimals)
+                    if scope:
+                        s[scopes[:, None] != x[scope].to_numpy(object)[None, :]] = 0
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.zeros((len(ids), 1))
+                    i, j = np.nonzero((s >= least) & (s > 0))
+                    mine = x["id"].to_numpy()
+                    by_id = np.empty(len(mine), np.int64)
+                    by_id[np.argsort(mine, kind="stable")] = np.arange(len(mine))
+                    order = np.lexsort((by_id[j], -s[i, j], i))
+                    i, j = i[order], j[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[keep], j[keep]
+                    yield pd.DataFrame({"query_id": ids[i], "id": mine[j], "score": s[i, j]})
+
+        hits = bags.mapInPandas(run, f"query_id {terms.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double")
+        out = hits if out is None else out.union(hits)
+    return out
 
 
 def all_tokens(docs: DataFrame, queries: DataFrame) -> DataFrame:

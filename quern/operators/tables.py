@@ -10,6 +10,8 @@ from quern.operators.curation import dealt_join
 
 #: In the column user_id of what is visible, a null stands for everyone.
 EVERYONE = None
+#: Assets of a workspace from which on they are dealt out.
+LARGE = 1 << 20
 
 
 def visible_workspaces(workspaces: DataFrame, memberships: DataFrame, users: DataFrame) -> DataFrame:
@@ -22,10 +24,14 @@ def visible(assets: DataFrame, workspaces: DataFrame, memberships: DataFrame, gr
     """P1/P3/U1/J7. Distinct (user_id, asset_id): own assets, those of a workspace that the user owns or joined, those granted to
     the user, and those granted to all (a null grantee), which come once with a null user_id instead of once a user. assets:
     asset_id, owner_id, workspace_id, those in scope; grants: asset_id, grantee_id. A union of equi-joins, so that no disjunction
-    forces a nested loop; a large workspace's assets are dealt out."""
+    forces a nested loop; the assets of workspaces of more than LARGE are dealt out, those of others joined as they are."""
     own = assets.select(F.col("owner_id").alias("user_id"), "asset_id").join(users, "user_id", "left_semi")
     members = visible_workspaces(workspaces, memberships, users)
-    team = dealt_join(assets.select("asset_id", "workspace_id"), members, "workspace_id", "inner", F.xxhash64("asset_id")).select("user_id", "asset_id")
+    held = assets.select("asset_id", "workspace_id")
+    large = held.groupBy("workspace_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("workspace_id")
+    team = held.join(large, "workspace_id", "left_anti").join(members, "workspace_id").select("user_id", "asset_id")
+    dealt = dealt_join(held.join(large, "workspace_id", "left_semi"), members.join(large, "workspace_id", "left_semi"), "workspace_id", "inner", F.xxhash64("asset_id")).select("user_id", "asset_id")
+    team = team.union(dealt)
     scoped = grants.join(assets.select("asset_id"), "asset_id", "left_semi")
     given = scoped.where("grantee_id is not null").select(F.col("grantee_id").alias("user_id"), "asset_id").join(users, "user_id", "left_semi").select("user_id", "asset_id")
     public = scoped.where("grantee_id is null").select(F.lit(EVERYONE).cast(users.schema["user_id"].dataType).alias("user_id"), "asset_id")
@@ -88,10 +94,13 @@ def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFr
 
 
 def first_free_name(names: DataFrame, wanted: DataFrame, limit: int = 999) -> DataFrame:
-    """V5. For wanted (folder, stem, ext) the first of stem.ext, stem(1).ext, ... that names (folder, name) lacks."""
+    """V5. For wanted (folder, stem, ext) the first of stem.ext, stem(1).ext, ... stem(limit).ext that names (folder, name) lacks; null
+    where all are taken."""
     tries = wanted.select("folder", "stem", "ext", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("n"))
     name = F.when(F.col("n") == 0, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit("("), F.col("n").cast("string"), F.lit(")"), "ext"))
-    return tries.withColumn("name", name).join(names, ["folder", "name"], "left_anti").groupBy("folder", "stem", "ext").agg(F.min_by("name", "n").alias("name"))
+    taken = names.select("folder", "name").distinct().withColumn("_taken", F.lit(True))
+    tried = tries.withColumn("name", name).join(taken, ["folder", "name"], "left")
+    return tried.groupBy("folder", "stem", "ext").agg(F.min_by("name", F.when(F.col("_taken").isNull(), F.col("n"))).alias("name"))
 
 
 def missing_parts(bitmap: Column) -> Column:

@@ -67,11 +67,11 @@ def benchmark_contamination(spark, d):
     """K7, U4: documents that share an eight-word sequence with a benchmark item, by hashed n-grams; an item of fewer words is
     looked for whole. Only the benchmark's n-grams are looked for."""
     def words(rows, key):
-        # explode of one array keeps the split from being evaluated anew for every n-gram
-        return rows.select(key, F.explode(F.array(F.split(T.normalized(F.col("text")), " "))).alias("w"))
+        # words are hashed once; explode of one array keeps that from being done anew for every n-gram
+        return rows.select(key, F.explode(F.array(F.transform(F.split(T.normalized(F.col("text")), " "), lambda x: F.xxhash64(x)))).alias("w"))
 
     def ngrams(rows, key, n):
-        return rows.where(F.size("w") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("g"))
+        return rows.where(F.size("w") >= n).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(*[F.get("w", i + (j - 1)) for j in range(n)])))).alias("g"))
 
     items = words(table(spark, d, "benchmark").where("trim(text) <> ''"), "item_id")
     docs = words(table(spark, d, "documents"), "doc_id")
@@ -80,7 +80,7 @@ def benchmark_contamination(spark, d):
     short = items.where(F.size("w") < 8).withColumn("n", F.size("w"))
     sizes = [r["n"] for r in short.select("n").distinct().collect()]  # seven at most
     for n in sizes:
-        s = short.where(F.col("n") == n).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("g"))
+        s = ngrams(short.where(F.col("n") == n), "item_id", n)
         found = found.union(ngrams(docs, "doc_id", n).join(s, "g").groupBy("doc_id", "item_id").agg(F.lit(1).cast("long").alias("shared")))
     return found
 
