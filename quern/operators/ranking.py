@@ -103,11 +103,16 @@ def resolved_citations(answers: DataFrame, blocks: DataFrame, tag: str = r"\[(b[
 
 def marker_hits(texts: DataFrame, markers: DataFrame) -> DataFrame:
     """R38. (id, claim) for each text (id, text) that holds a marker (claim, marker of three or more tokens) as tokens; of several
-    claims of one marker the first wins. Three-token sequences are the join key, whole markers are checked after it."""
+    claims of one marker the first wins. Three-token sequences are the join key, and a marker stands where all of its sequences do, one
+    after the other; so no text travels with its sequences."""
     from quern.operators.recall import tokens
 
-    m = markers.groupBy("marker").agg(F.min("claim").alias("claim")).withColumn("t", F.split("marker", " "))
-    m = m.select("claim", "marker", F.array_join(F.slice("t", 1, 3), " ").alias("g"))
-    d = texts.select("id", F.explode(F.array(tokens(F.col("text")))).alias("t")).where("size(t) >= 3")
-    d = d.select("id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.array_join(F.slice("t", i, 3), " ")))).alias("g"))
-    return d.join(m, "g").where(F.contains("whole", F.concat(F.lit(" "), "marker", F.lit(" ")))).select("id", "claim").distinct()
+    def grams(rows: DataFrame, key: list[str], place: str) -> DataFrame:
+        of = F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.xxhash64(F.get("t", i - 1), F.get("t", i), F.get("t", i + 1)))
+        return rows.where("size(t) >= 3").select(*key, F.posexplode(of).alias(place, "g"))
+
+    m = markers.groupBy("marker").agg(F.min("claim").alias("claim")).select("claim", "marker", F.explode(F.array(F.split("marker", " "))).alias("t"))
+    m = grams(m.withColumn("need", F.size("t") - 2), ["claim", "marker", "need"], "off")
+    d = grams(texts.select("id", F.explode(F.array(tokens(F.col("text")))).alias("t")), ["id"], "pos")
+    j = d.join(m, "g").groupBy("id", "claim", "marker", "need", (F.col("pos") - F.col("off")).alias("begin")).agg(F.count("*").alias("n"))
+    return j.where("n = need").select("id", "claim").distinct()

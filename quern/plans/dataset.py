@@ -17,16 +17,16 @@ def _docs(spark, d):
 
 
 def term_sentences(spark, d):
-    """Sentences of documents that hold a term as a word, whatever its case. Terms are the first words of part names; the
+    """Sentences of documents that hold a term as a word, whatever its case. Terms are the words of part names and of benchmark items; the
     word is the join key, so no term is tried against all sentences."""
-    terms = table(spark, d, "part").select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("term")).union(table(spark, d, "benchmark").select(F.element_at(recall.tokens(F.col("text")), 1)).toDF("term")).where("term rlike '^[a-z0-9]+$'").distinct()
+    terms = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).union(table(spark, d, "benchmark").select(F.explode(recall.tokens(F.col("text"))))).where("term rlike '^[a-z0-9]+$'").distinct()
     s = chunking.sentences(_docs(spark, d), 5)
     words = s.select("id", "seq", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("unit"), F.lit(r"(?<![\p{L}\p{N}_])([\p{L}\p{N}_]+)"), F.lit(1)))).alias("term"))
     return words.join(terms, "term").groupBy("term").agg(F.count("*").alias("sentences"), F.countDistinct("id").alias("documents"), F.min("id").alias("first"))
 
 
 _SENT = r"SELECT id, pos, u FROM (SELECT doc_id AS id, unnest(us) AS u, generate_subscripts(us, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(31), 'g'), '\n', chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: length(x) >= 5) AS us FROM documents))"
-ORACLE_SQL["term_sentences"] = rf"""WITH t AS (SELECT DISTINCT term FROM (SELECT lower(string_split(p_name, ' ')[1]) AS term FROM part UNION SELECT regexp_extract_all(lower(text), '{recall.TOKEN}')[1] FROM benchmark) WHERE regexp_matches(term, '^[a-z0-9]+$')),
+ORACLE_SQL["term_sentences"] = rf"""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS term FROM part UNION SELECT unnest(regexp_extract_all(lower(text), '{recall.TOKEN}')) FROM benchmark) WHERE regexp_matches(term, '^[a-z0-9]+$')),
   w AS (SELECT DISTINCT id, pos, unnest(regexp_extract_all(lower(u), '[\p{{L}}\p{{N}}_]+')) AS term FROM ({_SENT})) SELECT term, count(*) AS sentences, count(DISTINCT id) AS documents, min(id) AS first FROM w JOIN t USING (term) GROUP BY 1"""
 
 

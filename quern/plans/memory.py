@@ -136,21 +136,21 @@ ORACLE_SQL["two_path_recall"] = f"WITH {_LANES} SELECT query_id, lane, id, capab
 
 
 def cascade_routing(spark, d):
-    """Matcher, recall, cards, top three and route of every query. A query's phrase is its document's first
-    line; a line that one source owns is a hit of capability (source number % 10), one that several own is ambiguous between
+    """Matcher, recall, cards, top three and route of every query. A query's phrases are its document's lines;
+    a line that one source owns is a hit of capability (source number % 11), lines that several own are ambiguous between
     theirs, which come in at score 0.0 and need no floor. A capability that the table lacks is a fault."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("line")).where("line is not null")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
     capability = (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 11).alias("capability")
     owners = docs.where("doc_id % 50 <> 0").select("line", capability).distinct()
-    matched = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "line").join(owners, "line").select("query_id", "capability")
+    matched = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "line").join(owners, "line").select("query_id", "capability").distinct()
     hits = two_path_recall(spark, d).select("query_id", "capability", "score")
     queries = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     return recall.routed(queries, matched, hits, _capabilities(spark, d), floor=0.2, k=3)
 
 
-ORACLE_SQL["cascade_routing"] = f"""WITH {_LANES}, dl AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL),
+ORACLE_SQL["cascade_routing"] = f"""WITH {_LANES}, dl AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
   o AS (SELECT DISTINCT line, (regexp_extract(source, '([0-9]+)$', 1)::INT % 11) AS capability FROM dl WHERE doc_id % 50 <> 0),
-  m AS (SELECT doc_id AS query_id, capability, count(*) OVER (PARTITION BY doc_id) AS n FROM dl JOIN o USING (line) WHERE doc_id % 50 = 0),
+  m AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT doc_id AS query_id, capability FROM dl JOIN o USING (line) WHERE doc_id % 50 = 0)),
   g AS (SELECT query_id, bool_or(capability NOT IN (SELECT range FROM range(10))) AS ghost, max(n) AS n FROM m GROUP BY 1),
   c AS (SELECT query_id, capability, 'matcher' AS origin, CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM m WHERE capability IN (SELECT capability FROM cap)
     UNION ALL SELECT query_id, capability, 'recall', max(score) FROM hits GROUP BY ALL HAVING max(score) >= 0.2),
@@ -198,15 +198,16 @@ ORACLE_SQL["citations"] = r"""WITH a AS (SELECT conv_id || ':' || turn AS answer
 
 
 def marker_citations(spark, d):
-    """Documents as manuscripts, benchmark items' first three words as evidence markers; evidence that does not occur is
+    """Documents as manuscripts, three words in a row of benchmark items as evidence markers; evidence that does not occur is
     dropped, of several claims of one marker the first wins."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    m = table(spark, d, "benchmark").select(F.col("item_id").alias("claim"), F.array_join(F.slice(recall.tokens(F.col("text")), 1, 3), " ").alias("marker")).where("marker like '% % %'")
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("claim"), F.explode(F.array(recall.tokens(F.col("text")))).alias("w")).where("size(w) >= 3")
+    m = w.select("claim", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("marker"))
     return ranking.marker_hits(docs, m)
 
 
-ORACLE_SQL["marker_citations"] = f"""WITH m AS (SELECT min(item_id) AS claim, marker FROM (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '{recall.TOKEN}')[1:3], ' ') AS marker FROM benchmark) WHERE marker LIKE '% % %' GROUP BY marker),
-  x AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '{recall.TOKEN}'), ' ') || ' ' AS t FROM documents) SELECT id, claim FROM x JOIN m ON contains(t, ' ' || marker || ' ')"""
+ORACLE_SQL["marker_citations"] = f"""WITH m AS (SELECT min(item_id) AS claim, marker FROM (SELECT item_id, array_to_string(w[i:i + 2], ' ') AS marker FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '{recall.TOKEN}') AS w FROM benchmark))) GROUP BY marker),
+  x AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '{recall.TOKEN}'), ' ') || ' ' AS t FROM documents) SELECT DISTINCT id, claim FROM x JOIN m ON contains(t, ' ' || marker || ' ')"""
 
 
 def floor_and_veto(spark, d):
