@@ -248,7 +248,7 @@ def _mapped(df: DataFrame, model: str, keep: list[str], made: str, row) -> DataF
         c = codec(model)
         types = to_arrow_schema(kinds)
         for b in batches:
-            step = 500  # rows of a result, so that long texts do not meet in one batch
+            step = 100  # rows of a result, so that long texts do not meet in one batch
             for i in range(0, b.num_rows, step):
                 part = b.slice(i, step)
                 texts = part.column(part.num_columns - 1).to_pylist()
