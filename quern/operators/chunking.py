@@ -43,7 +43,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def sentences(docs: DataFrame, least: int = 1) -> DataFrame:
     """C3/C11. Sentences after . ! ? and at line ends, at least `least` characters: id, seq, unit."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s+|\n"), F.trim), lambda x: F.length(x) >= least)
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?。！？])\s+|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
     return docs.select("id", F.posexplode(parts).alias("seq", "unit"))
 
 
@@ -69,7 +69,7 @@ def merged_paragraphs(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def _sentences_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])\s+|\n"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])\s+|\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def merged_sentences(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:

@@ -28,7 +28,7 @@ def without_tags(text: Column) -> Column:
 
 def _spoken(block: Column) -> Column:
     """S11. The lines of a cue block that are text: not its time line, and none that begins with NOTE, STYLE or REGION."""
-    lines = F.transform(F.split(block, "\n"), F.trim)
+    lines = F.transform(F.split(block, "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit("-->")) & ~x.rlike("^(NOTE|STYLE|REGION)"))
     return F.array_join(F.filter(F.transform(kept, without_tags), lambda x: x != ""), " ")
 
