@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quern.operators import chunking, tables
+from quern.operators import chunking, curation, tables
 from quern.sources import subtitles
 
 
@@ -59,3 +59,19 @@ def test_units_keep_digits_of_their_place(spark):
     assert chunking.merged_sentences(d, 1000).first().chunk == " ".join(f"{i}{i} sentence {i}" for i in range(12))
     f = spark.createDataFrame([(1, "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n1st of 1\n2 more")], "id int, text string")
     assert [r.text for r in subtitles.vtt(f).collect()] == ["1st of 1 2 more"]
+
+
+def test_shared_grams_in_blocks(spark, monkeypatch):
+    """Every match was a row of a join; blocks of the index and of rows give the same pairs."""
+    texts = ["the cat sat", "the cat sat on", "a\U0001f600b\nc the cat", "xyz", "", "the the the the", None]
+    t = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(texts)], "id string, text string").select("id", curation.grams(F.col("text"), 4).alias("grams"))
+    q = t.select(F.substring("id", 2, 1).cast("long").alias("id"), "grams")
+    cut = [sorted({x[i : i + 4] for i in range(max(1, len(x) - 3))}) for x in texts if x is not None]
+    assert [sorted(r.grams) for r in t.where("grams[0] is not null").orderBy("id").collect()] == cut
+    want = {(f"t{i}", j, len(set(a) & set(b))) for i, a in enumerate(cut) for j, b in enumerate(cut) if len(set(a) & set(b)) >= 2}
+    for size in (1 << 21, 3):
+        monkeypatch.setattr(curation, "POSTINGS", size)
+        monkeypatch.setattr(curation, "MATCHES", size)
+        p = curation.shared_gram_pairs(t, q, 2)
+        assert {(r.train_id, r.test_id, r.shared) for r in p.collect()} == want and len(want) > 5
+        assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
