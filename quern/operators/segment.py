@@ -10,9 +10,13 @@ The lexicon goes to every task as a trie, so its size is checked first: beyond M
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,8 @@ SCRIPTS = "一-鿿぀-ヿ가-힯"
 PIECE = rf"[a-z0-9]+|[{SCRIPTS}]+"
 MAX_CHARS = 1 << 24
 END = ""
+#: Texts that a task cuts at once.
+TEXTS = 64
 
 
 def lexicon(terms: DataFrame, column: str = "term", least: int = 2) -> list[str]:
@@ -100,6 +106,25 @@ def content_search(chunks: DataFrame, terms: list[str], column: str = "content")
     return chunks.withColumn("content_search", F.when(has, F.array_join(segmented(F.col(column), terms), " ")))
 
 
+def token_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """id, token and tf of each document (id, text). A task cuts a few texts at once, so that the tokens of a whole batch are never held."""
+    root: dict = {}
+
+    def run(batches):
+        find = re.compile(PIECE).findall
+        if terms and not root:
+            root.update(trie(terms))
+        for b in batches:
+            for k in range(0, b.num_rows, TEXTS):
+                part = b.slice(k, TEXTS)
+                got = [Counter(t for w in find(text) for t in (cut(w, root) if w[0] > "　" else (w,))) for text in part.column("text").to_pylist()]
+                ids = part.column("id").take(pa.array(np.repeat(np.arange(len(got)), [len(c) for c in got])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([t for c in got for t in c], pa.string()), pa.array([n for c in got for n in c.values()], pa.int64())], names=["id", "token", "tf"])
+
+    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
+    return docs.select("id", text).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, token string, tf long")
+
+
 def segmented_recall(docs: DataFrame, queries: DataFrame, terms: list[str], k: int) -> DataFrame:
     """R6. The k best documents (id, text) that hold all tokens of each query (query_id, text): query_id, id, score, rank.
 
@@ -107,10 +132,9 @@ def segmented_recall(docs: DataFrame, queries: DataFrame, terms: list[str], k: i
     other tokens are then looked up in the candidate's token counts. score is the sum over the query's tokens of
     tf / (tf + 1), rounded; ties go to the smaller id. Queries without tokens find nothing.
     """
-    d = docs.select("id", segmented(F.col("text"), terms).alias("tokens"))
     q = queries.select("query_id", F.array_distinct(segmented(F.col("text"), terms)).alias("need")).where("size(need) > 0")
     wanted = q.select(F.explode("need").alias("token")).distinct()
-    tf = checkpointed(d.select("id", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf")))
+    tf = checkpointed(token_counts(docs, terms).join(wanted, "token", "left_semi").groupBy("id", "token").agg(F.sum("tf").alias("tf")))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     need = q.select("query_id", F.explode("need").alias("token"), F.size("need").alias("n"))
     rare = need.join(df, "token").groupBy("query_id", "n").agg(F.count("*").alias("known"), F.min(F.struct("df", "token"))["token"].alias("token")).where("known = n")
