@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quern.operators import chunking, curation, tables
+from quern.operators import chunking, curation, recall, segment, tables
 from quern.sources import subtitles
 
 
@@ -75,3 +75,33 @@ def test_shared_grams_in_blocks(spark, monkeypatch):
         p = curation.shared_gram_pairs(t, q, 2)
         assert {(r.train_id, r.test_id, r.shared) for r in p.collect()} == want and len(want) > 5
         assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_tokens_without_a_join(spark):
+    """A common token's documents met every query that has it."""
+    d = spark.createDataFrame([(i, f"common w{i % 7} w{i % 5}") for i in range(70)] + [(70, None), (71, "")], "id long, text string")
+    q = spark.createDataFrame([(1, "common w3"), (2, "w2 w4 common w2"), (3, "w6 unknown"), (4, ""), (5, None), (6, "w3"), (6, "w4")], "query_id long, text string")
+    words = lambda i: {"common", f"w{i % 7}", f"w{i % 5}"}
+    need = {1: {"common", "w3"}, 2: {"w2", "w4", "common"}, 6: {"w3", "w4"}}
+    p = recall.all_tokens(d, q)
+    assert sorted(tuple(r) for r in p.collect()) == sorted((k, i) for k, n in need.items() for i in range(70) if n <= words(i))
+    assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_at_once_are_bounded(spark, monkeypatch):
+    """Rows at once fall with the number of queries and with their postings; results stay."""
+    assert recall._rows(1) == recall.ROWS and recall._rows(4096) * 4096 <= recall.CELLS and recall._rows(10**7) == 1
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 9))) for i in range(60)], "id long, text string")
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    far = lambda: (recall.bm25(d, d.toDF("query_id", "text"), 4).collect(), recall.cosine_top_k(e, e, 4).collect(), recall.masked_top_k(e, e, 4).collect())
+    whole = [sorted(x) for x in far()]
+    monkeypatch.setattr(recall, "CELLS", 100)
+    assert [sorted(x) for x in far()] == whole
+
+
+def test_token_counts_in_parts(spark, monkeypatch):
+    texts = ["你好世界 hello Hello 世", "", None, "世界你好abc", "plain words words"] * 30
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {(r.id, r.token): r.n for r in d.select("id", F.explode(segment.segmented(F.col("text"), ["你好"])).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(segment, "TEXTS", 7)
+    assert {(r.id, r.token): r.tf for r in segment.token_counts(d, ["你好"]).collect()} == want
