@@ -116,6 +116,24 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_similar_sets_of_common_grams_make_few_candidates(spark):
+    """Sets over a small vocabulary, of which most pairs share some gram of any prefix, and a few near copies of several sizes; the prefix
+    join made a candidate of nearly every pair."""
+    import random
+
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(400), rng.choice((40, 60, 130)))) for i in range(1200)}
+    for i in range(0, 60, 2):  # 0.8 is just reached by taking away a fifth of the grams
+        sets[2000 + i] = set(sorted(sets[i])[: -(-len(sets[i]) * (8 if i % 4 else 7) // 10)])
+    df = spark.createDataFrame([(i, [f"g{x}" for x in s]) for i, s in sets.items()], "id int, grams array<string>")
+    cand = curation.near_sketches(curation.sketches(df), 800).collect()
+    ids = sorted(sets)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if 1000 * len(sets[a] & sets[b]) >= 800 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in cand} >= want and len(cand) < 3000 and len(cand) == len({(r.a, r.b) for r in cand})
+    got = curation.similar_pairs(df, 800)
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) >= 15
+
+
 def test_similar_lines_against_brute_force(spark):
     """All lines of the smallest table, whatever their length: pairs at 0.8 and components of all lines."""
     from quern.plans import curated
