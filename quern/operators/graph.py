@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from quern.operators.curation import checkpointed
 
 
-def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """G4/J17. Distinct edges (src, dst, kind) whose ends are nodes."""
-    ids = nodes.select("id")
-    return edges.dropDuplicates(["src", "dst", "kind"]).join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
+def edges_between(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """G4/J17. Distinct edges (src, dst, kind) whose ends are nodes, or whose dst is one of targets, where those are given. Repeats
+    go last: rows of equal dst are together by then, so they are not shuffled for it."""
+    to = nodes if targets is None else targets
+    e = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(to.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return e.dropDuplicates(["src", "dst", "kind"])
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -261,8 +261,11 @@ ORACLE_SQL["known_gaps"] = f"""WITH {_EV}, o AS (SELECT o_orderkey AS c, o_order
 def source_map(spark, d):
     """Each source with the claims and items that rest on it, over distinct edges whose ends exist."""
     _, l = _claims(spark, d)
-    e = graph.edges_between(l.select(F.concat(F.lit("s"), "source_id").alias("src"), F.concat(F.lit("c"), "claim_id").alias("dst"), F.col("item_id").alias("kind")), table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).union(table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("c"), "o_orderkey"))))
-    return graph.source_map(e.select(F.col("src").alias("source_id"), F.col("dst").alias("claim_id"), F.col("kind").alias("item_id")))
+    sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    claims = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    e = graph.edges_between(l.select(F.col("source_id").alias("src"), F.col("claim_id").alias("dst"), F.col("item_id").alias("kind")), sources, claims)
+    m = graph.source_map(e.select(F.col("src").alias("source_id"), F.col("dst").alias("claim_id"), F.col("kind").alias("item_id")))
+    return m.withColumn("source_id", F.concat(F.lit("s"), "source_id"))  # numbers are a third of the names' size in a shuffle
 
 
 ORACLE_SQL["source_map"] = "SELECT 's' || l_suppkey AS source_id, count(DISTINCT l_orderkey) AS claims, count(DISTINCT l_partkey) AS items FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1"
