@@ -139,7 +139,8 @@ def _batch(spark, d):
 def verified_items(spark, d):
     """What becomes of each item of a batch that is verified a second time: rejected by itself, skipped, or verified."""
     items, claims, sources = _batch(spark, d)
-    first, _ = graph.verified_batch(items, claims, sources, spark.createDataFrame([], "claim_id long, fingerprint string"), 20)
+    items = graph.marked(items)
+    first = graph.judged(items, claims, spark.createDataFrame([], "claim_id long, fingerprint string"))
     baseline = first.where("status = 'verified'").groupBy("claim_id").agg(F.min("fingerprint").alias("fingerprint"))
     results, _ = graph.verified_batch(items, claims, sources, baseline, 20)
     return results.groupBy("status", F.regexp_replace("reason", "[0-9]+ ", "").alias("reason")).agg(F.count("*").alias("n"), F.count_if(F.col("reason").startswith("1 ")).alias("one_left_out"))
