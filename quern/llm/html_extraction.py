@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import salted_join, saved
+from quern.llm.common import may_hold, membership, salted_join, saved
 
 MIN_PAGES = 5
 
@@ -209,6 +209,21 @@ def candidates(root: Node) -> set[tuple[int, int]]:
     return out
 
 
+def read_nodes(root: Node) -> set[int]:
+    """Hashes of the blocks that `main_text` comes to: only a template among them changes a page's text."""
+    out: set[int] = set()
+    for top in container(root):
+        inside = top.tag in ("article", "main") or top.role == "main"
+        todo = [k for k in top.kids if type(k) is Node]
+        while todo:
+            x = todo.pop()
+            if not unwanted(x, inside):
+                if x.tag in BLOCKS:
+                    out.add(_number(x))
+                todo.extend(k for k in x.kids if type(k) is Node)
+    return out
+
+
 def _number(x: Node) -> int:
     return int.from_bytes(x.digest[:8], "big", signed=True)
 
@@ -251,7 +266,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("mark"))
-    kind = pa.list_(pa.struct([("sub", pa.int64()), ("of", pa.int64())]))
+    kind = pa.list_(pa.struct([("sub", pa.int64()), ("of", pa.int64()), ("read", pa.bool_())]))
 
     def hashed(batches):
         for b in batches:
@@ -261,18 +276,33 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
                 for t in part.column("html").to_pylist():
                     root = parse(t or "")
                     digests(root)
-                    out.append([{"sub": x, "of": y} for x, y in sorted(candidates(root))])
+                    read = read_nodes(root)
+                    out.append([{"sub": x, "of": y, "read": x in read} for x, y in sorted(candidates(root))])
                 yield pa.RecordBatch.from_arrays([part.column("host"), part.column("mark"), pa.array(out, kind)], names=["host", "mark", "subs"])
 
-    subs = saved(rows.select("host", "html", "mark").mapInArrow(hashed, "host string, mark string, subs array<struct<sub: long, of: long>>"), "subtrees")
+    subs = saved(rows.select("host", "html", "mark").mapInArrow(hashed, "host string, mark string, subs array<struct<sub: long, of: long, read: boolean>>"), "subtrees", "zstd")
     distinct = subs.dropDuplicates(["host", "mark"])
     bar = distinct.groupBy("host").agg(F.greatest(F.ceil(F.log2(F.count("*"))), F.lit(min_pages)).alias("bar"))
     found = distinct.select("host", "mark", F.explode("subs").alias("x")).select("host", "x.sub", F.when(F.col("x.of") == 0, F.xxhash64("mark")).otherwise(F.col("x.of")).alias("of")).distinct()
     often = found.groupBy("host", "sub").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = often.join(bar, "host").where("n >= bar").select("host", "sub")
-    per_page = salted_join(distinct.select("host", "mark", F.explode("subs.sub").alias("sub")).distinct(), template, ["host", "sub"], "inner", F.xxhash64("mark"))
-    per_page = per_page.groupBy("host", "mark").agg(F.collect_set("sub").alias("template"))
-    joined = salted_join(rows, per_page, ["host", "mark"], "left", F.xxhash64("page_id"), 4).select("page_id", "url", "html", "template")
+    read = distinct.select("host", "mark", F.explode(F.filter("subs", lambda x: x["read"])).alias("x")).select("host", "mark", "x.sub").distinct()
+    per_page = salted_join(read, template, ["host", "sub"], "inner", F.xxhash64("mark"))
+    per_page = saved(per_page.groupBy("host", "mark").agg(F.collect_set("sub").alias("template")), "templates", "zstd")
+    # pages that read no template are never shuffled; a filter of bounded size tells them apart and errs on the other side only
+    bits = pages.sparkSession.sparkContext.broadcast(membership(per_page.select(F.xxhash64("host", "mark")).distinct()))
+    marked = rows.withColumn("x", F.xxhash64("host", "mark"))
+
+    def sorted_out(shuffled: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(may_hold(bits.value, b.column("x").to_numpy()) == shuffled))
+
+        return marked.mapInArrow(run, marked.schema).drop("x")
+
+    none = F.lit(None).cast("array<long>").alias("template")
+    joined = salted_join(sorted_out(True), per_page, ["host", "mark"], "left", F.xxhash64("page_id"), 4).select("page_id", "url", "html", "template")
+    joined = sorted_out(False).select("page_id", "url", "html", none).union(joined)
 
     def texts(batches):
         for b in batches:
