@@ -86,8 +86,17 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id last, as uint32."""
         kind = "<u2" if self.width == 2 else "<u4"
-        units = [self._units(t) for t in texts]
-        found = [x and list(map(self.table.get, x)) for x in units]
+        known, units, found = [], [], []
+        for t in texts:
+            x = self._units(t)
+            got = x and list(map(self.table.get, x))
+            try:  # most texts hold no new unit: their parts are joined at once, and not kept
+                known.append(b"".join(got) if got else None)
+                x = got = None if known[-1] is not None else got
+            except TypeError:
+                known.append(None)
+            units.append(x)
+            found.append(got)
         holes = [_nones(got) if got else () for got in found]
         new = list({x[i] for x, at in zip(units, holes) for i in at})
         fresh = self._new_units(new, kind) if new else {}
@@ -96,8 +105,10 @@ class Encoder:
             self.room -= sum(map(len, new))
         end = np.array([self.end], kind).tobytes()
         out = []
-        for t, x, got, at in zip(texts, units, found, holes):
-            if got:
+        for t, whole, x, got, at in zip(texts, known, units, found, holes):
+            if whole is not None:
+                data = whole + end
+            elif got:
                 for i in at:
                     got[i] = fresh[x[i]]
                 data = b"".join(got) + end
@@ -146,8 +157,8 @@ def chunk_ends(ids: np.ndarray, mean: int = MEAN_CHUNK) -> list[int]:
         _mixes = _mixed(np.arange(65536, dtype=np.uint32))
     g = _mixes[ids] if not len(ids) or ids.max() < 65536 else _mixed(ids)
     h = g.copy()
-    for j in range(1, WINDOW):
-        h[j:] += g[:-j] << np.uint64(j * 5)
+    for j in (1, 2, 4):  # sums of 2, 4 and 8 ids, by doubling: WINDOW is 8
+        h[j:] += h[:-j] << np.uint64(j * 5)
     h ^= h >> np.uint64(32)
     cut = np.flatnonzero((h & np.uint64(mean - 1) if mean & (mean - 1) == 0 else h % np.uint64(mean)) == 0) + 1
     ends = cut.tolist()
