@@ -277,3 +277,27 @@ def test_passages_against_all_pairs(spark):
     same = [(a, b) for a, b in links if got.get(a, -1) == got.get(b, -2)]
     assert len(links) > 100 and len(same) >= 0.95 * len(links)
     assert all(want[a] == want[b] for a in found & held for b in found & held if got[a] == got[b])
+
+
+def test_pairs_out_of_order_are_sifted_before_verification(monkeypatch):
+    """Texts that hold all of a window's shingles, in pieces of another order, are not verified one by one; a true repeat is."""
+    rng = np.random.default_rng(8)
+    x = np.arange(1, 81, dtype=np.uint32)
+    pieces = np.array([x[10 * k : 10 * k + 10] for k in (0, 2, 4, 6, 1, 3, 5, 7)])
+    seqs = [x, *(np.roll(pieces, k, axis=0).ravel() for k in range(8)), np.append(rng.integers(1000, 2**32, 7, np.uint32), x)]
+    n = len(seqs)
+    c = np.array([int(np.flatnonzero(s == 45)[0]) for s in seqs])
+    calls, real = [], substring_dedup.passages
+    monkeypatch.setattr(substring_dedup, "passages", lambda *a: calls.append(a) or real(*a))
+    marks = np.arange(n)
+    got = substring_dedup.Cell(marks, marks.copy(), np.zeros(n, int), c, c.copy(), c.copy(), marks == 0, np.zeros(n, int), seqs, 50).passages()
+    assert got == [(0, n - 1, 0, 84, 7, 91)]
+    assert len(calls) == 1
+
+
+def test_passages_of_texts_that_repeat_themselves():
+    """Of several places that nearest to the last match's diagonal, of equal widest gaps the last, as plain sets have it."""
+    x = np.array([*range(100, 160), 7, 7, 7, *range(200, 230)], np.uint32)
+    y = np.array([7, 7, *range(100, 160), 7, 7, *range(200, 230), *range(100, 120)], np.uint32)
+    assert substring_dedup.passages(x, y, [(0, len(x) - 1, 0, len(y) - 1)], 50) == [(0, 97, 2, 98)]
+    assert substring_dedup.passages(x, y[:50], [(0, len(x) - 1, 0, 49)], 50) == [(0, 52, 2, 54)]
