@@ -97,9 +97,12 @@ def subtitle_chunks(cues: DataFrame, size: int) -> DataFrame:
     return g.select("id", F.posexplode("g").alias("seq", "x")).select("id", "seq", F.col("x.t").alias("chunk"), "x.start_ms", "x.end_ms", stamp(F.col("x.start_ms")).alias("start_ts"), stamp(F.col("x.end_ms")).alias("end_ts"))
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """Markdown sections at lines that begin with '## ': id, seq, title, body."""
-    parts = F.filter(F.split("text", r"\n(?=## )"), lambda x: F.trim(x) != "")
+def sections(docs: DataFrame, blank: bool = False) -> DataFrame:
+    """Markdown sections at lines that begin with '## ': id, seq, title, body. What stands before the first heading is a section
+    of its own if it is not blank; with blank, also if it is, and an empty text is one section."""
+    parts = F.split("text", r"\n(?=## )")
+    if not blank:
+        parts = F.filter(parts, lambda x: F.trim(x) != "")
     s = docs.select("id", F.posexplode(parts).alias("seq", "s"))
     return s.select("id", "seq", F.regexp_extract("s", r"^## ([^\n]*)", 1).alias("title"), F.trim(F.regexp_replace("s", r"^## [^\n]*\n?", "")).alias("body"))
 
